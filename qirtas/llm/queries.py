@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qirtas.llm import mixing, packing, tokenizing
+from qirtas.llm import mixing, neardup, packing, tokenizing
 from qirtas.tables import table
 
 
@@ -46,10 +46,26 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(_mixed(spark, d))
 
 
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(table(spark, d, "pairs", "pair_id", "query", "passage"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of near-duplicate rows of pairs."""
+    return neardup.all_pairs(*_near(spark, d))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per pair: its class of equal records, its links and its group."""
+    return neardup.groups(table(spark, d, "pairs", "pair_id"), *_near(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_mix": p3_mix,
         "p3_shares": p3_shares,
+        "p7_found": p7_found,
+        "p7_groups": p7_groups,
         "p8_ids": p8_ids,
         "p9_pack": p9_pack,
         "p9_fill": p9_fill,
