@@ -6,11 +6,12 @@ hashed run, so two records with sets A and B differ in at most |A Δ B| bits, an
 |A Δ B| <= (|A| + |B|) (1 - t) / (1 + t): within that radius nothing is lost. Tiles whose bit counts lie further apart
 than the radius are skipped, and what passes is verified on the run sets themselves.
 
-The tiles don't cover all pairs of the collection. Records share a block if they share one of their ``picks`` least runs
-in one order of all runs: rare runs by hash first, then the frequent ones. As frequent counts a run whose counter, in a
-sketch of 2^20 counters over the whole collection (a fixed size), is far above the mean. A record that shares at least
-60 % of the union has at least 75 % of its own runs in common with its partner (exactly if the sets are of one size), so
-all of its eight least runs are foreign with a chance of about 0.25^8 = 0.000015 at the threshold, less above it.
+The tiles don't cover all pairs of the collection. All runs have one order: by level, then by hash. The level says how
+far a run's counter, in a sketch of 2^20 counters over the whole collection (a fixed size), is above the usual; most runs
+are of level 0. Two records that are similar enough share a run within their first |A| - ceil(t |A|) + 1 runs of any
+common order. A record takes part in the blocks of its ``picks`` least runs of each level that begins within this prefix.
+Of a level that the two share for the most part, all eight picks are foreign with a chance of about 0.25^8 = 0.000015 at
+the threshold, less above it; a group of copies so large that its own runs count as frequent is met on its next level.
 
 Copies are taken together first: of the records with the same word sequence only the least takes part, and its links
 hold for all. A block whose run may be frequent is cut into tiles of bounded size that are compared pair by pair in
@@ -126,11 +127,11 @@ def frequency_levels(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     for r in rows:
         total[r.c] = np.frombuffer(r.v, np.int64)
     total = total.reshape(-1)
-    usual = 8 + 4 * total.mean()
+    usual = 64 + 4 * total.mean()
     return np.where(total > usual, np.ceil(np.log2(np.maximum(total, 1) / usual)), 0).astype(np.uint8), total
 
 
-def postings_of(sets: DataFrame, levels: np.ndarray, counts: np.ndarray, picks: int, tile: int) -> DataFrame:
+def postings_of(sets: DataFrame, levels: np.ndarray, counts: np.ndarray, similarity: float, picks: int, tile: int) -> DataFrame:
     """``h, t, side, id, n, f0..f3``: the blocks each record takes part in. ``t`` numbers the tile pairs of a block that
     may be large; a record of tile c is in the pairs (c, j) and (j, c)."""
     spark = sets.sparkSession
@@ -158,7 +159,11 @@ def postings_of(sets: DataFrame, levels: np.ndarray, counts: np.ndarray, picks:
                 rank = (levels[runs & mask].astype(np.uint64) << np.uint64(40)) | (spread & np.uint64(0xFFFFFFFFFF))
                 order = np.lexsort((rank, doc))
                 place = np.arange(len(doc)) - np.repeat(ends[:-1], n)
-                first = order[place < picks]
+                level = levels[runs[order] & mask]
+                new = np.concatenate([[True], (level[1:] != level[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
+                begin = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+                prefix = np.repeat(n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, n)
+                first = order[(np.arange(len(doc)) - begin < picks) & (place - (np.arange(len(doc)) - begin) < prefix)]
                 h, d = runs[first].astype(np.int64), doc[first]
                 # tiles of blocks that may be large
                 slot = (h & int(mask)).astype(np.int64)
@@ -287,7 +292,7 @@ def near_duplicates(pairs: DataFrame, key: str = "pair_id", query: str = "query"
     again = members.where("id <> rep").select("id")
     reps = sets.join(sized(again, members.count()), "id", "left_anti")
     levels, counts = frequency_levels(sets)
-    return verify(candidates(postings_of(reps, levels, counts, picks, tile), similarity), reps, similarity), members
+    return verify(candidates(postings_of(reps, levels, counts, similarity, picks, tile), similarity), reps, similarity), members
 
 
 def all_pairs(links: DataFrame, members: DataFrame, a: str = "pair_a", b: str = "pair_b") -> DataFrame:
