@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qirtas.llm import mixing, neardup, packing, tokenizing
+from qirtas.llm import lookalikes, mixing, neardup, packing, tokenizing
+from qirtas.lineage import written
 from qirtas.tables import table
 
 
+def _shown(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of problem 1, as tbl, key, text."""
+    p = table(spark, d, "passages", "pid", "text").select(F.lit("passages").alias("tbl"), F.col("pid").alias("key"), "text")
+    return p.union(table(spark, d, "supervised_queries", "qid", "query").select(F.lit("supervised_queries"), "qid", "query"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records that look equal and are stored differently."""
+    t = _shown(spark, d)
+    return lookalikes.look_alike_pairs(t, written(lookalikes.classes(t), "classes"))
+
+
+def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with the canonical member of its class."""
+    t = _shown(spark, d)
+    return lookalikes.unify(t, lookalikes.classes(t))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizing.encode_documents(table(spark, d, "documents", "doc_id", "text"))
@@ -62,6 +81,8 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_canonical": p1_canonical,
         "p3_mix": p3_mix,
         "p3_shares": p3_shares,
         "p7_found": p7_found,
