@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qirtas.llm import lookalikes, mixing, neardup, packing, tokenizing
+from qirtas.llm import leaks, lookalikes, mixing, neardup, packing, tokenizing
 from qirtas.lineage import written
 from qirtas.tables import table
 
@@ -30,6 +30,19 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.unify(t, lookalikes.classes(t))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records that hold an evaluation item, whole or in part."""
+    items = table(spark, d, "eval_items", "item_id", "text")
+    p = leaks.find_leaks(table(spark, d, "pairs", "pair_id", "query", "passage"), "pair_id", ["query", "passage"], items)
+    q = leaks.find_leaks(table(spark, d, "supervised_queries", "qid", "query"), "qid", ["query"], items)
+    return p.select(F.lit("pairs").alias("tbl"), "*").union(q.select(F.lit("supervised_queries"), "*"))
+
+
+def p4_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, and into how many records."""
+    return leaks.leak_report(p4_found(spark, d), table(spark, d, "eval_items"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizing.encode_documents(table(spark, d, "documents", "doc_id", "text"))
@@ -85,6 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_canonical": p1_canonical,
         "p3_mix": p3_mix,
         "p3_shares": p3_shares,
+        "p4_found": p4_found,
+        "p4_items": p4_items,
         "p7_found": p7_found,
         "p7_groups": p7_groups,
         "p8_ids": p8_ids,
