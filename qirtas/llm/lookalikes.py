@@ -1,26 +1,34 @@
 """Visually identical text with different characters (problem 1).
 
 Characters that are drawn alike are mapped onto one (blanks, widths, Arabic presentation forms, Latin look-alikes of
-other scripts, and the Arabic letters that share a shape at their place in the word). The mapped texts are grouped in
-SQL under the accent-sensitive Unicode collation, which takes canonically equal spellings (combining accents) together
-and passes over characters that are not drawn. Each class gets a canonical member and is joined back to its texts.
+other scripts, and the Arabic letters that share a shape at their place in the word). The mapped words of all texts are
+grouped in SQL under the accent-sensitive Unicode collation, which takes canonically equal spellings (combining accents)
+together and passes over characters that are not drawn. Each class gets a canonical member, which is joined back: a
+text's common form is its words' canonical members with single blanks.
 
 The collation also passes over differences that a reader sees (such as the zero-width joiners of Persian spelling), so
-a class is divided by an exact form of its texts before the canonical member is chosen.
+a class is divided by an exact form of its words before the canonical member is chosen.
 
-Defined results: null texts and texts without a visible character keep themselves as canonical text and are never
-paired; a key that arrives again with the same text counts once; ties of the canonical member go to the text with the
-fewest foreign code points (fewest bytes), then to the least in binary order; whole texts are compared.
+Scale: the collation sees each distinct word once, not each text; a vocabulary grows far slower than its corpus. Of the
+vocabulary only the words that change are joined back, by broadcast up to ``BROADCAST_WORDS``, by shuffle beyond. Records
+are then compared by 128-bit hashes of their common forms, so no text is shuffled to find pairs.
+
+Defined results: null texts and texts without a visible character keep themselves and are never paired; a key that
+arrives again with the same text counts once; ties of the canonical member go to the word of the fewest bytes, then to
+the least in binary order; whole texts are compared.
 """
 
 from __future__ import annotations
 
 import unicodedata
 import uuid
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,89 +42,125 @@ HYPHENS = {"‐": "-", "‑": "-"}
 UNSEEN = "­͏؜᠎​‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 
 
-def spaced_out() -> tuple[str, str]:
-    """Blanks of every width, as a translation to the plain one, by rule."""
-    blanks = [chr(c) for c in range(0x3001) if unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp")] + list("\t\n\x0b\x0c\r\x85")
-    return "".join(blanks), " " * len(blanks)
+#: Changed words up to which they are sent to all workers (about 100 bytes each).
+BROADCAST_WORDS = 300_000
 
 
-def one_to_one() -> tuple[str, str]:
-    """Full- and half-width forms and Arabic presentation forms of one character, by rule, and the tables above."""
-    pairs = dict(CYRILLIC) | GREEK | HYPHENS
+def one_to_one() -> dict[str, str]:
+    """Full- and half-width forms and Arabic presentation forms, by rule, and the tables above."""
+    pairs = CYRILLIC | GREEK | HYPHENS
     for c in [*range(0xFF01, 0xFFEF), *range(0xFB50, 0xFDFC), *range(0xFE80, 0xFEFD)]:
         to = unicodedata.normalize("NFKC", chr(c))
-        if len(to) == 1 and to != chr(c):
+        if to != chr(c) and " " not in to:
             pairs[chr(c)] = to
-    return "".join(pairs), "".join(pairs.values())
-
-
-def many() -> dict[str, str]:
-    """Ligatures of lam and alef: presentation forms of two characters, by rule."""
-    return {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFEF5, 0xFEFD)}
+    return pairs
 
 
 #: Two Arabic letters are drawn like their Persian relatives where they join to the next letter; at the end of a word
 #: the Persian yeh is drawn like the dotless one. (fixed values)
 INNER_YEH, INNER_KAF, FINAL_YEH = "ي", "ك", "ى"
-_JOINS = r"(?=[\p{Mn}]*[ؠ-غف-يٮ-ۓەۮۯۺ-ۿ])"
-
-
-def mapped(text: Column) -> Column:
-    """The look-alike-mapped text, in the JVM."""
-    frm, to = one_to_one()
-    t = F.regexp_replace(text, rf"[{UNSEEN}\u0000-\u0008\u000e-\u001f\u007f-\u0084\u0086-\u009f]+", "")
-    blanks, plain = spaced_out()
-    t = F.translate(t, frm + blanks, to + plain)
-    t = F.when(t.rlike("[ﻵ-ﻼ]"), _replace(t, many())).otherwise(t)
-    t = F.when(t.rlike("[یک]"), F.translate(F.regexp_replace(F.regexp_replace(t, "ی" + _JOINS, INNER_YEH), "ک" + _JOINS, INNER_KAF), "ی", FINAL_YEH)).otherwise(t)
-    t = F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
-    return F.trim(t)
-
+_TABLE = str.maketrans(one_to_one())
+_MAPPED = regex.compile("[" + "".join(one_to_one()) + "]")
+_JOINS = rf"(?=[\p{{Mn}}{UNSEEN}]*[\p{{Arabic}}--[\u0621\u0600-\u061f]&&\p{{L}}])"
+_YEH, _KAF = (regex.compile(c + _JOINS, regex.V1) for c in "یک")
+_DRAWN = regex.compile(r"[^\p{Cf}\p{Cc}\p{Zs}\s]")
+_IDLE_JOINER = regex.compile(r"(?<![\p{L}\p{M}])[\u200c\u200d]+|[\u200c\u200d]+(?![\p{L}\p{M}\p{So}])")
+_UNSEEN = regex.compile(rf"[{UNSEEN}\p{{Cc}}]+")
+_MARKS = regex.compile(r"\p{M}\p{M}")
+
+
+def mapped_words(text: str) -> list[str]:
+    """The look-alike-mapped words of a text; words of which nothing is drawn are left out."""
+    if _MAPPED.search(text):
+        text = text.translate(_TABLE)
+    if "ی" in text:
+        text = _YEH.sub(INNER_YEH, text).replace("ی", FINAL_YEH)
+    if "ک" in text:
+        text = _KAF.sub(INNER_KAF, text)
+    words = text.split()
+    if not text.isprintable():
+        words = [w for w in words if w.isprintable() or _DRAWN.search(w)]
+    if _MARKS.search(text):  # the collation expects several marks on one letter in canonical order
+        words = [unicodedata.normalize("NFC", w) if _MARKS.search(w) else w for w in words]
+    return words
 
-def _replace(t: Column, table: dict[str, str]) -> Column:
-    for a, b in table.items():
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return t
 
+@F.pandas_udf(T.StringType())
+def exact_form(words: pd.Series) -> pd.Series:
+    """A mapped word in canonical composition, without what is not drawn. Only members of classes come here."""
+    return words.map(lambda w: unicodedata.normalize("NFC", _IDLE_JOINER.sub("", _UNSEEN.sub("", w))))
 
-_IDLE_JOINER = regex.compile(r"(?<![\p{L}\p{M}])[‌‍]+|[‌‍]+(?![\p{L}\p{M}\p{So}])")
 
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """``w``: the distinct mapped words of ``texts(text)``."""
 
-@F.pandas_udf(T.StringType())
-def exact_form(texts: pd.Series) -> pd.Series:
-    """Canonical composition of mapped texts, without joiners that join nothing. Only members of classes come here."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", _IDLE_JOINER.sub("", t) if "‌" in t or "‍" in t else t))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[str] = set()
+        for batch in batches:
+            now: set[str] = set()
+            for t in batch.column(0).to_pylist():
+                if t:
+                    now.update(mapped_words(t))
+            now -= sent
+            if len(sent) > 200_000:
+                sent.clear()
+            sent |= now
+            yield pa.RecordBatch.from_arrays([pa.array(list(now), pa.string())], names=["w"])
 
+    return texts.select("text").mapInArrow(run, "w string").distinct()
 
-def classes(texts: DataFrame) -> DataFrame:
-    """``text, canonical``: for each distinct text of ``texts(text)`` that is drawn like another one.
 
-    The distinct mapped texts are grouped by collation key, and the classes of more than one are joined back to their
-    texts; no task holds a whole class.
-    """
+def word_classes(texts: DataFrame) -> DataFrame:
+    """``w, canonical``: the mapped words whose canonical member is another word."""
     spark = texts.sparkSession
-    d = texts.where(F.col("text").isNotNull()).select("text").distinct().select("text", mapped(F.col("text")).alias("m"))
-    # the collation expects marks on one letter in canonical order; only texts with several marks on a letter visit Python
-    d = d.withColumn("m", F.coalesce(exact_form(F.when(F.col("m").rlike(r"\p{M}\p{M}"), F.col("m"))), "m"))
-    d = d.where(F.length(F.regexp_replace("m", r"[\s\p{Cf}\p{Cc}]+", "")) > 0)
-    name = f"lookalike_{uuid.uuid4().hex}"
-    written(d, "mapped").createOrReplaceTempView(name)
+    name = f"words_{uuid.uuid4().hex}"
+    written(vocabulary(texts), "words").createOrReplaceTempView(name)
     grouped = spark.sql(f"""
-        WITH classes AS (SELECT min(m) AS member FROM {name} GROUP BY m COLLATE UNICODE HAVING count(*) > 1)
-        SELECT text, m FROM {name} JOIN classes ON m COLLATE UNICODE = member COLLATE UNICODE""")
+        WITH classes AS (SELECT min(w) AS member FROM {name} GROUP BY w COLLATE UNICODE HAVING count(*) > 1)
+        SELECT w, member FROM {name} JOIN classes ON w COLLATE UNICODE = member COLLATE UNICODE""")
     spark.catalog.dropTempView(name)
-    split = grouped.select("text", exact_form(F.col("m")).alias("form"))
-    best = split.groupBy("form").agg(F.min_by("text", F.struct(F.octet_length("text"), F.col("text"))).alias("canonical"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return split.join(best, "form").select("text", "canonical")
-
-
-def unify(records: DataFrame, classes_: DataFrame) -> DataFrame:
-    """``tbl, key, text, canonical``: every record with the canonical member of its class (itself where it has none)."""
-    return records.join(classes_, "text", "left").select("tbl", "key", "text", F.coalesce("canonical", "text").alias("canonical"))
-
-
-def look_alike_pairs(records: DataFrame, classes_: DataFrame) -> DataFrame:
+    split = grouped.select("w", exact_form(F.col("w")).alias("form"))
+    best = split.groupBy("form").agg(F.min_by("w", F.struct(F.octet_length("w"), F.col("w"))).alias("canonical"))
+    return split.join(best, "form").where("w <> canonical").select("w", "canonical")
+
+
+def unify(records: DataFrame, classes: DataFrame) -> DataFrame:
+    """``tbl, key, stored binary, shown binary, canonical``: every record's common form, with 128-bit hashes of the
+    stored text and of the common form (null where nothing is drawn)."""
+    classes = written(classes, "classes")
+    if classes.count() <= BROADCAST_WORDS:
+        sent = records.sparkSession.sparkContext.broadcast({r.w: r.canonical for r in classes.collect()})
+        d = records.select("tbl", "key", "text")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            get = sent.value.get
+            for batch in batches:
+                stored, shown, canonical = [], [], []
+                for t in batch.column(2).to_pylist():
+                    words = [get(w, w) for w in mapped_words(t)] if t else []
+                    c = " ".join(words)
+                    stored.append(None if t is None else xxhash.xxh128_digest(t.encode("utf-8", "surrogatepass")))
+                    shown.append(xxhash.xxh128_digest(c.encode("utf-8", "surrogatepass")) if words else None)
+                    canonical.append(c if words else t)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stored, pa.binary()), pa.array(shown, pa.binary()), pa.array(canonical, pa.string())], names=["tbl", "key", "stored", "shown", "canonical"])
+
+        return d.mapInArrow(run, "tbl string, key string, stored binary, shown binary, canonical string")
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def words_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: mapped_words(t) if t else [])
+
+    d = records.select("tbl", "key", "text", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "w")).join(classes, "w", "left")
+    d = d.groupBy("tbl", "key", "text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canonical", "w").alias("w")))), lambda x: x["w"]), " ").alias("c"))
+    seen = F.col("c") != ""
+    return d.select("tbl", "key", F.unhex(F.md5("text")).alias("stored"), F.when(seen, F.unhex(F.md5("c"))).alias("shown"), F.when(seen, F.col("c")).otherwise(F.col("text")).alias("canonical"))
+
+
+def look_alike_pairs(unified: DataFrame) -> DataFrame:
     """``tbl, key_a, key_b``: records of one table that only the common form makes equal, key_a < key_b."""
-    d = records.join(classes_, "text").select("tbl", "key", "text", "canonical").distinct()
+    d = written(unified.where("shown is not null and key is not null").select("tbl", "key", "stored", "shown").distinct(), "shown")
+    mixed = d.groupBy("tbl", "shown").agg((F.min("stored") != F.max("stored")).alias("mixed")).where("mixed").select("tbl", "shown")
+    d = d.join(mixed, ["tbl", "shown"])
     x, y = d.alias("x"), d.alias("y")
-    return x.join(y, (F.col("x.tbl") == F.col("y.tbl")) & (F.col("x.canonical") == F.col("y.canonical")) & (F.col("x.text") != F.col("y.text")) & (F.col("x.key") < F.col("y.key"))).select("x.tbl", F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b")).distinct()
+    on = (F.col("x.tbl") == F.col("y.tbl")) & (F.col("x.shown") == F.col("y.shown")) & (F.col("x.stored") != F.col("y.stored")) & (F.col("x.key") < F.col("y.key"))
+    return x.join(y, on).select("x.tbl", F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b")).distinct()

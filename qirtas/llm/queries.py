@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qirtas.llm import leaks, lookalikes, mixing, neardup, packing, tokenizing
-from qirtas.lineage import written
+from qirtas.llm import leaks, lookalikes, mixing, neardup, packing, residue, tokenizing
 from qirtas.tables import table
 
 
@@ -21,13 +20,13 @@ def _shown(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that look equal and are stored differently."""
     t = _shown(spark, d)
-    return lookalikes.look_alike_pairs(t, written(lookalikes.classes(t), "classes"))
+    return lookalikes.look_alike_pairs(lookalikes.unify(t, lookalikes.word_classes(t)))
 
 
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every text with the canonical member of its class."""
     t = _shown(spark, d)
-    return lookalikes.unify(t, lookalikes.classes(t))
+    return lookalikes.unify(t, lookalikes.word_classes(t)).select("tbl", "key", "canonical")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +42,18 @@ def p4_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(p4_found(spark, d), table(spark, d, "eval_items"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of pairs that hold page residue."""
+    return residue.find_residue(table(spark, d, "pairs", "pair_id", "query", "passage")).select("pair_id", "field").distinct()
+
+
+def p5_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs without residue, by source."""
+    pairs = table(spark, d, "pairs")
+    kept = residue.without_residue(pairs, residue.find_residue(pairs))
+    return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("n_kept"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizing.encode_documents(table(spark, d, "documents", "doc_id", "text"))
@@ -100,6 +111,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_shares": p3_shares,
         "p4_found": p4_found,
         "p4_items": p4_items,
+        "p5_found": p5_found,
+        "p5_kept": p5_kept,
         "p7_found": p7_found,
         "p7_groups": p7_groups,
         "p8_ids": p8_ids,
