@@ -20,6 +20,7 @@ the least in binary order; whole texts are compared.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
@@ -60,13 +61,15 @@ def one_to_one() -> dict[str, str]:
 #: the Persian yeh is drawn like the dotless one. (fixed values)
 INNER_YEH, INNER_KAF, FINAL_YEH = "ي", "ك", "ى"
 _TABLE = str.maketrans(one_to_one())
-_MAPPED = regex.compile("[" + "".join(one_to_one()) + "]")
+_MAPPED = re.compile("[" + "".join(map(re.escape, one_to_one())) + "]")
 _JOINS = rf"(?=[\p{{Mn}}{UNSEEN}]*[\p{{Arabic}}--[\u0621\u0600-\u061f]&&\p{{L}}])"
 _YEH, _KAF = (regex.compile(c + _JOINS, regex.V1) for c in "یک")
 _DRAWN = regex.compile(r"[^\p{Cf}\p{Cc}\p{Zs}\s]")
 _IDLE_JOINER = regex.compile(r"(?<![\p{L}\p{M}])[\u200c\u200d]+|[\u200c\u200d]+(?![\p{L}\p{M}\p{So}])")
 _UNSEEN = regex.compile(rf"[{UNSEEN}\p{{Cc}}]+")
-_MARKS = regex.compile(r"\p{M}\p{M}")
+# the standard library tests a large class of characters by a bitmap, several times faster
+_MARK = "[" + "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c)[0] == "M") + "]"
+_MARKS = re.compile(_MARK + _MARK)
 
 
 def mapped_words(text: str) -> list[str]:
