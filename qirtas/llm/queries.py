@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qirtas.llm import leaks, lookalikes, mixing, neardup, packing, residue, tokenizing
+from qirtas.llm import languages, leaks, lookalikes, mixing, neardup, packing, residue, tokenizing
 from qirtas.tables import table
 
 
@@ -29,6 +29,23 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.unify(t, lookalikes.word_classes(t)).select("tbl", "key", "canonical")
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "pairs", "pair_id", "passage", "lang").select(F.lit("pairs").alias("tbl"), F.col("pair_id").cast("string").alias("rec_id"), F.col("passage").alias("text"), "lang")
+    t = t.union(table(spark, d, "passages", "pid", "text", "lang").select(F.lit("passages"), "*"))
+    t = t.union(table(spark, d, "supervised_queries", "qid", "query", "lang").select(F.lit("supervised_queries"), "*"))
+    return languages.label_languages(t, languages.train(languages.sample(t)))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The stretches of every record with a missing or wrong label or a mixed text."""
+    return languages.wrong_labels(_labelled(spark, d))
+
+
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every record and stretch."""
+    return _labelled(spark, d)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that hold an evaluation item, whole or in part."""
     items = table(spark, d, "eval_items", "item_id", "text")
@@ -107,6 +124,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_canonical": p1_canonical,
+        "p2_found": p2_found,
+        "p2_labels": p2_labels,
         "p3_mix": p3_mix,
         "p3_shares": p3_shares,
         "p4_found": p4_found,
