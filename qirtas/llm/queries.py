@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qirtas.llm import languages, leaks, lookalikes, mixing, neardup, packing, residue, tokenizing
+from qirtas.llm import languages, leaks, lookalikes, mixing, neardup, packing, residue, tokenizing, truncation
 from qirtas.tables import table
 
 
@@ -120,6 +120,20 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(table(spark, d, "pairs", "pair_id"), *_near(spark, d))
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.score(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were cut."""
+    return _scored(spark, d).where(F.col("score") >= truncation.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.cut_report(table(spark, d, "documents", "doc_id", "source"), _scored(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -137,6 +151,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_ids": p8_ids,
         "p9_pack": p9_pack,
         "p9_fill": p9_fill,
+        "p10_found": p10_found,
+        "p10_sources": p10_sources,
     }
 
 
