@@ -20,6 +20,7 @@ stretches shorter than ``stretch`` belong to their surroundings; a tie goes to t
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -46,8 +47,8 @@ LEAST_WORDS = 5
 ROWS, HASHES = 1 << 20, 3
 #: Copies of the whole word among a word's n-grams.
 WHOLE = 3
-#: Evidence a word needs on average for its text to be in a language.
-LEAST_EVIDENCE = 0.45
+#: A text is in a language if its words have this evidence on average, or lead the second language by this share of it.
+LEAST_EVIDENCE, LEAST_LEAD = 0.45, 0.15
 #: What a switch of language costs, in words of evidence, at the end of a sentence and inside.
 SWITCH_END, SWITCH_INSIDE = 0.6, 2.0
 
@@ -90,7 +91,7 @@ def tokens(text: str) -> tuple[list[str], list[bool]]:
 
 
 def clean(token: str) -> str:
-    w = INSIDE.sub("", token).lower().strip("'’")
+    w = INSIDE.sub("", token if token.isascii() else unicodedata.normalize("NFKC", token)).lower().strip("'’ ")
     return w if _LETTERS.search(w) else ""
 
 
@@ -263,7 +264,7 @@ def label_batch(f: Filter, texts: list[str | None], stretch: int) -> list[list[t
             mass = part.sum(axis=0, dtype=np.float64)
             best = float(mass[s])
             other = float(np.delete(mass, s).max())
-            rows.append((s if best / n >= LEAST_EVIDENCE else -1, x, y, round(max(0.0, best - other) / max(best, 1e-9) * min(1.0, best / n), 6)))
+            rows.append((s if best / n >= LEAST_EVIDENCE or best - other >= LEAST_LEAD * best else -1, x, y, round(max(0.0, best - other) / max(best, 1e-9) * min(1.0, best / n), 6)))
         out.append(rows)
     return out
 
