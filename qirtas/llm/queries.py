@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qirtas.llm import languages, leaks, lookalikes, mixing, neardup, packing, residue, tokenizing, truncation
+from qirtas.llm import answers, languages, leaks, lookalikes, mixing, neardup, packing, residue, tokenizing, truncation
 from qirtas.tables import table
 
 
@@ -71,6 +71,24 @@ def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective answers of the question pairs and of the queries' positive passages."""
+    pairs = table(spark, d, "pairs", "pair_id", "kind", "query", "passage", "lang").where(F.col("kind").isin("arabicaqa", "aya")).withColumn("rec_id", F.col("pair_id").cast("string"))
+    passages = table(spark, d, "passages", "pid", "text", "lang")
+    sq = table(spark, d, "supervised_queries", "qid", "query", "pos_pids")
+    texts = pairs.select("rec_id", F.col("passage").alias("text"), "lang").union(passages)
+    sent = answers.sent_judge(spark, *answers.train(texts, texts))
+    p = answers.defects_of_pairs(pairs, sent).distinct()
+    q = answers.defects_of_queries(sq, passages, sent)
+    return p.select(F.lit("pairs").alias("tbl"), "rec_id", F.lit("").alias("pid"), "defect").union(q.select(F.lit("supervised_queries"), "rec_id", "pid", "defect"))
+
+
+def p6_types(spark: SparkSession, d: str) -> DataFrame:
+    """Defects by table, question type and kind of defect."""
+    types = table(spark, d, "supervised_queries", "qid", "qtype").dropDuplicates(["qid"]).withColumnRenamed("qid", "rec_id")
+    return p6_found(spark, d).join(types, "rec_id", "left").groupBy("tbl", F.coalesce("qtype", F.lit("")).alias("qtype"), "defect").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizing.encode_documents(table(spark, d, "documents", "doc_id", "text"))
@@ -146,6 +164,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_items": p4_items,
         "p5_found": p5_found,
         "p5_kept": p5_kept,
+        "p6_found": p6_found,
+        "p6_types": p6_types,
         "p7_found": p7_found,
         "p7_groups": p7_groups,
         "p8_ids": p8_ids,

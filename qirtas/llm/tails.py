@@ -13,7 +13,7 @@ TAIL = 400
 
 #: Marks that close a sentence, and what may follow them (fixed values).
 STOPS = ".!?؟۔"
-_CLOSERS = regex.compile(r"(?:[\s\"'”’»)\]}*_]|\[\d{1,3}\]|</?\w{1,10}\s*/?>|(?!�)[\p{So}\p{Sk}‍️])+$")
+_CLOSERS = regex.compile(r"(?:[\p{Cf}\s\"'”’»)\]}*_]|\[\d{1,3}\]|</?\w{1,10}\s*/?>|(?!�)[\p{So}\p{Sk}‍️])+$")
 _BROKEN = regex.compile(r"(?:…|\.\.\.+|\[(?:…|\.\.\.+)\]|�|<[\w/ =\"']{0,20}|&#?\w{0,6}|\\u?[0-9a-fA-F]{0,4}|%[0-9A-F]{1,2})+\s*$")
 _LINE = regex.compile(r"[\n\r]+")
 _SHAPE = ((regex.compile(r"\p{Arabic}+"), "ع"), (regex.compile(r"\p{Latin}+"), "a"), (regex.compile(r"\p{N}+"), "0"), (regex.compile(r"\s+"), " "), (regex.compile(r"(?:(?!�)[\p{So}\p{Sk}‍️])+"), "☺"))
