@@ -81,6 +81,40 @@ def top_k(queries: DataFrame, pool: DataFrame, k: int, query_id: str = "vec_id",
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def count_above(queries: DataFrame, pool: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """``qid, n`` for ``queries(qid, q, own, al)``: pool rows ``(vec_id, embedding, label)`` other than the query and of
+    another label than its answer that score above ``own``. The stated queries go out in blocks, as in ``top_k``."""
+    parts: list[DataFrame] = []
+
+    def count(rows: list) -> DataFrame:
+        sent = queries.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows]), np.array([r.q for r in rows], np.float64), np.array([r.own for r in rows]), np.array([r.al for r in rows])))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, own, al = sent.value
+            n = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    p = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                    other = (ids[:, None] != batch.column(0).to_numpy()[None]) & (al[:, None] != batch.column(2).to_numpy()[None])
+                    n += ((q @ p.T > own[:, None] + 1e-9) & other).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["qid", "n"])
+
+        return pool.select("vec_id", "embedding", "label").where("embedding is not null").mapInArrow(run, "qid long, n long")
+
+    rows: list = []
+    for r in queries.select("qid", "q", "own", "al").toLocalIterator():
+        rows.append(r)
+        if len(rows) == block:
+            parts.append(count(rows))
+            rows = []
+    if rows or not parts:
+        parts.append(count(rows) if rows else queries.sparkSession.createDataFrame([], "qid long, n long"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.groupBy("qid").agg(F.sum("n").alias("n"))
+
+
 def rerank(candidates: DataFrame, scorer: Scorer, query: str = "query", passage: str = "passage") -> DataFrame:
     """``candidates`` with a ``score`` from an injected model, in batches where the rows lie."""
 

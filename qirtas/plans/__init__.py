@@ -1,3 +1,3 @@
 """The registered queries; importing this package registers them."""
 
-from qirtas.plans import corpus, pairs, supervised, vectors  # noqa: F401
+from qirtas.plans import corpus, making, pairs, supervised, vectors  # noqa: F401

@@ -11,15 +11,15 @@ from qirtas.operators import vectors as V
 from qirtas.registry import query
 from qirtas.tables import table
 
-SQL_EQ = "EQ AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0)"
+SQL_EQ = "EQ AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0)"
 SQL_SIM = f"{SQL_EQ}, SIM AS (SELECT q.vec_id AS qid, p.vec_id AS pid, q.label AS ql, p.label AS pl, list_inner_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS score FROM EQ q, embeddings p WHERE q.vec_id <> p.vec_id)"
 SQL_TOP = f"{SQL_SIM}, TOP AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, pid) AS rank FROM SIM) WHERE rank <= 50)"
 
 
 def _top(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
-    """The stated query set: vectors whose id is divisible by 20, against all."""
+    """The stated query set: vectors whose id is divisible by 100, against all."""
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
-    t = V.top_k(e.where("vec_id % 20 = 0"), e, k + 1).where("qid <> pid")
+    t = V.top_k(e.where("vec_id % 100 = 0"), e, k + 1).where("qid <> pid")
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "pid"))
     return t.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -40,7 +40,7 @@ def recall_of_positives(spark: SparkSession, d: str) -> DataFrame:
     hits = _labelled(spark, d).agg(F.count_if(F.col("ql") == F.col("pl")).alias("h"))
     e = table(spark, d, "embeddings", "vec_id", "label")
     sizes = e.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n"))
-    total = e.where("vec_id % 20 = 0").join(sizes, "label").agg(F.sum("n").alias("n"))
+    total = e.where("vec_id % 100 = 0").join(sizes, "label").agg(F.sum("n").alias("n"))
     return hits.join(total, how="inner").select(F.round(F.col("h") / F.greatest("n", F.lit(1)), 6).alias("recall50"))
 
 
@@ -81,7 +81,7 @@ def capped_rank_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def ndcg_recall(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings", "vec_id", "label")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
     rel = q.join(e, "label").where("qid <> vec_id").select("qid", F.col("vec_id").alias("pid"))
     m = V.retrieval_metrics(_top(spark, d), rel)
     return m.select("qid", *(F.round(c, 6).alias(c) for c in ("ndcg10", "recall10", "recall100")))
@@ -94,14 +94,11 @@ def ndcg_recall(spark: SparkSession, d: str) -> DataFrame:
     SELECT round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg10, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall10, round(avg(CASE WHEN rank <= 100 THEN 1.0 ELSE 0 END), 6) AS recall100, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 6) AS mrr10 FROM R""",
 )
 def pair_rank_dup_masked(spark: SparkSession, d: str) -> DataFrame:
-    """Rank of a query's own answer (here the next vector) among all; answers of the same label don't count against it.
-
-    The stated query set is broadcast in blocks; each task counts what lies above where the pool lies."""
+    """Rank of a query's own answer (here the next vector) among all; answers of the same label don't count against it."""
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     own = q.join(e, F.col("vec_id") == F.col("qid") + 1).select("qid", "q", V.dot(F.col("q"), F.col("embedding")).alias("own"), F.col("label").alias("al"))
-    s = F.broadcast(own).join(e.withColumnRenamed("embedding", "p"), (F.col("vec_id") != F.col("qid")) & (F.col("label") != F.col("al")))
-    above = s.where(V.dot(F.col("q"), F.col("p")) > F.col("own") + 1e-9).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    above = V.count_above(own, e)
     r = own.select("qid").join(above, "qid", "left").select((F.coalesce("n", F.lit(0)) + 1).alias("rank"))
     return r.agg(*V.ranking_metrics(r)).select(*(F.round(c, 6).alias(c) for c in ("ndcg10", "recall10", "recall100", "mrr10")))
 
@@ -198,13 +195,16 @@ def customers_without_orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer", "c_custkey", "c_mktsegment").join(table(spark, d, "orders", "o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("position_lookup", "WITH S AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), C AS (SELECT l_suppkey, coalesce(sum(n) OVER (ORDER BY l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, n FROM S), P AS (SELECT unnest(range(0, 60000, 997)) AS pos) SELECT CAST(pos AS BIGINT) AS pos, l_suppkey, CAST(pos - lo AS BIGINT) AS row FROM P JOIN C ON pos >= lo AND pos < lo + n")
+@query("position_lookup", "WITH S AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), C AS (SELECT l_suppkey, coalesce(sum(n) OVER (ORDER BY l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, n FROM S), P AS (SELECT event_id AS pos FROM events) SELECT CAST(pos AS BIGINT) AS pos, l_suppkey, CAST(pos - lo AS BIGINT) AS row FROM P JOIN C ON pos >= lo AND pos < lo + n")
 def position_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Positions to (window, row): an interval join on cumulative sizes, over a few windows."""
+    """Positions (here event ids) to (window, row): an interval join on cumulative sizes, turned into an equi join by
+    cutting both sides into cells of 1024 positions."""
     s = table(spark, d, "lineitem", "l_suppkey").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     c = s.withColumn("lo", F.coalesce(F.sum("n").over(W.orderBy("l_suppkey").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    p = spark.range(0, 60000, 997).withColumnRenamed("id", "pos")
-    return p.join(c, (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("lo") + F.col("n"))).select("pos", "l_suppkey", (F.col("pos") - F.col("lo")).alias("row"))
+    p = table(spark, d, "events", "event_id").withColumnRenamed("event_id", "pos")
+    cell = lambda x: F.floor(x / 1024)
+    c = c.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("lo") + F.col("n") - 1))))
+    return p.withColumn("cell", cell(F.col("pos"))).join(c, "cell").where((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("lo") + F.col("n"))).select("pos", "l_suppkey", (F.col("pos") - F.col("lo")).alias("row"))
 
 
 @query("flag_pivot", "SELECT l_returnflag, round(sum(l_quantity) FILTER (l_linestatus = 'F'), 2) AS F, round(sum(l_quantity) FILTER (l_linestatus = 'O'), 2) AS O FROM lineitem GROUP BY l_returnflag")
