@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qirtas.functions import ordering as O
 
@@ -122,7 +123,7 @@ def rerank(candidates: DataFrame, scorer: Scorer, query: str = "query", passage:
         for pdf in batches:
             yield pdf.assign(score=np.asarray(scorer(pdf[query].tolist(), pdf[passage].tolist()), np.float64))
 
-    return candidates.mapInPandas(run, candidates.schema.add("score", "double"))
+    return candidates.mapInPandas(run, T.StructType([*candidates.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def false_negatives(cands: DataFrame, ratio: float = 0.95) -> DataFrame:
