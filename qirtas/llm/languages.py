@@ -277,7 +277,7 @@ def sample(records: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, st
         return []
     share = F.create_map(*(F.lit(x) for l, c in n.items() for x in (l, min(1_000_000, 1_000_000 * per_language // c))))
     d = d.where(F.pmod(F.xxhash64("rec_id", F.lit("sample")), F.lit(1_000_000)) < share[F.col("l")])
-    return sorted((r.l, r.text) for r in d.select("l", F.substring("text", 1, 20_000).alias("text")).limit(2 * per_language * len(LANGUAGES)).collect())
+    return sorted((r.l, r.text) for r in d.select("l", "text").limit(2 * per_language * len(LANGUAGES)).collect())
 
 
 def label_languages(records: DataFrame, filter_: Filter, stretch: int = STRETCH, least_words: int = LEAST_WORDS) -> DataFrame:
