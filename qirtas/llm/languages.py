@@ -12,7 +12,7 @@ only texts whose label it confirms train the second.
 
 Scale: one pass over the records for counts of labels, one for the sample, one to label; no shuffle of texts.
 
-Defined results: null and wordless texts have no stretch and confidence 0; texts under ``least_words`` words, or with too
+Defined results: null and wordless texts have one row without language, of 0 words and confidence 0; texts under ``least_words`` words, or with too
 little evidence for any language (lang null), are no case; numbers, links and tags count as words without evidence;
 stretches shorter than ``stretch`` belong to their surroundings; a tie goes to the language that comes first in
 ``LANGUAGES``; repeated rows are judged alike.
@@ -47,8 +47,8 @@ LEAST_WORDS = 5
 ROWS, HASHES = 1 << 20, 3
 #: Copies of the whole word among a word's n-grams.
 WHOLE = 3
-#: A text is in a language if its words have this evidence on average, or lead the second language by this share of it.
-LEAST_EVIDENCE, LEAST_LEAD = 0.45, 0.15
+#: A text is in a language if its words have this evidence on average, or some and lead the second language by a share.
+LEAST_EVIDENCE, SOME_EVIDENCE, LEAST_LEAD = 0.45, 0.2, 0.15
 #: What a switch of language costs, in words of evidence, at the end of a sentence and inside.
 SWITCH_END, SWITCH_INSIDE = 0.6, 2.0
 
@@ -264,7 +264,7 @@ def label_batch(f: Filter, texts: list[str | None], stretch: int) -> list[list[t
             mass = part.sum(axis=0, dtype=np.float64)
             best = float(mass[s])
             other = float(np.delete(mass, s).max())
-            rows.append((s if best / n >= LEAST_EVIDENCE or best - other >= LEAST_LEAD * best else -1, x, y, round(max(0.0, best - other) / max(best, 1e-9) * min(1.0, best / n), 6)))
+            rows.append((s if best / n >= LEAST_EVIDENCE or (best / n >= SOME_EVIDENCE and best - other >= LEAST_LEAD * best) else -1, x, y, round(max(0.0, best - other) / max(best, 1e-9) * min(1.0, best / n), 6)))
         out.append(rows)
     return out
 

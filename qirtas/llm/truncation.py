@@ -30,9 +30,10 @@ LIMIT_ROWS, LIMIT_TIMES = 12, 8.0
 MOST_LIMITS = 256
 THRESHOLD = 0.5
 #: Rounds after the first, each without the uncut values whose log odds of a cut are this or more.
-ROUNDS, SURE = 2, -1.0
+ROUNDS, SURE = 3, -1.5
 #: Marks and debris that a cut may leave (fixed values).
-DEBRIS = ("…", "...", " …", " ...", "[…]", " […]", "[...]", " [...]", "�", "��", " ", " <", " <d", " <di", "<b", " <a hre", ' <a href="ht', "<sp", "&", "&am", " &nb", " &nbs", " &qu", " &quo", " &lt", " ...المزيد", "... المزيد", " اقرأ المزيد", "\\", "\\u06", "%D8", "-")
+MARKS = ("…", "...", " …", " ...", "[…]", " […]", "[...]", " [...]", "�", " ")
+DEBRIS = ("��", " <", " <d", " <di", "<b", " <a hre", ' <a href="ht', "<sp", "&", "&am", " &nb", " &nbs", " &qu", " &quo", " &lt", " ...المزيد", "... المزيد", " اقرأ المزيد", "\\", "\\u06", "%D8", "-")
 
 
 def limits(lengths: DataFrame) -> list[int]:
@@ -71,7 +72,9 @@ def train(texts: list[str], limits_: list[int], seed: int = 7) -> np.ndarray:
             cut = t[:at]
             if tails.finished(cut) or tails._LINE.search(t[at - 1 : at + 1]) or not cut.strip():
                 continue  # nothing shows this cut
-            cut += DEBRIS[rng.integers(len(DEBRIS))] if turn else ""  # every second cut leaves something
+            if turn:  # every second cut leaves something, a mark or debris
+                left = MARKS if rng.random() < 0.6 else DEBRIS
+                cut += left[rng.integers(len(left))]
             rows.append(named(cut, at in spots))
             y.append(1)
     labels = np.array(y, float)
