@@ -176,5 +176,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _words_sql(c: str) -> str:
+    return f"regexp_extract_all(lower(regexp_replace(coalesce({c}, ''), '[\\p{{Mn}}\\p{{Mc}}\\p{{Cf}}\\x{{640}}]+', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+
+
+#: All pairs that share a three-word run, by an equi join on the runs: fine for small tables only.
+P7_SQL = f"""
+    WITH W AS (SELECT pair_id, {_words_sql("query")} || {_words_sql("passage")} AS w FROM pairs WHERE passage IS NOT NULL AND len({_words_sql("passage")}) >= 20),
+    S AS (SELECT DISTINCT pair_id, unnest(list_transform(range(1, len(w) - 1), lambda i: hash(w[i:i+2]))) AS h FROM W),
+    N AS (SELECT pair_id, count(*) AS n FROM S GROUP BY 1),
+    C AS (SELECT a.pair_id AS pair_a, b.pair_id AS pair_b, count(*) AS c FROM S a JOIN S b ON a.h = b.h AND a.pair_id < b.pair_id GROUP BY ALL)
+    SELECT pair_a, pair_b FROM C JOIN N x ON x.pair_id = pair_a JOIN N y ON y.pair_id = pair_b WHERE c / (x.n + y.n - c) >= 0.6"""
+#: The apportionment while a block is one record and all records fit one shard (under 20,000 draws).
+P3_SQL = """
+    WITH R AS (SELECT DISTINCT 'sq' AS t, qid AS id, coalesce(lower(trim(source)), lower(trim(split_part(qid, ':', 1)))) AS source, is_human FROM supervised_queries
+               UNION SELECT 'pairs', CAST(pair_id AS VARCHAR), CASE kind WHEN 'wiki_lead' THEN 'wiki' WHEN 'wiki_section' THEN 'wiki' WHEN 'xlsum_title' THEN 'xlsum' WHEN 'xlsum_summary' THEN 'xlsum' WHEN 'arabicaqa' THEN 'qa' WHEN 'aya' THEN 'qa' ELSE kind END, NULL FROM pairs),
+    T AS (SELECT *, row_number() OVER (PARTITION BY mix_name ORDER BY coalesce(source, ''), CASE WHEN is_human IS NULL THEN 'None' WHEN is_human THEN 'True' ELSE 'False' END) AS i FROM mix_targets),
+    M AS (SELECT mix_name, id, min(i) AS i FROM R JOIN T ON t = CASE WHEN mix_name = 'weak_pairs' THEN 'pairs' ELSE 'sq' END AND (T.source IS NULL OR T.source = R.source) AND (T.is_human IS NULL OR T.is_human = R.is_human) GROUP BY ALL),
+    H AS (SELECT T.*, count(id) AS have FROM T JOIN M USING (mix_name, i) GROUP BY ALL),
+    S AS (SELECT mix_name, CAST(floor(min(have * max_repeats * (SELECT sum(target_share) FROM H AS other WHERE other.mix_name = H.mix_name) / target_share) + 1e-9) AS BIGINT) AS total FROM H GROUP BY mix_name),
+    Q AS (SELECT mix_name, i, row_number() OVER (PARTITION BY mix_name ORDER BY target_share / (2 * k + 1) DESC, i) AS r FROM (SELECT *, unnest(range(0, have * max_repeats)) AS k FROM H)),
+    G AS (SELECT mix_name, i, count(*) AS n_drawn FROM Q JOIN S USING (mix_name) WHERE r <= total GROUP BY ALL)
+    SELECT mix_name, source, is_human, target_share, max_repeats, least(have, n_drawn) AS n_records, n_drawn, CAST(ceil(n_drawn / have) AS INTEGER) AS most_copies,
+           round(n_drawn / sum(n_drawn) OVER (PARTITION BY mix_name), 6) AS actual_share FROM G JOIN H USING (mix_name, i)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_shares": P3_SQL, "p7_found": P7_SQL}
