@@ -10,7 +10,7 @@ from qirtas.functions import ordering as O
 from qirtas.functions import text as X
 from qirtas.operators import corpus as C
 from qirtas.registry import query
-from qirtas.tables import table
+from qirtas.tables import table, wide_table
 
 # SQL twins of the shared expressions
 B = X.BLANK
@@ -61,7 +61,7 @@ SQL_CLEANED = "SELECT *, {3} AS w FROM (SELECT *, {2} AS e FROM (SELECT *, {1} A
 )
 def corpus_funnel(spark: SparkSession, d: str) -> DataFrame:
     """Slice zero: clean, drop exact copies (first kept), filter, count by source with a total row."""
-    t = table(spark, d, "documents", "doc_id", "source", "text")
+    t = wide_table(spark, d, "documents", "doc_id", "source", "text")
     f = C.corpus_cascade(t.withColumn("text", X.clean(F.col("text"))))
     n = lambda r: F.count_if(F.col("reason") == r)
     g = f.rollup("source").agg(F.count(F.lit(1)).alias("n_in"), n("duplicate").alias("n_duplicate"), n("short").alias("n_short"), n("few tokens").alias("n_few_tokens"), n("not Arabic").alias("n_not_arabic"), F.count_if(F.col("reason").isNull()).alias("n_kept"))
@@ -76,14 +76,14 @@ def corpus_funnel(spark: SparkSession, d: str) -> DataFrame:
 )
 def clean_text_rules(spark: SparkSession, d: str) -> DataFrame:
     """The cleaned text (by hash) and which rules changed it."""
-    t = table(spark, d, "documents", "doc_id", "text")
+    t = wide_table(spark, d, "documents", "doc_id", "text")
     return t.select("doc_id", F.md5(X.clean(F.col("text"))).alias("cleaned"), F.nullif(F.array_join(X.fired(F.col("text")), ","), F.lit("")).alias("rules"))
 
 
 @query("arabic_normalized")
 def arabic_normalized(spark: SparkSession, d: str) -> DataFrame:
     """The whole normalizer with compatibility composition."""
-    t = table(spark, d, "documents", "doc_id", "text").where("text is not null")
+    t = wide_table(spark, d, "documents", "doc_id", "text").where("text is not null")
     n = X.full_normalize(F.col("text"))
     return t.select("doc_id", F.md5(n).alias("normalized"), (n != F.col("text")).alias("changed"))
 
@@ -198,7 +198,7 @@ def unit_duplicates(spark: SparkSession, d: str) -> DataFrame:
 )
 def keyword_soup(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose repeated trigrams are over a fifth of all."""
-    t = table(spark, d, "documents", "doc_id", "text").where("text is not null")
+    t = wide_table(spark, d, "documents", "doc_id", "text").where("text is not null")
     return C.keyword_soup(t, "doc_id", F.col("text"), 0.2).select("doc_id", F.round("repeated", 6).alias("repeated"))
 
 
@@ -264,7 +264,7 @@ _PACK_L = 128
 )
 def pack_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Documents' tokens one after the other, each closed by a separator, cut into rows of fixed length; tails drop."""
-    t = table(spark, d, "documents", "doc_id", "source", "text").where("text is not null")
+    t = wide_table(spark, d, "documents", "doc_id", "source", "text").where("text is not null")
     ids = F.transform(X.words(F.col("text")), lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") + 10)
     rows = C.pack(t.select("source", "doc_id", ids.alias("ids")), "source", "doc_id", "ids", _PACK_L, cls=1, sep=3, end=2)
     return rows.select("source", "seq", F.md5(F.array_join("ids", ",")).alias("ids"))

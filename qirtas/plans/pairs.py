@@ -12,7 +12,7 @@ from qirtas.lineage import written
 from qirtas.operators import decontam, dedupe, quotas, steps
 from qirtas.plans.corpus import _TOK, _q, sql_arabic_share, sql_clean, sql_key, sql_strip
 from qirtas.registry import query
-from qirtas.tables import table
+from qirtas.tables import table, wide_table
 
 B = X.BLANK
 
@@ -51,7 +51,7 @@ NAMES = [n for n, _ in STEPS]
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
     # the cleanup rewrites the texts once; every later step reads them from there
-    return written(steps.clean_pairs(table(spark, d, "pairs", "pair_id", "source", "kind", "query", "passage")), "clean")
+    return written(steps.clean_pairs(wide_table(spark, d, "pairs", "pair_id", "source", "kind", "query", "passage")), "clean")
 
 
 def _chain(spark: SparkSession, d: str) -> steps.Step:
@@ -165,7 +165,7 @@ _SQL_BANDS = f"""BK AS (SELECT doc_id, band, md5(array_to_string(sig[band*4+1:ba
 
 
 def _sigs(spark: SparkSession, d: str) -> DataFrame:
-    return dedupe.signatures(table(spark, d, "documents", "doc_id", "text").where("text is not null"), "doc_id", F.col("text"))
+    return dedupe.signatures(wide_table(spark, d, "documents", "doc_id", "text").where("text is not null"), "doc_id", F.col("text"))
 
 
 @query("minhash_signatures", f"WITH {_SQL_GRAMS} SELECT doc_id, md5(array_to_string(sig, ',')) AS sig FROM SIG")
@@ -204,7 +204,7 @@ _SQL_DECON = f"""EV AS (SELECT item_id, {_SQL_KW('text')} AS w FROM eval_items),
 @query("decontam_queries", f"WITH {_SQL_DECON} SELECT pair_id, CASE h.rank WHEN -1 THEN 'exact query' WHEN 0 THEN '13-gram' ELSE 'whole short query' END AS reason, h.label AS label FROM HIT")
 def decontam_queries(spark: SparkSession, d: str) -> DataFrame:
     """Queries that hold an evaluation text: exact, by 13-gram or by a whole short query."""
-    q = table(spark, d, "pairs", "pair_id", "query").where("query is not null")
+    q = wide_table(spark, d, "pairs", "pair_id", "query").where("query is not null")
     return decontam.decide(q, "pair_id", "query", table(spark, d, "eval_items", "item_id", "text"))
 
 

@@ -9,3 +9,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """Read ``{sf_dir}/{name}.parquet``; with ``columns``, only these reach the scan."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """``table`` for work that is heavy for each row: a scan of so few splits that half of the cores would idle (small
+    inputs only) is dealt to all of them first."""
+    df = table(spark, sf_dir, name, *columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
