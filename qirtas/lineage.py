@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -25,10 +27,26 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def remove_written() -> None:
+    """Delete the tables that ``written`` made in this application; runs at its end, as lazy results may need them."""
+    while _tables:
+        spark, path = _tables.pop()
+        with contextlib.suppress(Exception):  # the session may be gone already
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+atexit.register(remove_written)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cheaper than a checkpoint where only some
     columns are read later, as Parquet is columnar and compressed."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
