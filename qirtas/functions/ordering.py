@@ -46,14 +46,19 @@ def round_robin(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     return first_n(df, n, [group], order).withColumn("turn", r).orderBy("turn", group).limit(n)
 
 
-def global_rank(df: DataFrame, order: list, name: str, buckets: int = 256) -> DataFrame:
-    """Dense row numbers (from 0) in a total order, without one task that sorts all rows: the rows are range
-    partitioned, counted per partition, and numbered inside it with the offset of the partitions before."""
+def global_sum(df: DataFrame, order: list, value: Column, name: str, buckets: int = 256) -> DataFrame:
+    """The sum of ``value`` over all rows before each one in a total order, without one task that sorts all rows: the
+    rows are range partitioned, summed per partition, and run on inside it from the sum of the partitions before."""
     from qirtas.lineage import written
 
-    d = df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
+    d = df.withColumn("_v", value).repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
     d = written(d, "ranked")
-    sizes = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    r = F.row_number().over(W.partitionBy("_p").orderBy(*order))
-    return d.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + r - 1).drop("_p", "_before")
+    sums = d.groupBy("_p").agg(F.sum("_v").alias("_n"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.coalesce(F.sum("_v").over(W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return d.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + own).drop("_p", "_before", "_v")  # at most one row per bucket
+
+
+def global_rank(df: DataFrame, order: list, name: str, buckets: int = 256) -> DataFrame:
+    """Dense row numbers (from 0) in a total order."""
+    return global_sum(df, order, F.lit(1).cast("long"), name, buckets)

@@ -89,14 +89,14 @@ def clean_pairs(pairs: DataFrame) -> DataFrame:
     return d.withColumns({"q_norm": X.normalize(F.col("query")), "p_norm": X.normalize(F.col("passage"))})
 
 
-def step_stats(total: int | Column, df: DataFrame, log: DataFrame, steps: list[str]) -> DataFrame:
+def step_stats(df: DataFrame, log: DataFrame, steps: list[str]) -> DataFrame:
     """``step, n_in, n_out, n_removed`` in step order; ``n_in = n_out + n_removed`` by construction."""
     n = log.groupBy("step").agg(F.count(F.lit(1)).alias("n_removed"))
     order = df.sparkSession.createDataFrame([(i, s) for i, s in enumerate(steps)], "ord int, step string")
     d = order.join(F.broadcast(n), "step", "left").select("ord", "step", F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
-    all_ = df.agg(F.count(F.lit(1)).alias("total"))
+    total = df.count()
     before = F.coalesce(F.sum("n_removed").over(W.orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    d = d.crossJoin(all_).withColumn("n_in", F.col("total") - before)  # one row on one side
+    d = d.withColumn("n_in", F.lit(total) - before)
     return d.select("step", "n_in", (F.col("n_in") - F.col("n_removed")).alias("n_out"), "n_removed")
 
 

@@ -92,7 +92,7 @@ _SQL_IN = "(SELECT count(*) FROM pairs)"
 )
 def step_stats(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "pairs", "pair_id")
-    return steps.step_stats(0, pairs, _chain(spark, d).log, NAMES)
+    return steps.step_stats(pairs, _chain(spark, d).log, NAMES)
 
 
 @query(

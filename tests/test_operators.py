@@ -26,7 +26,7 @@ def test_steps_keep_in_equals_out_plus_removed(spark):
     state = steps.run_steps(pairs, "pair_id", names)
     assert state.kept.count() + state.log.count() == 40
     assert state.log.select("pair_id").distinct().count() == state.log.count()
-    stats = {r.step: r for r in steps.step_stats(0, pairs, state.log, [n for n, _ in names]).collect()}
+    stats = {r.step: r for r in steps.step_stats(pairs, state.log, [n for n, _ in names]).collect()}
     assert stats["length"].n_in == 40 and stats["junk"].n_in == stats["length"].n_out
     f = {r.source: r for r in steps.funnel(pairs, state.log, [n for n, _ in names]).collect()}
     assert f["(all)"].n_left == state.kept.count()
