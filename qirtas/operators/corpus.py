@@ -58,10 +58,12 @@ def headings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 #: Headings that end an article's text (fixed values).
-END_HEADINGS = frozenset("مراجع المراجع مصادر المصادر هوامش الهوامش ملاحظات الملاحظات حواشي وصلات ببليوغرافيا بيبليوغرافيا".split()) | {
-    "انظر أيضا", "وصلات خارجية", "روابط خارجية", "قراءات إضافية", "قراءات أخرى", "مراجع وهوامش", "المراجع والهوامش", "مصادر ومراجع", "المصادر والمراجع",
-    "الملاحظات والمراجع", "المراجع والملاحظات", "ملاحظات ومراجع", "مصادر وحواشي", "معرض الصور", "معرض صور",
-}
+END_HEADINGS = (
+    "مراجع", "المراجع", "مصادر", "المصادر", "انظر أيضا", "انظر أيضًا", "انظر أيضاً", "وصلات خارجية", "روابط خارجية",
+    "هوامش", "الهوامش", "ملاحظات", "الملاحظات", "قراءات إضافية", "قراءات أخرى", "مراجع وهوامش", "المراجع والهوامش",
+    "مصادر ومراجع", "المصادر والمراجع", "الملاحظات والمراجع", "المراجع والملاحظات", "ملاحظات ومراجع",
+    "مصادر وحواشي", "حواشي", "وصلات", "ببليوغرافيا", "بيبليوغرافيا", "معرض الصور", "معرض صور",
+)
 
 
 def sections(text: str) -> list[tuple[str | None, list[str]]]:
@@ -78,7 +80,7 @@ def sections(text: str) -> list[tuple[str | None, list[str]]]:
         plain = len(line.split()) <= 10 and len(line) <= 80 and line[-1] not in ".!?؟،,;؛:" and (raw.endswith(" ") or alone)
         if (out[0][1] or len(out) > 1) and (marked or plain):
             name = line.strip("= ").strip()
-            if name.replace("ً", "") in END_HEADINGS:
+            if name in END_HEADINGS:
                 break
             out.append((name, []))
         else:

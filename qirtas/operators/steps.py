@@ -54,7 +54,16 @@ def not_arabic(df: DataFrame, share: float = 0.70) -> tuple[DataFrame, Column]:
 
 
 #: Titles that say nothing of their text (fixed values).
-BOILERPLATE = ("الصفحة الرئيسية", "أخبار", "مقالات", "اتصل بنا", "من نحن")
+BOILERPLATE = (
+    "اتصل بنا", "اتصل بنا الان", "الرئيسية", "الصفحة الرئيسية", "الرئيسة", "من نحن", "عن الموقع", "عن الشركة",
+    "سياسة الخصوصية", "شروط الاستخدام", "اتفاقية الاستخدام", "الشروط والاحكام", "خريطة الموقع", "تسجيل الدخول",
+    "تسجيل دخول", "انشاء حساب", "اعلن معنا", "اعلن هنا", "للاعلان", "المزيد", "اقرا المزيد", "اقرا ايضا",
+    "شاهد ايضا", "تابعنا", "تابعونا", "جميع الحقوق محفوظة", "حقوق النشر", "الارشيف", "بحث", "القائمة", "روابط",
+    "روابط سريعة", "النشرة البريدية", "اشترك", "مقالات ذات صلة", "مواضيع ذات صلة", "اخبار ذات صلة", "تعليقات",
+    "التعليقات", "اضف تعليق", "اترك تعليقا", "الاكثر قراءة", "الاكثر مشاهدة", "اخر الاخبار", "احدث الاخبار",
+    "اخبار عاجلة", "عاجل", "صور", "فيديو", "مشاركة", "شارك", "طباعة", "مراجع", "المراجع", "وصلات خارجية",
+    "انظر ايضا", "الاسئلة الشائعة",
+)
 
 
 def junk(df: DataFrame, repeats: int = 5) -> tuple[DataFrame, Column]:
@@ -63,8 +72,7 @@ def junk(df: DataFrame, repeats: int = 5) -> tuple[DataFrame, Column]:
     d = df.withColumn("_key", X.query_key(F.col("q_norm")))
     many = d.groupBy("source", "_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > repeats)
     d = d.join(many, ["source", "_key"], "left")
-    titles = F.array(*(X.query_key(X.normalize(F.lit(t))) for t in BOILERPLATE))
-    return d, F.when(F.array_contains(titles, F.col("_key")), F.lit("boilerplate title")).when(F.col("_n").isNotNull(), F.lit(f"query text > {repeats} times in the source"))
+    return d, F.when(F.col("_key").isin(*BOILERPLATE), F.lit("boilerplate title")).when(F.col("_n").isNotNull(), F.lit(f"query text > {repeats} times in the source"))
 
 
 def near_identical(df: DataFrame, limit: float = 0.8) -> tuple[DataFrame, Column]:

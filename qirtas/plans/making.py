@@ -121,6 +121,6 @@ def generated_queries(spark: SparkSession, d: str) -> DataFrame:
     u = o.select("pair_id", "passage", F.col("o.reason").alias("bad"), "o.question", "o.paraphrase", "o.search_query").unpivot(["pair_id", "passage", "bad"], ["question", "paraphrase", "search_query"], "qtype", "query")
     n = X.word_count(F.col("query"))
     lo, hi = F.when(F.col("qtype") == "search_query", 2).otherwise(3), F.when(F.col("qtype") == "search_query", 6).otherwise(40)
-    banned = X.banned_pattern(["النص", "المقطع", "الفقرة", "المقالة"])
+    banned = X.banned_pattern(X.BANNED)
     reason = F.when(F.col("bad").isNotNull(), F.concat(F.lit("parse failed: "), F.col("bad"))).when(X.arabic_share(F.col("query")) < 0.7, "not Arabic").when(~n.between(lo, hi), "length").when(X.copied_run(F.col("query"), F.col("passage"), 5).isNotNull(), "copying").when(X.normalize(F.col("query")).rlike(banned), "mentions the passage")
     return u.select("pair_id", "qtype", reason.alias("reason"))

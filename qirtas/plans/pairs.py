@@ -34,7 +34,7 @@ SQL_CP = f"""L AS (SELECT pair_id, 'q' AS side, coalesce(query, '') AS t FROM pa
     CP AS (SELECT x.pair_id, source, kind, q.w AS query, p.w AS passage, q.toks AS q_tokens, p.toks AS p_tokens, q.norm AS q_norm, p.norm AS p_norm
            FROM pairs x JOIN L5 q ON q.pair_id = x.pair_id AND q.side = 'q' JOIN L5 p ON p.pair_id = x.pair_id AND p.side = 'p')"""
 SQL_JACCARD = f"(SELECT CASE WHEN len(list_distinct(a || b)) > 0 THEN len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(a || b)) ELSE 1.0 END FROM (SELECT regexp_extract_all(q_norm, '{X.WORD}') AS a, regexp_extract_all(p_norm, '{X.WORD}') AS b))"
-SQL_TITLES = ", ".join(f"'{t}'" for t in ("الصفحة الرئيسية", "اخبار", "مقالات", "اتصل بنا", "من نحن"))
+SQL_TITLES = ", ".join(f"'{t}'" for t in steps.BOILERPLATE)
 SQL_STEPS = f"""{SQL_CP},
     E1 AS (SELECT *, CASE WHEN q_tokens <= 0 OR p_tokens <= 0 THEN 'empty after cleanup' END AS r FROM CP), K1 AS (SELECT * EXCLUDE (r) FROM E1 WHERE r IS NULL),
     E2 AS (SELECT *, CASE WHEN q_tokens < 3 THEN 'query < 3 tokens' WHEN p_tokens < 20 THEN 'passage < 20 tokens' END AS r FROM K1), K2 AS (SELECT * EXCLUDE (r) FROM E2 WHERE r IS NULL),
@@ -248,7 +248,7 @@ def site_cap(spark: SparkSession, d: str) -> DataFrame:
     "pairs_not_prose",
     rf"""WITH P AS (SELECT pair_id, passage AS t, list_filter(string_split(passage, chr(10)), lambda x: regexp_matches(x, '[^{B}]')) AS l, length(passage) - len(regexp_extract_all(passage, ' ')) AS chars,
         len(regexp_extract_all(passage, '[،,؛;•]')) + len(regexp_extract_all(passage, ' - ')) AS seps, len(regexp_extract_all(passage, '[^{B}]+')) AS words FROM pairs WHERE passage IS NOT NULL)
-    SELECT pair_id, CASE WHEN len(regexp_extract_all(t, '\|')) >= 3 OR len(regexp_extract_all(t, '\t')) >= 3 THEN 'table' WHEN chars > 0 AND len(regexp_extract_all(t, '\p{{Nd}}')) / chars > 0.25 THEN 'table or figures'
+    SELECT pair_id, CASE WHEN regexp_matches(substr(t, 1, 300), '{X.DISAMBIGUATION}') THEN 'disambiguation page' WHEN len(regexp_extract_all(t, '\|')) >= 3 OR len(regexp_extract_all(t, '\t')) >= 3 THEN 'table' WHEN chars > 0 AND len(regexp_extract_all(t, '\p{{Nd}}')) / chars > 0.25 THEN 'table or figures'
         WHEN len(l) >= 3 AND len(list_filter(l, lambda x: len(regexp_extract_all(x, '[^{B}]+')) <= 5)) / len(l) > 0.5 THEN 'list (short lines)' WHEN seps >= 8 AND words / (seps + 1) < 3.0 THEN 'list (short items)' END AS reason FROM P""",
 )
 def pairs_not_prose(spark: SparkSession, d: str) -> DataFrame:
@@ -270,7 +270,7 @@ def copied_ngrams(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "broken_translations",
     f"""WITH Q AS (SELECT pair_id, regexp_extract_all(passage, '[^{B}]+') AS w FROM pairs WHERE passage IS NOT NULL),
-    E AS (SELECT pair_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM Q), F AS (SELECT *, regexp_matches(x, '^{X.LATIN_LETTER}+$') AS lat, coalesce(x = lag(x) OVER (PARTITION BY pair_id ORDER BY i), false) AS rep FROM E),
+    E AS (SELECT pair_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM Q), F AS (SELECT *, regexp_matches(x, '\p{{Latin}}') AND NOT regexp_matches(regexp_replace(x, '\p{{Latin}}+', '', 'g'), '[\p{{L}}_]') AS lat, coalesce(x = lag(x) OVER (PARTITION BY pair_id ORDER BY i), false) AS rep FROM E),
     G AS (SELECT *, i - sum(lat::INT) OVER w AS gl, i - sum(rep::INT) OVER w AS gr FROM F WINDOW w AS (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
     LR AS (SELECT pair_id, max(n) AS n FROM (SELECT pair_id, gl, count(*) AS n FROM G WHERE lat GROUP BY ALL) GROUP BY 1), RR AS (SELECT pair_id, max(n) + 1 AS n FROM (SELECT pair_id, gr, count(*) AS n FROM G WHERE rep GROUP BY ALL) GROUP BY 1)
     SELECT Q.pair_id, CASE WHEN len(w) < 5 THEN 'too short' WHEN coalesce(LR.n, 0) >= 4 THEN 'untranslated: ' || LR.n || ' Latin words in a row' WHEN coalesce(RR.n, 1) >= 4 THEN 'broken: a word repeated ' || RR.n || ' times in a row'
@@ -284,7 +284,7 @@ def broken_translations(spark: SparkSession, d: str) -> DataFrame:
 def banned_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Queries that mention the passage or the text itself (a pattern with lookarounds, which the SQL engine lacks)."""
     q = table(spark, d, "pairs", "pair_id", "query").where("query is not null").withColumn("n", X.normalize(F.col("query")))
-    p = X.banned_pattern(["النص", "المقطع", "الفقرة", "المقالة"])
+    p = X.banned_pattern(X.BANNED)
     return q.where(F.col("n").rlike(p)).select("pair_id", F.regexp_extract("n", p, 0).alias("form"))
 
 
