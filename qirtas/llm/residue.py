@@ -151,7 +151,7 @@ _FILL = r"(?:ال)?(?:اسم|تاريخ|أدخل|ادخل|اكتب|ضع|املأ
 _TAGS = "a|abbr|b|big|blockquote|body|br|center|code|div|em|font|form|h[1-6]|head|header|hr|html|i|iframe|img|input|label|li|link|main|meta|nav|ol|option|p|pre|q|s|script|section|select|small|span|strong|style|sub|sup|svg|table|tbody|td|th|thead|tr|u|ul|video"
 PLACEHOLDER = regex.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^{}%\n]{1,60}%\}|<%[^<>%\n]{1,60}%>|[#$%]\{[^{}\n]{1,60}\}|\$\([\p{L}_][^()\n]{0,60}\)|%\([^()\n]{1,60}\)[sdf]"
-    r"|\{(?:[\p{L}_][^{}\n,]{0,60}|\d{1,3})\}|\[\[[\p{L}_][^\[\]\n]{0,60}\]\]|@@[\w.]{1,60}@@|__[a-zA-Z][\w.]{0,60}?__|(?<![\p{N}\w%])%[sd](?!\w)|<!--\s*[\w.]{1,60}\s*-->"
+    r"|\{(?:[\p{L}_][^{}\n,]{0,60}|\d{1,3})\}|\[\[[\p{L}_][^\[\]\n]{0,60}\]\]|@@[\w.]{1,60}@@|__[a-zA-Z][\w.]{0,60}?__|(?<![\w])_{3,}(?![\w])|(?<![\p{N}\w%])%[sd](?!\w)|<!--\s*[\w.]{1,60}\s*-->"
     r"|(?i:\[(?:insert|your|enter)\b[^\[\]\n]{1,60}\]|\[object \w+\])"
     rf"|<(?!(?i:{_TAGS})\s*/?>)[a-zA-Z_][\w.]*\s*/>"
     rf"|\[[.…]{{0,3}}[^\[\]\n\d]{{0,40}}?\b{_FILL}\b[^\[\]\n\d]{{0,40}}\]|\{{[^{{}}\n]{{0,40}}?\b{_FILL}\b[^{{}}\n]{{0,40}}\}}|<[^<>\n]{{0,40}}?\b{_FILL}\b[^<>\n]{{0,40}}>|[(«](?:أدخل|ادخل|اكتب|ضع|املأ)\b[^()«»\n]{{1,40}}\bهنا\b[^()«»\n]{{0,20}}[)»]"

@@ -5,7 +5,7 @@ from qirtas.llm import residue as R
 
 TEXT = "نشر الباحث تقريرا عن أثر الأمطار في المحاصيل الغربية وعرض فيه إنارة المصنع."
 BAD = [
-    "{{ city.name }}", "{%author%}", "<%= count %>", "#{item.price}", "$(title)", "${user}", "{date}", "{0}", "{الاسم}", "[[product]]", "[INSERT first_name]", "@@item.price@@", "__city__", "%(count)s", "%s", "<!--date-->", "<title/>",
+    "{{ city.name }}", "{%author%}", "<%= count %>", "#{item.price}", "$(title)", "${user}", "{date}", "{0}", "{الاسم}", "[[product]]", "[INSERT first_name]", "@@item.price@@", "__city__", "%(count)s", "%s", "____", "<!--date-->", "<title/>",
     "[اسم المدينة]", "(اكتب العنوان هنا)", "«ضع الرقم هنا»", "[...اسم الجهة...]", "<اسم الكاتب>", "[object Object]", "undefined", "NULL",
 ]
 PAGES = [
