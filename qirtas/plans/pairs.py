@@ -269,7 +269,7 @@ def copied_ngrams(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "broken_translations",
-    f"""WITH Q AS (SELECT pair_id, regexp_extract_all(passage, '[^{B}]+') AS w FROM pairs WHERE passage IS NOT NULL),
+    rf"""WITH Q AS (SELECT pair_id, regexp_extract_all(passage, '[^{B}]+') AS w FROM pairs WHERE passage IS NOT NULL),
     E AS (SELECT pair_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM Q), F AS (SELECT *, regexp_matches(x, '\p{{Latin}}') AND NOT regexp_matches(regexp_replace(x, '\p{{Latin}}+', '', 'g'), '[\p{{L}}_]') AS lat, coalesce(x = lag(x) OVER (PARTITION BY pair_id ORDER BY i), false) AS rep FROM E),
     G AS (SELECT *, i - sum(lat::INT) OVER w AS gl, i - sum(rep::INT) OVER w AS gr FROM F WINDOW w AS (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
     LR AS (SELECT pair_id, max(n) AS n FROM (SELECT pair_id, gl, count(*) AS n FROM G WHERE lat GROUP BY ALL) GROUP BY 1), RR AS (SELECT pair_id, max(n) + 1 AS n FROM (SELECT pair_id, gr, count(*) AS n FROM G WHERE rep GROUP BY ALL) GROUP BY 1)
