@@ -9,9 +9,7 @@ than the radius are skipped, and what passes is verified on the run sets themsel
 The tiles don't cover all pairs of the collection. All runs have one order: by level, then by hash. The level says how
 far a run's counter, in a sketch of 2^20 counters over the whole collection (a fixed size), is above the usual; most runs
 are of level 0. Two records that are similar enough share a run within their first |A| - ceil(t |A|) + 1 runs of any
-common order. A record takes part in the blocks of its ``picks`` least runs of each level that begins within this prefix.
-Of a level that the two share for the most part, all eight picks are foreign with a chance of about 0.25^8 = 0.000015 at
-the threshold, less above it; a group of copies so large that its own runs count as frequent is met on its next level.
+common order, so a record takes part in the blocks of all runs of this prefix, and no pair is lost.
 
 Copies are taken together first: of the records with the same word sequence only the least takes part, and its links
 hold for all. A block whose run may be frequent is cut into tiles of bounded size that are compared pair by pair in
@@ -36,7 +34,6 @@ from qirtas.llm.words import WordHashes, bare
 RUN = 3
 LEAST_WORDS = 20
 SIMILARITY = 0.6
-PICKS = 8
 SKETCH_BITS = 20
 #: Rows a tile holds; blocks of runs that may occur more often than this are cut into tiles.
 TILE = 512
@@ -131,7 +128,7 @@ def frequency_levels(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.where(total > usual, np.ceil(np.log2(np.maximum(total, 1) / usual)), 0).astype(np.uint8), total
 
 
-def postings_of(sets: DataFrame, levels: np.ndarray, counts: np.ndarray, similarity: float, picks: int, tile: int) -> DataFrame:
+def postings_of(sets: DataFrame, levels: np.ndarray, counts: np.ndarray, similarity: float, tile: int) -> DataFrame:
     """``h, t, side, id, n, f0..f3``: the blocks each record takes part in. ``t`` numbers the tile pairs of a block that
     may be large; a record of tile c is in the pairs (c, j) and (j, c)."""
     spark = sets.sparkSession
@@ -159,11 +156,8 @@ def postings_of(sets: DataFrame, levels: np.ndarray, counts: np.ndarray, similar
                 rank = (levels[runs & mask].astype(np.uint64) << np.uint64(40)) | (spread & np.uint64(0xFFFFFFFFFF))
                 order = np.lexsort((rank, doc))
                 place = np.arange(len(doc)) - np.repeat(ends[:-1], n)
-                level = levels[runs[order] & mask]
-                new = np.concatenate([[True], (level[1:] != level[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
-                begin = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
                 prefix = np.repeat(n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, n)
-                first = order[(np.arange(len(doc)) - begin < picks) & (place - (np.arange(len(doc)) - begin) < prefix)]
+                first = order[place < prefix]
                 h, d = runs[first].astype(np.int64), doc[first]
                 # tiles of blocks that may be large
                 slot = (h & int(mask)).astype(np.int64)
@@ -199,7 +193,7 @@ def compare_tiles(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, count: np.nd
         near = (count[to] - count[at]) <= reach * (n[at] + most[at])
         at, to = at[near], to[near]
         far = np.bitwise_count(bits[at] ^ bits[to]).sum(axis=1, dtype=np.int64)
-        ok = (far <= reach * (n[at] + n[to])) & (ids[at] != ids[to])
+        ok = (np.maximum(far, np.abs(n[at] - n[to])) <= reach * (n[at] + n[to])) & (ids[at] != ids[to])
         left.append(at[ok])
         right.append(to[ok])
         d += 1
@@ -282,7 +276,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(pairs: DataFrame, key: str = "pair_id", query: str = "query", passage: str = "passage", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, picks: int = PICKS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(pairs: DataFrame, key: str = "pair_id", query: str = "query", passage: str = "passage", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """Links between class representatives ``a, b, similarity`` and the classes of equal records ``id, rep`` (only those
     of at least two records; every other record is its own class)."""
     sets = written(sets_of(pairs, key, query, passage, least_words), "runs")
@@ -292,7 +286,7 @@ def near_duplicates(pairs: DataFrame, key: str = "pair_id", query: str = "query"
     again = members.where("id <> rep").select("id")
     reps = sets.join(sized(again, members.count()), "id", "left_anti")
     levels, counts = frequency_levels(sets)
-    return verify(candidates(postings_of(reps, levels, counts, similarity, picks, tile), similarity), reps, similarity), members
+    return verify(candidates(postings_of(reps, levels, counts, similarity, tile), similarity), reps, similarity), members
 
 
 def all_pairs(links: DataFrame, members: DataFrame, a: str = "pair_a", b: str = "pair_b") -> DataFrame:

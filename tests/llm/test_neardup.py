@@ -76,6 +76,17 @@ def test_hot_group_of_copies_and_of_one_template(spark):
     assert all(g[i].class_id == 0 and g[i].group_id == 0 for i in range(300)) and g[1001].class_id == 1001 and len(g) == 350
 
 
+def test_shared_text_that_is_partly_frequent(spark):
+    template = " ".join(f"t{i}" for i in range(52))
+    rows = []
+    for k in range(60):
+        short = f"{template} " + " ".join(f"r{k}x{j}" for j in range(12))
+        rows += [(2 * k, "", short), (2 * k + 1, "", short + " " + " ".join(f"e{k}x{j}" for j in range(38)))]
+    got, *_ = found(spark, rows)
+    want = brute(rows)
+    assert {(2 * k, 2 * k + 1) for k in range(60)} <= want and got == want
+
+
 def test_groups_count_links(spark):
     rows = corpus(120, 3)
     got, df, links, members = found(spark, rows)
