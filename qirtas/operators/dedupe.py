@@ -1,17 +1,24 @@
-"""MinHash near duplicates with linear LSH candidates, and merging of duplicate queries."""
+"""MinHash near duplicates, with all pairs of a bucket or the reference's linear candidates, and merging of duplicate queries."""
 
 from __future__ import annotations
 
+import math
 import random
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qirtas.functions import text as X
+from qirtas.lineage import written
 from qirtas.operators.components import connected_components
 
 PRIME = 2147483647
+#: Signatures a tile holds; larger band buckets are cut into tiles.
+TILE = 2048
 
 
 def permutations(n: int = 64, seed: int = 1234) -> list[tuple[int, int]]:
@@ -37,7 +44,9 @@ def signatures(docs: DataFrame, key: str, text: Column, n: int = 64, run: int =
 
 
 def candidate_pairs(sigs: DataFrame, key: str, bands: int = 16) -> DataFrame:
-    """``a, b`` (a < b): in every band bucket each member with the first and with the one before it."""
+    """``a, b`` (a < b): in every band bucket each member with the first and with the one before it (the
+    reference's rule). It loses links: of members that are neither neighbours nor first, none is compared. ``all_links``
+    loses none."""
     n = sigs.select(F.size("sig")).first()
     rows = (n[0] if n else bands) // bands
     parts = F.array(*(F.struct(F.lit(i).alias("band"), F.md5(F.array_join(F.slice("sig", i * rows + 1, rows), ",")).alias("bucket")) for i in range(bands)))
@@ -55,6 +64,75 @@ def estimated(pairs: DataFrame, sigs: DataFrame, key: str, threshold: float = 0.
     return pairs.join(x, "a").join(y, "b").select("a", "b", same.alias("est")).where(F.col("est") >= threshold)
 
 
+def compared(h: np.ndarray, side: np.ndarray, ids: np.ndarray, sigs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least and greatest id and agreement of the pairs inside each run of equal ``h`` that agree at ``least`` places.
+    Side 3 meets all; otherwise only rows of different sides meet."""
+    end = np.searchsorted(h, h, side="right")
+    at, d = np.flatnonzero(np.arange(len(h)) + 1 < end), 1
+    found = [(np.zeros(0, np.int64),) * 3]
+    while len(at):
+        for part in np.array_split(at, len(at) // 20_000 + 1):
+            to = part + d
+            ok = (side[part] == 3) | (side[part] != side[to])
+            part, to = part[ok], to[ok]
+            same = (sigs[part] == sigs[to]).sum(axis=1)
+            ok = (same >= least) & (ids[part] != ids[to])
+            x, y = ids[part[ok]], ids[to[ok]]
+            found.append((np.minimum(x, y), np.maximum(x, y), same[ok]))
+        d += 1
+        at = at[at + d < end[at]]
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def all_links(sigs: DataFrame, key: str, threshold: float = 0.8, bands: int = 16, tile: int = TILE) -> DataFrame:
+    """``a, b, est`` (a < b) for ``sigs(key long, sig)``: documents of equal signature linked to the least of them, which
+    stands for all, and all pairs of those whose signatures agree at ``threshold`` of their places or more.
+
+    All members of a band bucket are compared, in tiles of bounded size where it is large. Signatures that differ at m
+    places agree in one of any m + 1 bands, so that many bands are enough, and with fewer than ``bands`` such places
+    no pair is lost; a lower threshold is refused."""
+    first = sigs.select(F.size("sig")).first()
+    size = first[0] if first else bands
+    rows, least = size // bands, math.ceil(threshold * size - 1e-9)
+    used = size - least + 1
+    if used > bands:
+        raise ValueError(f"{bands} bands can't find all pairs that agree at {threshold}")
+    classes = sigs.groupBy("sig").agg(F.min(key).alias("rep"))
+    classes = written(classes.select(F.col("rep").cast("long").alias("id"), "sig"), "classes")
+    copies = sigs.select(F.col(key).cast("long").alias("b"), "sig").join(classes.withColumnRenamed("id", "a"), "sig").where("a <> b").select("a", "b", F.lit(1.0).alias("est"))
+    h = F.array(*(F.xxhash64(F.lit(i), F.slice("sig", i * rows + 1, rows)) for i in range(used)))
+    d = written(classes.select("id", F.explode(h).alias("bucket")), "buckets")
+    n = d.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / tile).alias("n"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "n")
+    d = d.join(n, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "n"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(lo == hi, 3).when(F.col("own") == lo, 1).otherwise(2)
+    d = d.select(F.xxhash64("bucket", lo, hi).alias("h"), side.cast("int").alias("side"), "id").join(classes, "id")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def pairs(c: list[np.ndarray]) -> pa.RecordBatch:
+            a, b, same = compared(*c, least)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same / size)], names=["a", "b", "est"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = [batch.column(i).to_numpy() for i in range(3)] + [batch.column(3).flatten().to_numpy().astype(np.int32).reshape(-1, size)]
+            if rest is not None:
+                c = [np.concatenate(x) for x in zip(rest, c)]
+            last = np.searchsorted(c[0], c[0][-1])  # this tile pair may go on in the next batch
+            rest = [x[last:].copy() for x in c]
+            if last:
+                yield pairs([x[:last] for x in c])
+        if rest is not None:
+            yield pairs(rest)
+
+    links = d.select("h", "side", "id", "sig").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long, est double").distinct()
+    return links.unionAll(copies)
+
+
 def keepers(docs: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """``key, keeper``: the least document of each near-duplicate group; alone, a document keeps itself."""
     comp = connected_components(links)

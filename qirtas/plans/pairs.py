@@ -175,7 +175,8 @@ def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 @query("lsh_candidate_pairs", f"WITH {_SQL_GRAMS}, {_SQL_BANDS} SELECT a, b, round(est, 6) AS est FROM LINK")
 def lsh_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Band buckets, each member with the first and the one before it; agreement of the signatures."""
+    """Band buckets, each member with the first and the one before it (the reference's linear rule, which loses links;
+    ``lsh_all_links`` is whole); agreement of the signatures."""
     s = written(_sigs(spark, d), "signatures")
     return dedupe.estimated(dedupe.candidate_pairs(s, "doc_id"), s, "doc_id", 0.0).select("a", "b", F.round("est", 6).alias("est"))
 
@@ -187,10 +188,25 @@ def lsh_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, coalesce(keeper, doc_id) AS keeper FROM SIG LEFT JOIN K ON x = doc_id""",
 )
 def near_dup_keepers(spark: SparkSession, d: str) -> DataFrame:
+    """Keepers by the linear rule; ``near_dup_keepers_all`` is whole."""
     s = written(_sigs(spark, d), "signatures")
     return dedupe.keepers(s, dedupe.estimated(dedupe.candidate_pairs(s, "doc_id"), s, "doc_id"), "doc_id")
 
 
+@query("lsh_all_links")
+def lsh_all_links(spark: SparkSession, d: str) -> DataFrame:
+    """All documents whose signatures agree at 0.8 or more; those of equal signature by their least document."""
+    s = written(_sigs(spark, d), "signatures")
+    return dedupe.all_links(s, "doc_id").select("a", "b", F.round("est", 6).alias("est"))
+
+
+@query("near_dup_keepers_all")
+def near_dup_keepers_all(spark: SparkSession, d: str) -> DataFrame:
+    """The least document of each group that all links connect."""
+    s = written(_sigs(spark, d), "signatures")
+    return dedupe.keepers(s, dedupe.all_links(s, "doc_id"), "doc_id")
+
+
 _SQL_KW = lambda c: f"regexp_extract_all({sql_key(sql_normalize(c))}, '[^{B}]+')"
 _SQL_DECON = f"""EV AS (SELECT item_id, {_SQL_KW('text')} AS w FROM eval_items),
     T0 AS (SELECT 0 AS kind, array_to_string(w, ' ') AS gram, item_id FROM EV WHERE len(w) > 0 UNION ALL SELECT 13, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))), item_id FROM EV WHERE len(w) >= 13

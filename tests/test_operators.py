@@ -62,6 +62,27 @@ def test_minhash_close_to_exact(spark):
     assert keep[3] == 0 and keep[2] == 2 and keep[4] == 4
 
 
+def test_all_links_of_a_bucket(spark):
+    x = list(range(64))
+    y1 = x[:16] + [1000 + i for i in range(48)]
+    y2 = [v + 5000 if i >= 16 and i % 4 == 0 else v for i, v in enumerate(y1)]
+    z = x[:16] + [3000 + i for i in range(48)]
+    s = spark.createDataFrame([(0, x), (1, y1), (2, z), (3, y2), (4, z), (5, y2)], "id long, sig array<long>")
+    assert {(r.a, r.b) for r in dedupe.estimated(dedupe.candidate_pairs(s, "id"), s, "id").collect()} == {(2, 4), (3, 5)}  # the linear rule loses (1, 3)
+    assert {(r.a, r.b): r.est for r in dedupe.all_links(s, "id").collect()} == {(1, 3): 52 / 64, (2, 4): 1.0, (3, 5): 1.0}
+    assert {r.id: r.keeper for r in dedupe.keepers(s, dedupe.all_links(s, "id"), "id").collect()} == {0: 0, 1: 1, 2: 2, 3: 1, 4: 2, 5: 1}
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, dedupe.PRIME, 64)
+    sigs = np.where(rng.random((150, 64)) < 0.13, rng.integers(0, dedupe.PRIME, (150, 64)), base)
+    many = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(sigs)], "id long, sig array<long>").repartition(3)
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if (sigs[a] == sigs[b]).mean() >= 0.8}
+    for tile in (8, 2048):
+        assert {(r.a, r.b) for r in dedupe.all_links(many, "id", tile=tile).collect()} == want
+    assert want - {(r.a, r.b) for r in dedupe.candidate_pairs(many, "id").collect()}
+    with pytest.raises(ValueError):
+        dedupe.all_links(many, "id", 0.7)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
