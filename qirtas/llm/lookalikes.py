@@ -153,8 +153,11 @@ def unify(records: DataFrame, classes: DataFrame) -> DataFrame:
     def words_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: mapped_words(t) if t else [])
 
-    d = records.select("tbl", "key", "text", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "w")).join(classes, "w", "left")
-    d = d.groupBy("tbl", "key", "text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canonical", "w").alias("w")))), lambda x: x["w"]), " ").alias("c"))
+    # rows that arrive again go through once and are counted, as their words would fall into one group
+    d = records.groupBy("tbl", "key", "text").agg(F.count(F.lit(1)).alias("n"))
+    d = d.select("tbl", "key", "text", "n", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "w")).join(classes, "w", "left")
+    d = d.groupBy("tbl", "key", "text", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canonical", "w").alias("w")))), lambda x: x["w"]), " ").alias("c"))
+    d = d.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     seen = F.col("c") != ""
     return d.select("tbl", "key", F.unhex(F.md5("text")).alias("stored"), F.when(seen, F.unhex(F.md5("c"))).alias("shown"), F.when(seen, F.col("c")).otherwise(F.col("text")).alias("canonical"))
 

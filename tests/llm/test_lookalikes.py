@@ -67,3 +67,13 @@ def test_joined_way_equals_broadcast_way(spark, monkeypatch):
     u = L.unify(r, c)
     assert {x.key: x.canonical for x in u.collect()} == want
     assert {(x.key_a, x.key_b) for x in L.look_alike_pairs(u).collect()} == {("0", "1"), ("0", "2"), ("1", "2")}
+
+
+def test_rows_that_arrive_again_on_the_joined_way(spark, monkeypatch):
+    r = frame(spark, [("t", "0", "قلم كبير"), ("t", "1", "قلم​ كبير"), ("t", "1", "قلم​ كبير"), ("t", None, "قلم"), ("t", None, "قلم"), ("t", "2", None), ("t", "2", None)])
+    c = L.word_classes(r)
+    want = sorted(((x.key, x.canonical) for x in L.unify(r, c).collect()), key=str)
+    monkeypatch.setattr(L, "BROADCAST_WORDS", -1)
+    u = L.unify(r, c)
+    assert sorted(((x.key, x.canonical) for x in u.collect()), key=str) == want and len(want) == 7
+    assert {(x.key_a, x.key_b) for x in L.look_alike_pairs(u).collect()} == {("0", "1")}
