@@ -10,8 +10,8 @@ log ratio of their probabilities at the ends of artificially cut answers and of
 bounded sample (``SAMPLE`` answers by hash order) and refined once without the answers that the first round takes for
 cut. Refusals are recognised by phrases that cover most of an answer; a story that quotes one is none.
 
-Scale: answers and prompts are reduced to a few numbers each where they lie; only these, and the folded words of short
-answers, are joined by passage id. A passage that answers a third of all prompts is one build row of that join.
+Scale: answers and prompts are reduced to a few numbers each where they lie; only these, and a 64-bit hash of each folded
+word, are joined by passage id. A passage that answers a third of all prompts is one build row of that join.
 
 Defined results: a null or blank prompt has no language and cannot be copied, so its answer is only judged by itself;
 short complete answers are sound; prompts whose passage does not exist have no row; repeated keys give one row.
@@ -22,11 +22,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,6 @@ from qirtas.llm import languages, tails
 from qirtas.llm.words import RAW_WORD, no_markup, same
 
 SAMPLE = 6000
-#: Answers longer than this can't be copies or refusals.
-SHORT_WORDS = 40
 #: Share of an answer that refusal phrases cover.
 REFUSAL_COVERAGE = 0.6
 #: Share of a text's words that make a language one of its languages, the posterior that is sure, and the least words.
@@ -109,6 +109,15 @@ lo siento
 LABELS = frozenset(same(w) for w in "الجواب جواب الإجابة السؤال سؤال س ج answer question q a antwort frage réponse question respuesta pregunta".split())
 
 
+@lru_cache(maxsize=200_000)
+def hashed(word: str) -> int:
+    """A signed 64-bit hash of a folded word."""
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+LABEL_HASHES = frozenset(map(hashed, LABELS))
+
+
 def folded(text: str) -> list[str]:
     return [f for w in RAW_WORD.findall(no_markup(text)) if (f := same(w))]
 
@@ -126,24 +135,28 @@ def phrases() -> ahocorasick.Automaton:
 
 def refuses(words: list[str], auto: ahocorasick.Automaton) -> bool:
     joined = f" {' '.join(words)} "
-    core, covered = False, set()
+    core, covered, last, at = False, set(), 0, 0
     for end, (is_core, n) in auto.iter(joined):
-        last = joined.count(" ", 0, end)
+        last, at = last + joined.count(" ", at, end), end
         core |= is_core
         covered.update(range(last - n, last))
     return core and len(covered) >= REFUSAL_COVERAGE * len(words)
 
 
-def copies(answer: list[str], prompt: list[str]) -> bool:
-    a = list(answer)
-    while a and a[0] in LABELS and a[: len(prompt)] != prompt:
-        a.pop(0)
+def copies(answer: list[int], prompt: list[int]) -> bool:
+    """Whether the hashed words are the prompt's, once or several times, or nearly so; labels before them aside."""
+    at = 0
+    while at < len(answer) and answer[at] in LABEL_HASHES and answer[at : at + len(prompt)] != prompt:
+        at += 1
+    a = answer[at:]
     if not a or not prompt:
         return False
     if len(a) % len(prompt) == 0 and a == prompt * (len(a) // len(prompt)):
         return True
+    if len(prompt) < 4 or min(len(a), len(prompt)) < 0.9 * max(len(a), len(prompt)):
+        return False
     common = sum((Counter(a) & Counter(prompt)).values())
-    return len(prompt) >= 4 and common >= 0.9 * max(len(a), len(prompt))
+    return common >= 0.9 * max(len(a), len(prompt))
 
 
 class Posterior:
@@ -244,7 +257,7 @@ class Facts:
     used: int
     sure: int
     n_words: int
-    words: list[str] | None
+    words: list[int] | None
 
 
 class Judge:
@@ -254,19 +267,18 @@ class Judge:
     def answer(self, text: str | None) -> Facts:
         if not text or not regex.search(r"[\p{L}\p{N}]", text):
             return Facts(True, False, False, 0, 0, 0, None)
-        words = folded(text) if len(text) < 30 * SHORT_WORDS else None
-        short = words is not None and len(words) <= SHORT_WORDS
-        if short and words in (["n", "a"], ["na"], ["null"], ["none"], ["nil"], ["nan"], ["undefined"], ["لا", "يوجد"], ["لا", "شيء"]):
+        words = folded(text)
+        if words in (["n", "a"], ["na"], ["null"], ["none"], ["nil"], ["nan"], ["undefined"], ["لا", "يوجد"], ["لا", "شيء"]):
             return Facts(True, False, False, 0, 0, 0, None)
         used, sure, n = self.posterior.used(text)
         cut = n >= CUT_WORDS and not tails.finished(text) and float(self.ends[end_features(text)].sum()) > CUT
-        return Facts(False, short and refuses(words, self.auto), cut, used, sure, n, words if short else None)
+        return Facts(False, refuses(words, self.auto), cut, used, sure, n, list(map(hashed, words)))
 
-    def prompt(self, text: str | None) -> tuple[int, list[str]]:
-        return (self.posterior.used(text)[0], folded(text)) if text else (0, [])
+    def prompt(self, text: str | None) -> tuple[int, list[int]]:
+        return (self.posterior.used(text)[0], list(map(hashed, folded(text)))) if text else (0, [])
 
 
-def defect(a: Facts, used: int, prompt: list[str]) -> str | None:
+def defect(a: Facts, used: int, prompt: list[int]) -> str | None:
     if a.empty:
         return "empty"
     if a.words is not None and copies(a.words, prompt):
@@ -278,7 +290,7 @@ def defect(a: Facts, used: int, prompt: list[str]) -> str | None:
     return "truncated" if a.cut else None
 
 
-FACTS = "empty boolean, refusal boolean, cut boolean, used int, sure int, n_words int, words array<string>"
+FACTS = "empty boolean, refusal boolean, cut boolean, used int, sure int, n_words int, words array<bigint>"
 
 
 def train(answers: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tuple[Posterior, np.ndarray]:
@@ -329,7 +341,7 @@ def defects_of_queries(queries: DataFrame, passages: DataFrame, sent) -> DataFra
         judge = judge_of(sent)
         for batch in batches:
             rows = [judge.answer(t) for t in batch.column(1).to_pylist()]
-            kinds = {"used": pa.int32(), "sure": pa.int32(), "n_words": pa.int32(), "words": pa.list_(pa.string())}
+            kinds = {"used": pa.int32(), "sure": pa.int32(), "n_words": pa.int32(), "words": pa.list_(pa.int64())}
             cols = {k: pa.array([getattr(r, k) for r in rows], kinds.get(k, pa.bool_())) for k in Facts.__dataclass_fields__}
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols.values()], names=["pid", *cols])
 
@@ -337,7 +349,7 @@ def defects_of_queries(queries: DataFrame, passages: DataFrame, sent) -> DataFra
         judge = judge_of(sent)
         for batch in batches:
             rows = [judge.prompt(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["qid", "pids", "q_used", "q_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["qid", "pids", "q_used", "q_words"])
 
     def judge_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,6 +359,6 @@ def defects_of_queries(queries: DataFrame, passages: DataFrame, sent) -> DataFra
             yield out.filter(pa.array([f is not None for f in found], pa.bool_()))
 
     a = passages.select("pid", "text").where("pid is not null").mapInArrow(facts, f"pid string, {FACTS}").dropDuplicates(["pid"])
-    q = queries.select("qid", "query", F.array_distinct("pos_pids").alias("pids")).where("qid is not null and size(pids) > 0").mapInArrow(prompts, "qid string, pids array<string>, q_used int, q_words array<string>")
+    q = queries.select("qid", "query", F.array_distinct("pos_pids").alias("pids")).where("qid is not null and size(pids) > 0").mapInArrow(prompts, "qid string, pids array<string>, q_used int, q_words array<bigint>")
     q = q.select("qid", F.explode("pids").alias("pid"), "q_used", "q_words")
     return q.join(a, "pid").mapInArrow(judge_rows, "rec_id string, pid string, defect string").distinct()

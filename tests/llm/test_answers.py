@@ -36,6 +36,19 @@ def test_each_defect(judge):
         assert kind(judge, q, s) is None
 
 
+def test_copies_and_refusals_of_any_length(spark, judge):
+    rng = random.Random(4)
+    long_, middle, short = (" ".join(sentence("ar", n, rng) for _ in range(k)) for n, k in ((12, 5), (15, 1), (8, 1)))
+    refusal = " ".join(["عذرا، لا أستطيع الإجابة عن هذا السؤال. شكرا على سؤالك، لكن لن أتمكن من الرد على هذا الطلب."] * 4)
+    cases = [(long_, long_, "copy"), (long_, f"الجواب: {long_}", "copy"), (middle, " ".join([middle] * 3), "copy"), (short, "<b class='x'>" * 150 + short, "copy"), (short, refusal, "refusal")]
+    assert [kind(judge, q, a) for q, a, _ in cases] == [k for *_, k in cases]
+    assert len(A.folded(refusal)) > 40 and kind(judge, long_, " ".join(sentence("ar", 12, rng) for _ in range(6))) is None
+    sent = A.sent_judge(spark, judge.posterior, judge.ends)
+    queries = spark.createDataFrame([(f"q{i}", q, [f"p{i}"]) for i, (q, _, _) in enumerate(cases)], "qid string, query string, pos_pids array<string>")
+    passages = spark.createDataFrame([(f"p{i}", a) for i, (_, a, _) in enumerate(cases)], "pid string, text string")
+    assert sorted(map(tuple, A.defects_of_queries(queries, passages, sent).collect())) == [(f"q{i}", f"p{i}", k) for i, (*_, k) in enumerate(cases)]
+
+
 def test_held_out_truncation(judge):
     rng = random.Random(3)
     whole = [" ".join(sentence("ar", rng.randint(8, 14), rng) for _ in range(3)) for _ in range(200)]
