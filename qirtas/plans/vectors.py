@@ -87,6 +87,41 @@ def ndcg_recall(spark: SparkSession, d: str) -> DataFrame:
     return m.select("qid", *(F.round(c, 6).alias(c) for c in ("ndcg10", "recall10", "recall100")))
 
 
+@query("ndcg_recall_whole")
+def ndcg_recall_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``ndcg_recall`` with recall100 from the hundred nearest; that one's SQL stops at rank 50."""
+    e = table(spark, d, "embeddings", "vec_id", "label")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
+    rel = q.join(e, "label").where("qid <> vec_id").select("qid", F.col("vec_id").alias("pid"))
+    m = V.retrieval_metrics(_top(spark, d, 100), rel)
+    return m.select("qid", *(F.round(c, 6).alias(c) for c in ("ndcg10", "recall10", "recall100")))
+
+
+@query("consistency_rank_whole")
+def consistency_rank_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Rank of a query's best positive among all vectors, whatever its place; null for a query without a positive. The
+    SQL of ``consistency_rank`` looks among the fifty nearest, and gives rank 1 where they hold no positive."""
+    e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("al"))
+    p = e.select(F.col("vec_id").alias("pid"), F.col("embedding").alias("p"), F.col("label").alias("al"))
+    own = q.join(p, "al").where("qid <> pid").groupBy("qid").agg(F.max(V.dot(F.col("q"), F.col("p"))).alias("own"))
+    own = q.join(own, "qid")
+    return q.select("qid").join(own.select("qid", "own"), "qid", "left").join(V.count_above(own, e), "qid", "left").select("qid", F.when(F.col("own").isNotNull(), F.coalesce("n", F.lit(0)) + 1).alias("rank"))
+
+
+@query("rank_histogram_whole")
+def rank_histogram_whole(spark: SparkSession, d: str) -> DataFrame:
+    r = consistency_rank_whole(spark, d).where("rank is not null")
+    bucket = F.when(F.col("rank") > 100, "over 100").otherwise(V.rank_bucket(F.col("rank")))
+    return r.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.median("rank").alias("median"))
+
+
+@query("capped_rank_counts_whole")
+def capped_rank_counts_whole(spark: SparkSession, d: str) -> DataFrame:
+    r = consistency_rank_whole(spark, d).where("rank is not null")
+    return r.groupBy(F.least("rank", F.lit(5)).alias("rank")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "pair_rank_dup_masked",
     f"""WITH {SQL_EQ}, P AS (SELECT q.vec_id AS qid, list_inner_product(q.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS own, a.label AS al FROM EQ q JOIN embeddings a ON a.vec_id = q.vec_id + 1),
