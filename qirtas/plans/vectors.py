@@ -169,6 +169,16 @@ def rank_among_random(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("vec_id").agg((F.count_if(V.dot(F.col("q"), F.col("p")) > F.col("own") + 1e-9) + 1).alias("rank"))
 
 
+@query("rank_among_random_whole")
+def rank_among_random_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Rank, score and best negative of each row's answer among those of 99 drawn rows of its label; the SQL of
+    ``rank_among_random`` draws nine."""
+    e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
+    a = e.select(F.col("vec_id").alias("even"), F.col("embedding").alias("p"))
+    items = e.join(a, F.col("even") == F.floor(F.col("vec_id") / 2) * 2).select("vec_id", "label", F.col("embedding").alias("q"), "p")
+    return V.true_ranks(items, "vec_id", "label", "q", "p")
+
+
 _SQL_RES = "RES AS (SELECT 'm' || (label % 3) AS model, 't' || (vec_id % 4) AS task, CAST(vec_id % 7 AS DOUBLE) / 7 AS score, vec_id % 5 = 0 AS flagged, vec_id FROM embeddings WHERE NOT (label % 3 = 1 AND vec_id % 4 = 2))"
 
 

@@ -30,3 +30,15 @@ def test_ranks_past_the_fifty_nearest(spark, tmp_path):
     assert {r.qid: r["rank"] for r in P.consistency_rank(spark, str(tmp_path)).collect()}[0] == 1  # what the fifty give
     assert {r.bucket: r.n for r in P.rank_histogram_whole(spark, str(tmp_path)).collect()}["over 100"] == 1
     assert sum(r.n for r in P.capped_rank_counts_whole(spark, str(tmp_path)).collect()) == 2
+
+
+def test_rank_among_ninety_nine(spark, tmp_path):
+    v, _ = table(spark, tmp_path, lambda i, v: 0, 100)  # a group of 100: all others are drawn
+    got = {r.vec_id: r for r in P.rank_among_random_whole(spark, str(tmp_path)).collect()}
+    s = v @ v[np.arange(100) // 2 * 2].T
+    for i in range(100):
+        others = np.delete(s[i], i)
+        assert got[i]["rank"] == 1 + (others > s[i, i] + 1e-9).sum()
+        assert abs(got[i].score - s[i, i]) < 1e-9 and abs(got[i].best_negative - others.max()) < 1e-9
+    assert max(r["rank"] for r in got.values()) > 10
+    assert max(r["rank"] for r in P.rank_among_random(spark, str(tmp_path)).collect()) <= 10
