@@ -2,8 +2,8 @@
 
 Sainte-Laguë apportionment: a mixture is cut into equal blocks of records, and each block goes to the source with the
 highest quotient weight / (2 * blocks so far + 1), as long as that source has blocks left (its records times the
-repeats that are allowed). A source's blocks are apportioned to its shards in the same way, by what they hold, and each
-shard then takes its integer quota of blocks in a seeded order. Only counts per target and shard reach the driver.
+repeats that are allowed). A source's records are then apportioned to its shards by largest remainders, by what they
+hold, and each shard takes its integer quota of records in a seeded order. Only counts per target and shard reach the driver.
 
 Defined results: the total is the largest at which no source needs more than its repeats, so that all shares can be met;
 a target without records, or of weight 0, gets none and the others share the total; a key that arrives again is one record
@@ -53,14 +53,15 @@ def quotas(counts: dict[tuple[int, int], int], shares: list[float], repeats: lis
     weight = sum(shares[t] for t in live)
     total = math.floor(min(have[t] * repeats[t] * weight / shares[t] for t in live) + 1e-9)
     block = max(1, total // MOST_BLOCKS)
-    per_shard = {k: n * repeats[k[0]] // block for k, n in counts.items()}
-    caps = [sum(v for (t, _), v in per_shard.items() if t == i) for i in range(len(shares))]
+    caps = [n * r // block for n, r in zip(have, repeats)]
     got = sainte_lague([shares[t] if t in live else 0 for t in range(len(shares))], caps, total // block)
     out: dict[tuple[int, int], int] = {}
     for t in live:
-        keys = sorted(k for k in counts if k[0] == t)
-        for k, q in zip(keys, sainte_lague([counts[k] for k in keys], [per_shard[k] for k in keys], got[t])):
-            out[k] = q * block
+        keys, seats = sorted(k for k in counts if k[0] == t), got[t] * block
+        for k in keys:
+            out[k] = seats * counts[k] // have[t]
+        for k in sorted(keys, key=lambda k: -(seats * counts[k] % have[t]))[: seats - sum(out[k] for k in keys)]:
+            out[k] += 1
     return block, out
 
 

@@ -40,6 +40,17 @@ def test_many_shards_give_the_same_totals(spark, monkeypatch):
     assert got == {0: 2000, 1: 2000}
 
 
+def test_many_shards_lose_no_part_of_a_scarce_source():
+    counts = {(t, s): n + s % 7 for s in range(4096) for t, n in ((0, 20_000), (1, 5_000))}
+    shares, repeats = [0.92, 0.08], [1, 1]
+    have = [sum(n for (t, _), n in counts.items() if t == i) for i in (0, 1)]
+    block, quota = M.quotas(counts, shares, repeats)
+    drawn = [sum(q for (t, _), q in quota.items() if t == i) for i in (0, 1)]
+    assert all(0 <= q <= counts[k] for k, q in quota.items())
+    assert abs(drawn[1] / sum(drawn) - 0.08) < 2 / M.MOST_BLOCKS
+    assert sum(drawn) > min(h / s for h, s in zip(have, shares)) - 2 * block
+
+
 def test_empty_and_missing_sources(spark):
     r = records(spark, 20)
     assert M.mix(r.limit(0), F.col("qid"), [F.lit(True)], [1.0], [1]).count() == 0
