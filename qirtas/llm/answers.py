@@ -14,11 +14,13 @@ Scale: answers and prompts are reduced to a few numbers each where they lie; onl
 word, are joined by passage id. A passage that answers a third of all prompts is one build row of that join.
 
 Defined results: a null or blank prompt has no language and cannot be copied, so its answer is only judged by itself;
-short complete answers are sound; prompts whose passage does not exist have no row; repeated keys give one row.
+short complete answers are sound; prompts whose passage does not exist have no row; repeated keys give one row; where a
+passage id arrives with different texts, the text of the least hash is the answer.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qirtas.llm import languages, tails
+from qirtas.llm import languages, samples, tails
 from qirtas.llm.words import RAW_WORD, no_markup, same
 
 SAMPLE = 6000
@@ -224,22 +226,21 @@ def end_features(text: str) -> list[int]:
     return tails.hashed([*tails.features(text), f"words={min(n, 8)}"])
 
 
-def train_ends(texts: list[str], seed: int = 11) -> np.ndarray:
-    """Weights whose sum over an answer's end is the log odds that it was cut."""
-    rng = np.random.default_rng(seed)
-    rows, y = [], []
-    for t in texts:
-        if not t.strip():
-            continue
-        rows.append(end_features(t))
-        y.append(0)
-        if tails.finished(t) and len(t.split()) >= 8:
-            for _ in range(2):
-                cut = t[: int(rng.integers(len(t) // 4, len(t) - 1))]
-                if cut.strip() and not tails.finished(cut):
-                    rows.append(end_features(cut))
-                    y.append(1)
-    labels = np.array(y, float)
+def end_examples(text: str, seed: int = 11) -> Iterator[tuple[list[int], int]]:
+    """Features and label (1: cut) of an answer as it is and of its artificial cuts."""
+    if not text.strip():
+        return
+    yield end_features(text), 0
+    if tails.finished(text) and len(text.split()) >= 8:
+        rng = np.random.default_rng(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed))
+        for _ in range(2):
+            cut = text[: int(rng.integers(len(text) // 4, len(text) - 1))]
+            if cut.strip() and not tails.finished(cut):
+                yield end_features(cut), 1
+
+
+def fit_ends(rows: list[list[int]], labels: np.ndarray) -> np.ndarray:
+    """Weights whose sum over an answer's end is the log odds that it was cut; all 0 where there is nothing to tell."""
     if not labels.any() or labels.all():
         return np.zeros(tails.SPACE)
     w = tails.likelihood_ratio(rows, labels)
@@ -247,6 +248,11 @@ def train_ends(texts: list[str], seed: int = 11) -> np.ndarray:
     return tails.likelihood_ratio([r for r, k in zip(rows, keep) if k], labels[keep])
 
 
+def train_ends(texts: list[str]) -> np.ndarray:
+    both = [x for t in texts for x in end_examples(t)]
+    return fit_ends([f for f, _ in both], np.array([y for _, y in both], float))
+
+
 @dataclass
 class Facts:
     """What is known of an answer without its prompt."""
@@ -294,30 +300,54 @@ FACTS = "empty boolean, refusal boolean, cut boolean, used int, sure int, n_word
 
 
 def train(answers: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tuple[Posterior, np.ndarray]:
-    """Both models: ends from ``answers(rec_id, text)``, languages from ``labelled(rec_id, text, lang)``."""
-    d = answers.where("text is not null")
-    few = d.where(F.pmod(F.xxhash64("rec_id", F.lit("ends")), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * sample // max(1, d.count())))
-    ends = train_ends([r.text for r in few.orderBy("rec_id", "text").limit(2 * sample).toLocalIterator()])
-    return Posterior.train(languages.sample(labelled)), ends
+    """Both models: ends from ``answers(rec_id, text)``, languages from ``labelled(rec_id, text, lang)``. Each is fitted in
+    one task from its bounded sample; the driver gets the models, whose size the samples bound."""
+    d = answers.select("rec_id", "text").where("text is not null")
+    few = samples.first(d, "rec_id", ["text"], F.lit(samples.bound(d.count(), sample)), 2 * sample, "ends")
+
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [x for t in batch.column(0).to_pylist() for x in end_examples(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in both], pa.list_(pa.int32())), pa.array([y for _, y in both], pa.int8())], names=["f", "y"])
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((y, f) for b in batches for f, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        w = fit_ends([f for _, f in rows], np.array([y for y, _ in rows], float))
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], names=["i", "w"])
+
+    cores = answers.sparkSession.sparkContext.defaultParallelism
+    got = few.select("text").repartition(cores).mapInArrow(look, "f array<int>, y tinyint").repartition(1).mapInArrow(learn, "i int, w double").toPandas()
+    ends = np.zeros(tails.SPACE)
+    ends[got["i"].to_numpy()] = got["w"].to_numpy()
+
+    def languages_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Posterior.train([x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
+        grams = ["", *sorted(p.logs)]  # no n-gram is empty: this row holds what an unseen one gets
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array([p.unseen.tolist(), *(p.logs[g].tolist() for g in grams[1:])], pa.list_(pa.float64()))], names=["g", "v"])
+
+    logs = {r.g: np.array(r.v) for r in languages.sampled(labelled).repartition(1).mapInArrow(languages_of, "g string, v array<double>").collect()}
+    unseen = logs.pop("", np.full(len(languages.LANGUAGES), np.log(0.5)))
+    return Posterior(logs, unseen), ends
 
 
 def sent_judge(spark, posterior: Posterior, ends: np.ndarray):
-    """The models as a broadcast: their size is bounded by the samples and by ``tails.SPACE``."""
+    """The models as a broadcast, with a name of their own: their size is bounded by the samples and ``tails.SPACE``."""
     at = np.flatnonzero(ends)
-    return spark.sparkContext.broadcast((posterior.logs, posterior.unseen, at, ends[at].astype(np.float32)))
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, posterior.logs, posterior.unseen, at, ends[at].astype(np.float32)))
 
 
-_judges: dict[int, Judge] = {}
+_judges: dict[str, Judge] = {}
 
 
 def judge_of(sent) -> Judge:
-    value = sent.value
-    if (j := _judges.get(id(value))) is None:
-        logs, unseen, at, w = value
+    """The judge of a broadcast, built once in each worker; by the models' own name, as workers serve many tables."""
+    name, logs, unseen, at, w = sent.value
+    if (j := _judges.get(name)) is None:
         ends = np.zeros(tails.SPACE, np.float32)
         ends[at] = w
         _judges.clear()
-        j = _judges[id(value)] = Judge(Posterior(logs, unseen), ends)
+        j = _judges[name] = Judge(Posterior(logs, unseen), ends)
     return j
 
 
@@ -340,10 +370,11 @@ def defects_of_queries(queries: DataFrame, passages: DataFrame, sent) -> DataFra
     def facts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = judge_of(sent)
         for batch in batches:
-            rows = [judge.answer(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            rows = [judge.answer(t) for t in texts]
             kinds = {"used": pa.int32(), "sure": pa.int32(), "n_words": pa.int32(), "words": pa.list_(pa.int64())}
             cols = {k: pa.array([getattr(r, k) for r in rows], kinds.get(k, pa.bool_())) for k in Facts.__dataclass_fields__}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols.values()], names=["pid", *cols])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed(t or "") for t in texts]), *cols.values()], names=["pid", "hash", *cols])
 
     def prompts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = judge_of(sent)
@@ -358,7 +389,8 @@ def defects_of_queries(queries: DataFrame, passages: DataFrame, sent) -> DataFra
             out = pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("pid"), pa.array(found, pa.string())], names=["rec_id", "pid", "defect"])
             yield out.filter(pa.array([f is not None for f in found], pa.bool_()))
 
-    a = passages.select("pid", "text").where("pid is not null").mapInArrow(facts, f"pid string, {FACTS}").dropDuplicates(["pid"])
+    a = passages.select("pid", "text").where("pid is not null").mapInArrow(facts, f"pid string, hash bigint, {FACTS}")
+    a = a.groupBy("pid").agg(F.min_by(F.struct(*Facts.__dataclass_fields__), "hash").alias("f")).select("pid", "f.*")
     q = queries.select("qid", "query", F.array_distinct("pos_pids").alias("pids")).where("qid is not null and size(pids) > 0").mapInArrow(prompts, "qid string, pids array<string>, q_used int, q_words array<bigint>")
     q = q.select("qid", F.explode("pids").alias("pid"), "q_used", "q_words")
     return q.join(a, "pid").mapInArrow(judge_rows, "rec_id string, pid string, defect string").distinct()

@@ -12,7 +12,7 @@ only texts whose label it confirms train the second.
 
 Scale: one pass over the records for counts of labels, one for the sample, one to label; no shuffle of texts.
 
-Defined results: null and wordless texts have one row without language, of 0 words and confidence 0; texts under ``least_words`` words, or with too
+Defined results: null and wordless texts have one row without language, of 0 words and confidence 0; texts under ``least_words`` words (``wrong_labels``), or with too
 little evidence for any language (lang null), are no case; numbers, links and tags count as words without evidence;
 stretches shorter than ``stretch`` belong to their surroundings; a tie goes to the language that comes first in
 ``LANGUAGES``; repeated rows are judged alike.
@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qirtas.llm import samples
 from qirtas.llm.words import INSIDE, no_markup
 
 LANGUAGES = ("ar", "en", "fr", "de", "es", "fa", "ur")
@@ -148,11 +149,11 @@ class Filter:
         return [known[t] for t in raw]
 
 
-def members(samples: list[tuple[int, set[str]]], ratio: float) -> dict[str, int]:
+def members(texts: list[tuple[int, set[str]]], ratio: float) -> dict[str, int]:
     """Languages of each n-gram: those whose texts hold it at least ``ratio`` times as often as those that hold it most."""
-    size = Counter(lang for lang, _ in samples)
+    size = Counter(lang for lang, _ in texts)
     seen: list[Counter] = [Counter() for _ in LANGUAGES]
-    for lang, gs in samples:
+    for lang, gs in texts:
         seen[lang].update(gs)
     least = [max(3, 0.005 * size[k]) for k in range(len(LANGUAGES))]
     out: dict[str, int] = {}
@@ -269,18 +270,28 @@ def label_batch(f: Filter, texts: list[str | None], stretch: int) -> list[list[t
     return out
 
 
-def sample(records: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
-    """About ``per_language`` labelled texts of each language, by hash of the key."""
+def sampled(records: DataFrame, per_language: int = SAMPLE) -> DataFrame:
+    """``l, text``: about ``per_language`` labelled texts of each language, by hash of the key."""
     d = records.select("rec_id", "text", label_language(F.col("lang")).alias("l")).where("l is not null and text is not null")
     n = {r.l: r["count"] for r in records.select(label_language(F.col("lang")).alias("l")).groupBy("l").count().collect() if r.l}
     if not n:
-        return []
-    share = F.create_map(*(F.lit(x) for l, c in n.items() for x in (l, min(1_000_000, 1_000_000 * per_language // c))))
-    d = d.where(F.pmod(F.xxhash64("rec_id", F.lit("sample")), F.lit(1_000_000)) < share[F.col("l")])
-    return sorted((r.l, r.text) for r in d.select("l", "text").limit(2 * per_language * len(LANGUAGES)).collect())
+        return d.select("l", "text").limit(0)
+    below = F.create_map(*(F.lit(x) for l, c in n.items() for x in (l, samples.bound(c, per_language))))
+    return samples.first(d, "rec_id", ["l", "text"], below[F.col("l")], 2 * per_language * len(LANGUAGES), "sample").select("l", "text")
 
 
-def label_languages(records: DataFrame, filter_: Filter, stretch: int = STRETCH, least_words: int = LEAST_WORDS) -> DataFrame:
+def trained(records: DataFrame, per_language: int = SAMPLE) -> Filter:
+    """The filter of the sample, trained in one task; its rows (``ROWS`` bytes) come to the driver."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = train([x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
+        yield pa.RecordBatch.from_arrays([pa.array([f.rows.tobytes()], pa.binary())], names=["rows"])
+
+    got = sampled(records, per_language).repartition(1).mapInArrow(run, "rows binary").collect()
+    return Filter(np.frombuffer(got[0].rows, np.uint8) if got else np.zeros(ROWS, np.uint8))
+
+
+def label_languages(records: DataFrame, filter_: Filter, stretch: int = STRETCH) -> DataFrame:
     """``tbl, rec_id, label, seg, lang, confidence, n_words, n_segs`` for ``records(tbl, rec_id, text, lang)``."""
     sent = records.sparkSession.sparkContext.broadcast(filter_.rows)  # a fixed size: one byte for each of ROWS
     d = records.select("tbl", F.col("rec_id").cast("string"), label_language(F.col("lang")).alias("label"), "text")

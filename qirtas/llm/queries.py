@@ -33,7 +33,7 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "pairs", "pair_id", "passage", "lang").select(F.lit("pairs").alias("tbl"), F.col("pair_id").cast("string").alias("rec_id"), F.col("passage").alias("text"), "lang")
     t = t.union(table(spark, d, "passages", "pid", "text", "lang").select(F.lit("passages"), "*"))
     t = t.union(table(spark, d, "supervised_queries", "qid", "query", "lang").select(F.lit("supervised_queries"), "*"))
-    return languages.label_languages(t, languages.train(languages.sample(t)))
+    return languages.label_languages(t, languages.trained(t))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -5,10 +5,12 @@ random places, some with the debris of a cut: these are the positives. The negat
 regression on hashed features (closing characters, closing words, the last line, punctuation, length at a limit) is
 trained anew without the values that it takes for cut, as some of the negatives are. It then scores every record.
 
-The training sample has about ``SAMPLE`` values, by hash order of their keys; its size is that documented bound. The
-limits come from the counts of all lengths. Scoring is one pass without a shuffle.
+The training sample has about ``SAMPLE`` values, by hash order of their keys; its size is that documented bound. Its
+values are cut and turned into features where they lie and one task fits the model. The limits come from the counts of
+all lengths. Scoring is one pass without a shuffle.
 
-Defined results: null and blank texts are not cut (score 0); a text that ends with a sentence is not cut even at a
+Defined results: null and blank texts are not cut (score 0), nor is any text of a table whose sample holds no finished
+value to cut, as nothing tells cuts from other ends there; a text that ends with a sentence is not cut even at a
 limit, as nothing shows it; closing lines (lists, bylines, contacts, tags, links) after a finished sentence are learned
 as intact; repeated rows are scored alike.
 """
@@ -19,10 +21,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qirtas.llm import tails
+from qirtas.llm import samples, tails
 
 SAMPLE = 8000
 #: A length is a limit if it has so many values and so many times the mean of its hundred neighbours.
@@ -54,32 +57,30 @@ def named(text: str, at_limit: bool) -> list[int]:
     return tails.hashed(f)
 
 
-def train(texts: list[str], limits_: list[int], seed: int = 7) -> np.ndarray:
-    """Weights from sampled texts as they are."""
-    rng = np.random.default_rng(seed)
+def examples(text: str, limits_: list[int], rng: np.random.Generator) -> Iterator[tuple[list[int], int]]:
+    """Features and label (1: cut) of a sampled text as it is and of its artificial cuts."""
     spots = set(limits_)
-    rows, y = [], []
-    for t in texts:
-        if not t.strip():
-            continue
-        rows.append(named(t, len(t) in spots))
-        y.append(0)
-        if not tails.finished(t) or len(t) < 40:
-            continue
-        for turn in range(2):
-            fits = [x for x in limits_ if x < len(t)]
-            at = int(rng.choice(fits)) if fits and rng.random() < 0.3 else int(rng.integers(20, len(t) - 1))
-            cut = t[:at]
-            if tails.finished(cut) or tails._LINE.search(t[at - 1 : at + 1]) or not cut.strip():
-                continue  # nothing shows this cut
-            if turn:  # every second cut leaves something, a mark or debris
-                left = MARKS if rng.random() < 0.6 else DEBRIS
-                cut += left[rng.integers(len(left))]
-            rows.append(named(cut, at in spots))
-            y.append(1)
-    labels = np.array(y, float)
+    if not text.strip():
+        return
+    yield named(text, len(text) in spots), 0
+    if not tails.finished(text) or len(text) < 40:
+        return
+    fits = [x for x in limits_ if x < len(text)]
+    for turn in range(2):
+        at = int(rng.choice(fits)) if fits and rng.random() < 0.3 else int(rng.integers(20, len(text) - 1))
+        cut = text[:at]
+        if tails.finished(cut) or tails._LINE.search(text[at - 1 : at + 1]) or not cut.strip():
+            continue  # nothing shows this cut
+        if turn:  # every second cut leaves something, a mark or debris
+            left = MARKS if rng.random() < 0.6 else DEBRIS
+            cut += left[rng.integers(len(left))]
+        yield named(cut, at in spots), 1
+
+
+def fit(rows: list[list[int]], labels: np.ndarray) -> np.ndarray | None:
+    """Weights, or None where there is nothing to tell apart (no cuts, or nothing but cuts)."""
     if not labels.any() or labels.all():
-        return np.zeros(tails.SPACE)
+        return None
     x = tails.Rows(rows)
     w = tails.logistic(rows, labels)
     for _ in range(ROUNDS):
@@ -88,21 +89,51 @@ def train(texts: list[str], limits_: list[int], seed: int = 7) -> np.ndarray:
     return w
 
 
+def train(sampled: DataFrame, limits_: list[int], seed: int = 7) -> np.ndarray | None:
+    """Weights from ``sampled(k, t)``, a bounded sample: cut and turned into features where it lies, fitted in one task.
+    Only the weights (at most ``tails.SPACE`` numbers) come to the driver."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, feats, y = [], [], []
+            for t in batch.column(1).to_pylist():
+                h = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), seed)
+                for f, label in examples(t, limits_, np.random.default_rng(h)):
+                    keys.append(h >> 1)
+                    feats.append(f)
+                    y.append(label)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(feats, pa.list_(pa.int32())), pa.array(y, pa.int8())], names=["h", "f", "y"])
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((h, y, f) for b in batches for h, f, y in zip(*(c.to_pylist() for c in b.columns)))
+        w = fit([f for _, _, f in rows], np.array([y for _, y, _ in rows], float))
+        at = np.flatnonzero(w) if w is not None else np.zeros(0, np.int64)
+        if w is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at].astype(np.float32))], names=["i", "w"])
+
+    spread = sampled.repartition(max(1, sampled.sparkSession.sparkContext.defaultParallelism))
+    got = spread.mapInArrow(cut, "h long, f array<int>, y tinyint").repartition(1).mapInArrow(learn, "i int, w float").toPandas()
+    if not len(got):
+        return None
+    weights = np.zeros(tails.SPACE, np.float32)
+    weights[got["i"].to_numpy()] = got["w"].to_numpy()
+    return weights
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """``key, score``: the probability that the text was cut, for every row."""
+    """``key, score``: the probability that the text was cut, for every row; 0 for all where the table shows no cuts to
+    learn from (no finished value in the sample)."""
     spark = docs.sparkSession
     d = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     spots = limits(d.select(F.length("t").alias("n")))
-    n = d.count()
-    few = d.where(F.pmod(F.xxhash64("k", F.lit("tails")), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * sample // max(1, n)))
-    weights = train([r.t for r in few.where("t is not null").orderBy("k").limit(2 * sample).toLocalIterator()], spots)
-    sent = spark.sparkContext.broadcast((weights.astype(np.float32), frozenset(spots)))  # SPACE numbers, whatever the data
+    few = samples.first(d.where("t is not null"), "k", ["t"], F.lit(samples.bound(d.count(), sample)), 2 * sample, "tails")
+    sent = spark.sparkContext.broadcast((train(few, spots), frozenset(spots)))  # SPACE numbers, whatever the data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, at = sent.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for i, t in enumerate(batch.column(1).to_pylist()):
+            for i, t in enumerate(batch.column(1).to_pylist() if w is not None else []):
                 if t and not t.isspace():
                     out[i] = 1 / (1 + np.exp(-np.clip(w[named(t, len(t) in at)].sum(), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=[key, "score"])

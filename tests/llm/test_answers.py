@@ -69,6 +69,23 @@ def test_null_prompts_and_tables(spark, judge):
     assert A.defects_of_pairs(pairs.limit(0), sent).count() == 0
 
 
+def test_models_are_kept_apart(spark, judge):
+    first = A.sent_judge(spark, judge.posterior, judge.ends)
+    other = A.sent_judge(spark, A.Posterior.train([]), np.zeros_like(judge.ends))
+    assert A.judge_of(first) is A.judge_of(first)
+    assert A.judge_of(other).ends.any() == False and A.judge_of(first).ends.any()  # noqa: E712
+
+
+def test_repeated_pids_with_different_texts(spark, judge):
+    sent = A.sent_judge(spark, judge.posterior, judge.ends)
+    queries = spark.createDataFrame([("a", "سؤال عن المدينة القديمة؟", ["p"])], "qid string, query string, pos_pids array<string>")
+    texts = ["نعم.", None, "", "عام 1934"]
+    least = min(texts, key=lambda t: A.hashed(t or ""))
+    for k in range(3):
+        passages = spark.createDataFrame([("p", t) for t in texts[k:] + texts[:k]], "pid string, text string")
+        assert [r.defect for r in A.defects_of_queries(queries, passages, sent).collect()] == ([] if least else ["empty"])
+
+
 def test_untrained_models_flag_nothing():
     w = A.train_ends([])
     assert not w.any()

@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from qirtas.llm import samples as S
 from qirtas.llm import tails
 from qirtas.llm import truncation as T
 from tests.llm.test_languages import sentence
@@ -30,7 +31,8 @@ def documents(n, seed):
 
 def test_held_out_accuracy():
     train, test = documents(3000, 1), documents(1000, 2)
-    w = T.train([t for _, t, _ in train], [300])
+    both = [x for i, t, _ in train for x in T.examples(t, [300], np.random.default_rng(i))]
+    w = T.fit([f for f, _ in both], np.array([c for _, c in both], float))
     y = np.array([c for *_, c in test])
     p = np.array([w[T.named(t, len(t) == 300)].sum() > 0 for _, t, _ in test])
     assert p[y == 1].mean() > 0.95 and p[y == 0].mean() < 0.02
@@ -54,5 +56,21 @@ def test_defined_results(spark):
     assert T.score(df.limit(0)).count() == 0
 
 
+def test_tables_without_cuts_to_learn_from(spark):
+    for rows in ([(1, "نص كامل أول ينتهي هنا."), (2, "نص كامل ثان.")], [(1, "عنوان بلا نقطة"), (2, "عنوان آخر")], [(1, None)]):
+        assert all(r.score == 0 for r in T.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_sample_bounds_at_any_size(spark):
+    assert S.bound(100, 8000) == S.WHOLE - 1
+    for n in (10**6, 10**9, 10**11, 10**15):
+        assert 0.99 < S.bound(n, 8000) * n / S.WHOLE / 8000 <= 1.01
+    df = spark.range(50_000).select("id", F.lit("x").alias("t"))
+    got = S.first(df, "id", ["t"], F.lit(S.bound(50_000, 500)), 1000, "s")
+    assert 400 < got.count() < 600
+    few = S.first(df.repartition(7), "id", ["t"], F.lit(S.WHOLE - 1), 20, "s")
+    assert sorted(r.id for r in few.collect()) == sorted(r.id for r in S.first(df, "id", ["t"], F.lit(S.WHOLE - 1), 20, "s").collect())
+
+
 def test_finished():
     assert [tails.finished(t) for t in ("انتهى.", "انتهى؟ 🙂", "قال: «نعم.»", "بقي [3].", "بقي…", "بقي...", "بقي", ". ")] == [True, True, True, True, False, False, False, True]
