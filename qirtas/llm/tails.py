@@ -54,7 +54,7 @@ def features(text: str) -> list[str]:
     out += [f"x{k}={t[-k:]}" for k in (1, 2, 3)]
     words = _WORD.findall(core[-120:])
     last = words[-1] if words else ""
-    out += [f"w1={last}", f"w2={' '.join(words[-2:])}", f"w3={' '.join(words[-3:])}", f"w1,c={last}|{c}"]
+    out += [f"w2={' '.join(words[-2:])}", f"w3={' '.join(words[-3:])}"]
     out += [f"e{k}={last[-k:]}" for k in (1, 2, 3)]
     out.append(f"len={min(len(last), 8)}|{c}")
     lines = [x for x in _LINE.split(t) if x.strip()]
@@ -64,6 +64,8 @@ def features(text: str) -> list[str]:
     first = shape(tokens[0]) if tokens and not tokens[0][:1].isalpha() else (tokens[0] if tokens else "")
     n = min(len(tokens), 12)
     alone = f"{bool(before) and finished(before)}|{n if n < 5 else 5 if n < 9 else 9}"
+    # a word that closes many lists and tags is no sign of an end where it stands in running text
+    out += [f"w1={last}|{n < 5}", f"w1,c={last}|{c}|{n < 5}"]
     out += [f"first={first}", f"first,c={first}|{c}", f"alone={alone}", f"alone,c={alone}|{c}", f"line={shape(line[:24])}", f"colon={':' in line[:20]}|{c}|{n < 6}"]
     return out
 
