@@ -3,17 +3,23 @@
 The measure is the Jaccard similarity of the sets of three-word runs of query and passage. Records are compared by
 tiled exact comparison of 256-bit fingerprints with exclusive-or and bit counts. A fingerprint has one bit for each
 hashed run, so two records with sets A and B differ in at most |A Δ B| bits, and a similarity of at least t means
-|A Δ B| <= (|A| + |B|) (1 - t) / (1 + t): within that radius nothing is lost. Tiles whose bit counts lie further apart
-than the radius are skipped, and what passes is verified on the run sets themselves.
+|A Δ B| <= (|A| + |B|) (1 - t) / (1 + t): within that radius nothing is lost. What passes is verified on the run sets.
 
-The tiles don't cover all pairs of the collection. All runs have one order: by level, then by hash. The level says how
-far a run's counter, in a sketch of 2^20 counters over the whole collection (a fixed size), is above the usual; most runs
-are of level 0. Two records that are similar enough share a run within their first |A| - ceil(t |A|) + 1 runs of any
-common order, so a record takes part in the blocks of all runs of this prefix, and no pair is lost.
+The tiles don't cover all pairs of the collection. A run is frequent if its counter, in a sketch of 2^20 counters over
+the whole collection (a fixed size), is far above the mean, so every worker knows which runs are. Two similar records
+share at least o = t (|A| + |B|) / (1 + t) runs, and one of two things holds:
+
+* They share a run that is not frequent. In the order "frequent runs last, then by hash" each then has such a run among
+  its first |A| - ceil(t |A|) + 1 runs. Records meet in the blocks of these runs. Blocks are counted exactly: those of
+  one record go, and one of more than a tile's rows is sorted by bit count and cut into tiles; tile pairs whose bit
+  counts lie further apart than the radius are skipped, the others are compared in different tasks.
+* They share only frequent runs, o or more of them. Then each consists of frequent runs for the share t at least (what
+  remains of a template), and all records with the same frequent runs and the same number of runs stand for each other:
+  they form a class, and classes are compared in blocks of their frequent runs as records are. Two classes that share o
+  runs are linked as a whole, so a template of n records that are too different costs n rows and no pairs.
 
 Copies are taken together first: of the records with the same word sequence only the least takes part, and its links
-hold for all. A block whose run may be frequent is cut into tiles of bounded size that are compared pair by pair in
-different tasks, so that a run held by a third of all records is no task's burden.
+hold for all.
 
 Defined results: null query or passage is no words; passages under ``least_words`` words are in no class and have no
 links; records whose key is null are left out; repeated rows of one key count once.
@@ -22,9 +28,11 @@ links; records whose key is null are left out; repeated rows of one key count on
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +40,15 @@ from qirtas.lineage import written
 from qirtas.llm.words import WordHashes, bare
 
 RUN = 3
+#: Bytes of a hashed run.
+RUN_BYTES = 6
 LEAST_WORDS = 20
 SIMILARITY = 0.6
 SKETCH_BITS = 20
-#: Rows a tile holds; blocks of runs that may occur more often than this are cut into tiles.
+#: Rows a tile holds; blocks of more rows are cut into tiles.
 TILE = 512
+#: A run is frequent if its counter is above USUAL + TIMES * the mean counter.
+USUAL, TIMES = 64, 4
 #: Id tables of up to this many rows (16 bytes each) are broadcast, larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 SLICE = 2000
@@ -51,24 +63,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def runs_of(words: np.ndarray, ends: np.ndarray, n: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed n-word runs of each text as 32-bit numbers, sorted, and the offsets of the texts."""
+    """Distinct hashed n-word runs of each text as ``RUN_BYTES``-byte numbers, sorted, and the offsets of the texts."""
     k = len(ends) - 1
     sizes = np.maximum(np.diff(ends) - n + 1, 0)
     if len(words) < n or not sizes.sum():
-        return np.zeros(0, np.uint32), np.zeros(k + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(k + 1, np.int64)
     h = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
         h = mixed(h * _GOLD + words[i : len(words) - n + 1 + i])
     doc = np.repeat(np.arange(k), sizes)
     start = np.repeat(ends[:-1] - (np.cumsum(sizes) - sizes), sizes)
-    h = h[np.arange(len(doc)) + start] >> np.uint64(32)
-    both = np.sort((doc.astype(np.uint64) << np.uint64(32)) | h)
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
-    return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(both >> np.uint64(32), np.arange(k + 1)).astype(np.int64)
+    h = h[np.arange(len(doc)) + start] >> np.uint64(64 - 8 * RUN_BYTES)
+    order = np.lexsort((h, doc)) if k >> 16 else None  # the number of the text fits above the run for up to 2^16 texts
+    if order is None:
+        both = np.sort((doc.astype(np.uint64) << np.uint64(8 * RUN_BYTES)) | h)
+        h, doc = both & np.uint64((1 << 8 * RUN_BYTES) - 1), (both >> np.uint64(8 * RUN_BYTES)).astype(np.int64)
+    else:
+        h, doc = h[order], doc[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
+    return h[new], np.searchsorted(doc[new], np.arange(k + 1)).astype(np.int64)
+
+
+def packed(runs: np.ndarray) -> bytes:
+    """Runs as little-endian numbers of ``RUN_BYTES`` bytes."""
+    return np.ascontiguousarray(runs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :RUN_BYTES]).tobytes()
+
+
+def unpacked(data: bytes | memoryview) -> np.ndarray:
+    out = np.zeros((len(data) // RUN_BYTES, 8), np.uint8)
+    out[:, :RUN_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, RUN_BYTES)
+    return out.reshape(-1).view("<u8")
 
 
 def sets_of(pairs: DataFrame, key: str, query: str, passage: str, least_words: int) -> DataFrame:
-    """``id, k1, k2, n, runs binary``: run sets (32-bit little-endian, sorted) and a 128-bit hash of the word sequence."""
+    """``id, k1, k2, n, runs binary``: run sets (``packed``, sorted) and a 128-bit hash of the word sequence."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(bare)
@@ -83,8 +111,8 @@ def sets_of(pairs: DataFrame, key: str, query: str, passage: str, least_words: i
                 place = mixed(np.arange(len(words), dtype=np.uint64) - np.repeat(ends[:-1], np.diff(ends)).astype(np.uint64) + np.uint64(1))
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(words * m + place))]) for m in (np.uint64(3), _GOLD)]
                 k1, k2 = ((s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums)
-                data = runs.tobytes()
-                cut = (at_run * 4).tolist()
+                data = packed(runs)
+                cut = (at_run * RUN_BYTES).tolist()
                 blobs = [data[a:b] for a, b in zip(cut, cut[1:])]
                 out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1), pa.array(k2), pa.array(np.diff(at_run).astype(np.int32)), pa.array(blobs, pa.binary())], names=["id", "k1", "k2", "n", "runs"])
                 yield out.filter(pa.array(keep))
@@ -95,20 +123,22 @@ def sets_of(pairs: DataFrame, key: str, query: str, passage: str, least_words: i
 
 def flat_runs(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     a = batch.column(column)
-    offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64) // 4
-    data = np.frombuffer(a.buffers()[2], np.uint32) if a.buffers()[2] is not None else np.zeros(0, np.uint32)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    if not len(a):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    data = memoryview(a.buffers()[2])[offsets[0] : offsets[-1]] if a.buffers()[2] is not None else b""
+    return unpacked(data), (offsets - offsets[0]) // RUN_BYTES
 
 
-def frequency_levels(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The sketch: how far above the mean each counter is (0: not frequent), and the counters. Their number is fixed."""
+def frequent_runs(sets: DataFrame) -> np.ndarray:
+    """The sketch: for each counter whether its runs are frequent. The number of counters is fixed."""
     size, chunk = 1 << SKETCH_BITS, 1 << 14
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             if batch.num_rows:
-                total += np.bincount(flat_runs(batch, "runs")[0] & np.uint32(size - 1), minlength=size)
+                total += np.bincount((flat_runs(batch, "runs")[0] & np.uint64(size - 1)).astype(np.int64), minlength=size)
         parts = total.reshape(-1, chunk)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].astype(np.uint32).tobytes() for i in used], pa.binary())], names=["c", "v"])
@@ -124,56 +154,144 @@ def frequency_levels(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     for r in rows:
         total[r.c] = np.frombuffer(r.v, np.int64)
     total = total.reshape(-1)
-    usual = 64 + 4 * total.mean()
-    return np.where(total > usual, np.ceil(np.log2(np.maximum(total, 1) / usual)), 0).astype(np.uint8), total
+    return total > USUAL + TIMES * total.mean()
+
+
+def spread(runs: np.ndarray) -> np.ndarray:
+    return mixed(runs + _GOLD)
+
+
+def prints(runs: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """256-bit fingerprints of run sets, as four numbers each."""
+    bit = (spread(runs) >> np.uint64(56)).astype(np.int64)
+    out = np.zeros((len(ends) - 1, 4), np.uint64)
+    full = np.flatnonzero(np.diff(ends))
+    for j in range(4 if len(full) else 0):
+        b = np.where(bit >> 6 == j, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0))
+        out[full, j] = np.bitwise_or.reduceat(b, ends[:-1][full])
+    return out
+
+
+def least(similarity: float, n: np.ndarray) -> np.ndarray:
+    """ceil(similarity * n): the runs that a record of n runs shares at least with a similar one."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
+def together(similarity: float, n: np.ndarray | int) -> np.ndarray:
+    """The least number of common runs that makes two records of n runs together similar."""
+    return np.ceil(similarity / (1 + similarity) * n - 1e-9)
+
+
+PRINTS = "id long, n int, f0 long, f1 long, f2 long, f3 long"
+
+
+def fingerprints(sets: DataFrame) -> DataFrame:
+    """``id, n, f0..f3`` of ``sets(id, n, runs)``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = prints(*flat_runs(batch, "runs"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array(np.ascontiguousarray(f[:, j]).view(np.int64)) for j in range(4))], names=["id", "n", "f0", "f1", "f2", "f3"])
 
+    return sets.select("id", "n", "runs").mapInArrow(run, PRINTS)
 
-def postings_of(sets: DataFrame, levels: np.ndarray, counts: np.ndarray, similarity: float, tile: int) -> DataFrame:
-    """``h, t, side, id, n, f0..f3``: the blocks each record takes part in. ``t`` numbers the tile pairs of a block that
-    may be large; a record of tile c is in the pairs (c, j) and (j, c)."""
-    spark = sets.sparkSession
-    wide = np.flatnonzero(counts > tile)
-    sent = spark.sparkContext.broadcast((levels, wide, np.ceil(counts[wide] / tile).astype(np.int64)))  # at most some MB: the sketch's fixed size
+
+def postings_of(sets: DataFrame, frequent, similarity: float) -> DataFrame:
+    """``h, c, n, id``: the blocks of each record of ``sets(id, n, runs)``, with its bit count and its number of runs.
+
+    ``frequent`` is the broadcast sketch; frequent runs come last and make no blocks. Without it all runs are alike, and
+    ``runs`` may be a part of the ``n`` runs of which at least ``similarity * n`` are shared.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, wide, tiles = sent.value
-        mask = np.uint32(len(levels) - 1)
+        often = frequent.value if frequent is not None else np.zeros(1, bool)
+        mask = np.uint64(len(often) - 1)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 runs, ends = flat_runs(batch, "runs")
-                n = np.diff(ends)
-                ids = batch.column("id").to_numpy()
-                doc = np.repeat(np.arange(len(n)), n)
-                spread = mixed(runs.astype(np.uint64) + _GOLD)
-                bit = (spread >> np.uint64(56)).astype(np.int64)
-                print_ = np.zeros((len(n), 4), np.uint64)
-                full = np.flatnonzero(n)
-                for j in range(4):
-                    b = np.where(bit >> 6 == j, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0))
-                    if len(full):
-                        print_[full, j] = np.bitwise_or.reduceat(b, ends[:-1][full])
-                rank = (levels[runs & mask].astype(np.uint64) << np.uint64(40)) | (spread & np.uint64(0xFFFFFFFFFF))
+                m = np.diff(ends)
+                n = batch.column("n").to_numpy().astype(np.int64)
+                doc = np.repeat(np.arange(len(m)), m)
+                often_ = often[(runs & mask).astype(np.int64)]
+                rank = (often_.astype(np.uint64) << np.uint64(63)) | (spread(runs) >> np.uint64(1))
                 order = np.lexsort((rank, doc))
-                place = np.arange(len(doc)) - np.repeat(ends[:-1], n)
-                prefix = np.repeat(n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, n)
-                first = order[place < prefix]
-                h, d = runs[first].astype(np.int64), doc[first]
-                # tiles of blocks that may be large
-                slot = (h & int(mask)).astype(np.int64)
-                w = np.searchsorted(wide, slot)
-                w[w == len(wide)] = 0
-                n_tiles = np.where(wide[w] == slot, tiles[w], 1) if len(wide) else np.ones(len(h), np.int64)
-                own = (mixed(ids[d].astype(np.uint64)) % n_tiles.astype(np.uint64)).astype(np.int64)
-                rep = np.repeat(np.arange(len(h)), n_tiles)
-                other = np.arange(len(rep)) - np.repeat(np.cumsum(n_tiles) - n_tiles, n_tiles)
-                lo, hi = np.minimum(own[rep], other), np.maximum(own[rep], other)
-                t = lo * n_tiles[rep] + hi
-                d, h = d[rep], h[rep]
-                cols = [h, t, (own[rep] == lo).astype(np.int8) + 2 * (own[rep] == hi).astype(np.int8), ids[d], n[d].astype(np.int32), *(print_[d, j].view(np.int64) for j in range(4))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h", "t", "side", "id", "n", "f0", "f1", "f2", "f3"])
-
-    return sets.select("id", "n", "runs").mapInArrow(run, "h long, t long, side byte, id long, n int, f0 long, f1 long, f2 long, f3 long")
+                place = np.arange(len(doc)) - np.repeat(ends[:-1], m)
+                prefix = np.repeat(m - least(similarity, n) + 1, m)
+                first = order[(place < prefix) & ~often_[order]]
+                d = doc[first]
+                count = np.bitwise_count(prints(runs, ends)).sum(axis=1, dtype=np.int16)
+                cols = [runs[first].astype(np.int64), count[d], n[d].astype(np.int32), batch.column("id").to_numpy()[d]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h", "c", "n", "id"])
+
+    return sets.select("id", "n", "runs").mapInArrow(run, "h long, c short, n int, id long")
+
+
+def whole_blocks(batches: Iterable[pa.RecordBatch], names: list[str], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Batches of a sorted stream as arrays that hold every block, the rows of equal ``keys``, in one piece."""
+    rest: dict[str, list[np.ndarray]] = {k: [] for k in names}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c = {k: batch.column(k).to_numpy() for k in names}
+        last = 0
+        for k in keys:
+            last += int(np.argmax(c[k][last:] == c[k][-1]))
+        if last or (rest[names[0]] and any(rest[k][0][0] != c[k][0] for k in keys)):
+            yield {k: np.concatenate([*rest[k], c[k][:last]]) for k in names}
+            rest = {k: [] for k in names}
+        for k in names:
+            rest[k].append(c[k][last:].copy())
+    if rest[names[0]]:
+        yield {k: np.concatenate(v) for k, v in rest.items()}
+
+
+def starts_of(c: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
+    """Where blocks begin, and the end."""
+    n = len(c[keys[0]])
+    new = np.zeros(max(0, n - 1), bool)
+    for k in keys:
+        new |= c[k][1:] != c[k][:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [n]])
+
+
+def tiles(postings: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """``h, t, side, id``: the tile pairs each posting takes part in. Blocks of one record are left out; a block of up to
+    ``tile`` rows is one tile (t = 0, side = 3); of the tile pairs of a larger one, those beyond the radius are left out.
+    ``side`` tells the two tiles of a pair apart (1 and 2; 3 for a tile with itself)."""
+    reach = (1 - similarity) / (1 + similarity) + 1e-9
+    names = ["h", "c", "n", "id"]
+
+    def out(h: np.ndarray, t: np.ndarray, side: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(t), pa.array(side), pa.array(ids)], names=["h", "t", "side", "id"])
+
+    def large(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((c["id"], c["c"]))
+        h, ids, count, n = c["h"][0], c["id"][order], c["c"][order].astype(np.int64), c["n"][order].astype(np.int64)
+        at = np.arange(0, len(ids), tile)
+        low, high, most = count[at], count[np.minimum(at + tile, len(ids)) - 1], np.maximum.reduceat(n, at)
+        for i in range(len(at)):
+            near = np.flatnonzero(low[i:] - high[i] <= reach * (most[i] + most[i:])) + i
+            for j in near.tolist():
+                part = np.arange(at[i], min(at[i] + tile, len(ids)))
+                if i == j:
+                    side = np.full(len(part), 3, np.int8)
+                else:
+                    other = np.arange(at[j], min(at[j] + tile, len(ids)))
+                    side = np.repeat(np.array([1, 2], np.int8), [len(part), len(other)])
+                    part = np.concatenate([part, other])
+                yield out(np.full(len(part), h), np.full(len(part), i * len(at) + j + 1), side, ids[part])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in whole_blocks(batches, names, ["h"]):
+            starts = starts_of(c, ["h"])
+            size = np.diff(starts)
+            small = np.repeat((size > 1) & (size <= tile), size)
+            yield out(c["h"][small], np.zeros(small.sum(), np.int64), np.full(small.sum(), 3, np.int8), c["id"][small])
+            for k in np.flatnonzero(size > tile):
+                yield from large({x: v[starts[k] : starts[k + 1]] for x, v in c.items()})
+
+    return postings.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, t long, side byte, id long")
 
 
 def compare_tiles(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, count: np.ndarray, starts: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +311,7 @@ def compare_tiles(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, count: np.nd
         near = (count[to] - count[at]) <= reach * (n[at] + most[at])
         at, to = at[near], to[near]
         far = np.bitwise_count(bits[at] ^ bits[to]).sum(axis=1, dtype=np.int64)
-        ok = (np.maximum(far, np.abs(n[at] - n[to])) <= reach * (n[at] + n[to])) & (ids[at] != ids[to])
+        ok = (far <= reach * (n[at] + n[to])) & (ids[at] != ids[to])
         left.append(at[ok])
         right.append(to[ok])
         d += 1
@@ -201,52 +319,54 @@ def compare_tiles(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, count: np.nd
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
-def candidates(postings: DataFrame, similarity: float) -> DataFrame:
+def candidates(tiled: DataFrame, prints_: DataFrame, similarity: float) -> DataFrame:
     """``a, b`` (a < b): pairs of a block within the radius, each at least once."""
     reach = (1 - similarity) / (1 + similarity) + 1e-9
+    names = ["h", "t", "side", "id", "n", "f0", "f1", "f2", "f3"]
 
-    def tile_pairs(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+    def pairs(c: dict[str, np.ndarray]) -> pa.RecordBatch:
         bits = np.stack([c[f].view(np.uint64) for f in ("f0", "f1", "f2", "f3")], axis=1)
         count = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         order = np.lexsort((count, c["t"], c["h"]))
         c = {k: v[order] for k, v in c.items()}
-        bits, count = bits[order], count[order]
-        new = np.flatnonzero((c["h"][1:] != c["h"][:-1]) | (c["t"][1:] != c["t"][:-1])) + 1
-        starts = np.concatenate([[0], new, [len(order)]])
-        size = np.diff(starts)
-        keep = np.repeat(size > 1, size)
-        idx = np.flatnonzero(keep)
-        starts = np.concatenate([[0], np.cumsum(size[size > 1])])
-        n = c["n"][idx].astype(np.int64)
-        i, j = compare_tiles(c["id"][idx], n, bits[idx], count[idx], starts, reach)
+        i, j = compare_tiles(c["id"], c["n"].astype(np.int64), bits[order], count[order], starts_of(c, ["h", "t"]), reach)
         # in a pair of two different tiles only rows of different tiles meet here; the others meet in their own tile
-        side = c["side"][idx]
+        side = c["side"]
         ok = (side[i] == 3) | (side[i] != side[j])
-        a, b = c["id"][idx][i[ok]], c["id"][idx][j[ok]]
+        a, b = c["id"][i[ok]], c["id"][j[ok]]
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    names = ["h", "t", "side", "id", "n", "f0", "f1", "f2", "f3"]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in whole_blocks(batches, names, ["h", "t"]):
+            yield pairs(c)
+
+    p = tiled.join(prints_, "id").select(*names).repartition("h", "t").sortWithinPartitions("h", "t")
+    return p.mapInArrow(run, "a long, b long").distinct()
+
+
+def heavy_classes(sets: DataFrame, frequent, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The records that may be similar by frequent runs alone, by class: ``cls, n, runs`` (the frequent ones) of each
+    class, and ``id, cls`` of each record. Equal frequent runs and an equal number of runs make a class; its name is its
+    least id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None
+        often = frequent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = {k: batch.column(k).to_numpy() for k in names}
-            if rest is not None:
-                c = {k: np.concatenate([rest[k], c[k]]) for k in names}
-            # the last block may go on in the next batch; it holds at most two tiles
-            last = np.searchsorted(c["h"], c["h"][-1])
-            last += int(np.argmax(c["t"][last:] == c["t"][-1]))
-            rest = {k: v[last:].copy() for k, v in c.items()}
-            if last:
-                yield tile_pairs({k: v[:last] for k, v in c.items()})
-        if rest is not None:
-            yield tile_pairs(rest)
-
-    p = postings.repartition("h", "t").sortWithinPartitions("h", "t")
-    return p.mapInArrow(run, "a long, b long").distinct()
+            runs, ends = flat_runs(batch, "runs")
+            is_often = often[(runs & np.uint64(len(often) - 1)).astype(np.int64)]
+            f = np.concatenate([[0], np.cumsum(is_often)])[ends]
+            n = batch.column("n").to_numpy().astype(np.int64)
+            heavy = np.flatnonzero((np.diff(f) >= least(similarity, n)) & (n > 0))
+            kept = runs[is_often]
+            blobs = [packed(kept[f[k] : f[k + 1]]) for k in heavy.tolist()]
+            keys = [xxhash.xxh3_128_digest(b + int(n[k]).to_bytes(8, "little")) for b, k in zip(blobs, heavy.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(heavy)), pa.array(n[heavy].astype(np.int32)), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["id", "n", "key", "runs"])
+
+    heavy = written(sets.select("id", "n", "runs").mapInArrow(run, "id long, n int, key binary, runs binary"), "heavy")
+    classes = heavy.groupBy("key").agg(F.min("id").alias("cls"), F.min("n").alias("n"), F.min("runs").alias("runs"))
+    of = heavy.select("id", "key").join(classes.select("key", "cls"), "key").select("id", "cls")
+    return classes.select("cls", "n", "runs"), of
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
@@ -254,61 +374,94 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``a, b, similarity``: the pairs whose run sets are similar enough."""
+def verify(pairs: DataFrame, sets: DataFrame, similarity: float, frequent=None) -> DataFrame:
+    """``a, b, similarity``: the pairs that share enough of their ``n`` runs. With ``frequent``, pairs whose frequent runs
+    alone are enough are left out: their classes are linked."""
     pairs = written(pairs, "candidates")
     n = pairs.count()
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    part = sets.select("id", "runs").join(sized(ids, 2 * n), "id", "left_semi")
-    both = pairs.join(part.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a").join(part.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b")
+    part = sets.select("id", "n", "runs").join(sized(ids, 2 * n), "id", "left_semi").dropDuplicates(["id"])
+    of = lambda x: part.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("runs").alias(f"r{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent.value if frequent is not None else None
         for batch in batches:
-            sim = []
-            for x, y in zip(batch.column("ra").to_pylist(), batch.column("rb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                sim.append(common / max(1, len(x) + len(y) - common))
-            s = np.array(sim, np.float64)
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s)], names=["a", "b", "similarity"])
-            yield out.filter(pa.array(s >= similarity))
+            n = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            need = together(similarity, n)
+            common, by_often = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+            for k, (x, y) in enumerate(zip(batch.column("ra").to_pylist(), batch.column("rb").to_pylist())):
+                shared = np.intersect1d(unpacked(x), unpacked(y), assume_unique=True)
+                common[k] = len(shared)
+                if often is not None and len(shared) >= need[k]:
+                    by_often[k] = often[(shared & np.uint64(len(often) - 1)).astype(np.int64)].sum() >= need[k]
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common / np.maximum(1, n - common))], names=["a", "b", "similarity"])
+            yield out.filter(pa.array((common >= need) & (n > 0) & ~by_often))
 
-    return both.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long, similarity double")
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(pairs: DataFrame, key: str = "pair_id", query: str = "query", passage: str = "passage", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """Links between class representatives ``a, b, similarity`` and the classes of equal records ``id, rep`` (only those
-    of at least two records; every other record is its own class)."""
+@dataclass
+class Near:
+    """``links(a, b, similarity)`` between representatives of copies; ``classes(id, cls)`` of representatives and
+    ``class_links(a, b)`` between classes (a <= b), which link every member of one to every member of the other (and, for
+    a = b, the members to each other); ``members(id, rep)`` of the groups of copies of at least two records."""
+
+    links: DataFrame
+    classes: DataFrame
+    class_links: DataFrame
+    members: DataFrame
+
+
+def near_duplicates(pairs: DataFrame, key: str = "pair_id", query: str = "query", passage: str = "passage", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, tile: int = TILE) -> Near:
     sets = written(sets_of(pairs, key, query, passage, least_words), "runs")
     seq = sets.select("id", "k1", "k2").distinct()
-    classes = seq.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(seq.join(classes, ["k1", "k2"]).select("id", "rep"), "members")
+    copies = seq.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = written(seq.join(copies, ["k1", "k2"]).select("id", "rep"), "members")
     again = members.where("id <> rep").select("id")
     reps = sets.join(sized(again, members.count()), "id", "left_anti")
-    levels, counts = frequency_levels(sets)
-    return verify(candidates(postings_of(reps, levels, counts, similarity, tile), similarity), reps, similarity), members
-
-
-def all_pairs(links: DataFrame, members: DataFrame, a: str = "pair_a", b: str = "pair_b") -> DataFrame:
-    """The links between records instead of classes: the pairs inside a class of copies, and each link for all copies."""
-    members = members.select("id", "rep")
+    frequent = pairs.sparkSession.sparkContext.broadcast(frequent_runs(sets))  # a fixed size: one byte for each counter
+    found = candidates(tiles(postings_of(reps, frequent, similarity), similarity, tile), fingerprints(reps).dropDuplicates(["id"]), similarity)
+    links = verify(found, reps, similarity, frequent)
+    classes, of = heavy_classes(reps, frequent, similarity)
+    as_sets = written(classes.select(F.col("cls").alias("id"), "n", "runs"), "classes")
+    across = verify(candidates(tiles(postings_of(as_sets, None, similarity), similarity, tile), fingerprints(as_sets), similarity), as_sets, similarity)
+    own = as_sets.where(F.length("runs") / RUN_BYTES >= F.ceil(F.col("n") * 2 * similarity / (1 + similarity) - 1e-9)).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return Near(links, of, written(across.select("a", "b").union(own), "class-links"), members)
+
+
+def all_pairs(near: Near, a: str = "pair_a", b: str = "pair_b") -> DataFrame:
+    """The links between records: the pairs inside a group of copies, and each link for all members and copies."""
+    members = near.members.select("id", "rep")
     inside = members.alias("x").join(members.alias("y"), F.col("x.rep") == F.col("y.rep")).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    of_class = lambda side: near.classes.select(F.col("cls").alias(side), F.col("id").alias(f"m{side}"))
+    by_class = near.class_links.join(of_class("a"), "a").join(of_class("b"), "b").where("a <> b or ma < mb").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
     of = lambda side: members.select(F.col("rep").alias(side), F.col("id").alias(f"m{side}"))
-    across = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"))
+    across = near.links.select("a", "b").union(by_class).join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"))
     d = inside.union(across)
     return d.select(F.least("a", "b").alias(a), F.greatest("a", "b").alias(b)).distinct()
 
 
-def groups(pairs: DataFrame, links: DataFrame, members: DataFrame, key: str = "pair_id") -> DataFrame:
-    """``key, class_id, n_links, group_id`` for every record: its class of equal records, how many other classes its
-    class is linked to, and the least record of the group that the links connect."""
+def groups(pairs: DataFrame, near: Near, key: str = "pair_id") -> DataFrame:
+    """``key, class_id, n_links, group_id`` for every record: the least of its copies, how many other groups of copies
+    this one is linked to, and the least record of the group that the links connect. No link between classes is
+    expanded: their sizes are added up, and a class hangs together by its least member."""
     from qirtas.operators.components import connected_components
 
-    links = written(links, "verified")
+    links = written(near.links, "verified")
+    sizes = near.classes.groupBy("cls").agg(F.count(F.lit(1)).alias("size"))
     ids = pairs.select(F.col(key).cast("long").alias("id")).where("id is not null").distinct()
-    ends = links.select(F.col("a").alias("class_id")).unionAll(links.select(F.col("b").alias("class_id")))
-    n = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    comp = connected_components(links).select(F.col("id").alias("class_id"), F.col("component").alias("group_id"))
-    d = ids.join(members, "id", "left").select("id", F.coalesce("rep", "id").alias("class_id"))
-    d = d.join(n, "class_id", "left").join(comp, "class_id", "left")
-    return d.select(F.col("id").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
+    ends = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    both = near.class_links.select("a", "b").union(near.class_links.where("a <> b").select("b", "a"))
+    by_class = both.join(sizes.select(F.col("cls").alias("b"), "size"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum(F.col("size") - (F.col("a") == F.col("b")).cast("int")).alias("n"))
+    in_class = near.classes.join(by_class, "cls").select(F.col("id").alias("rep"), "n")
+    n = ends.unionAll(in_class).groupBy("rep").agg(F.sum("n").alias("n_links"))
+    linked = both.select(F.col("a").alias("cls")).distinct()
+    # a class with itself or another: where its members are linked to anything by class, they are in one group with it,
+    # directly or by the other class
+    star = near.classes.join(linked, "cls").where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b"))
+    edges = links.select("a", "b").union(star).union(near.class_links.where("a <> b").select("a", "b"))
+    comp = connected_components(edges).select(F.col("id").alias("rep"), F.col("component").alias("group_id"))
+    d = ids.join(near.members, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    d = d.join(n, "rep", "left").join(comp, "rep", "left")
+    return d.select(F.col("id").alias(key), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "rep").alias("group_id"))

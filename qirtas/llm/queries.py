@@ -124,18 +124,18 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(_mixed(spark, d))
 
 
-def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _near(spark: SparkSession, d: str) -> neardup.Near:
     return neardup.near_duplicates(table(spark, d, "pairs", "pair_id", "query", "passage"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of near-duplicate rows of pairs."""
-    return neardup.all_pairs(*_near(spark, d))
+    return neardup.all_pairs(_near(spark, d))
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per pair: its class of equal records, its links and its group."""
-    return neardup.groups(table(spark, d, "pairs", "pair_id"), *_near(spark, d))
+    return neardup.groups(table(spark, d, "pairs", "pair_id"), _near(spark, d))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:

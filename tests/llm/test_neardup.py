@@ -41,8 +41,8 @@ def corpus(n, seed, vocabulary=400):
 
 def found(spark, rows, **kw):
     df = spark.createDataFrame(rows, "pair_id long, query string, passage string").withColumn("n", F.lit("clash")).repartition(3)
-    links, members = N.near_duplicates(df, **kw)
-    return {(r.pair_a, r.pair_b) for r in N.all_pairs(links, members).collect()}, df, links, members
+    near = N.near_duplicates(df, **kw)
+    return {(r.pair_a, r.pair_b) for r in N.all_pairs(near).collect()}, df, near
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -66,13 +66,59 @@ def test_small_tiles_give_the_same_pairs(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("usual", [1, 3, 8])
+def test_frequent_runs_lose_no_pair(spark, monkeypatch, usual):
+    monkeypatch.setattr(N, "USUAL", usual)
+    monkeypatch.setattr(N, "TIMES", 0)
+    rng = random.Random(usual)
+    parts = [[f"t{k}x{j}" for j in range(45)] for k in range(3)]
+    rows = corpus(120, usual)
+    for i in range(150):  # templates with more or less text of their own, and cuts of templates
+        w = list(parts[i % 3]) + [f"o{i}x{j}" for j in range(rng.randint(0, 40))]
+        if i % 4 == 0:
+            w = w[rng.randint(0, 12) :]
+        if i % 5 == 0:
+            w = w + parts[(i + 1) % 3][: rng.randint(3, 30)]
+        rows.append((500 + i, "q", " ".join(w)))
+    rows += [(900 + k, *rows[-3][1:]) for k in range(4)]
+    got, df, near = found(spark, rows, tile=16)
+    want = brute(rows)
+    assert got == want and near.class_links.count() > 0
+    # one row per record: links to other groups of copies, and the groups that links connect
+    text = {i: (q, p) for i, q, p in rows}
+    rep = {i: min(j for j in text if text[j] == text[i]) if len(text[i][1].split()) >= 20 else i for i in text}
+    g = {r.pair_id: r for r in N.groups(df, near).collect()}
+    assert all(g[i].n_links == len({rep[b if a == i else a] for a, b in want if i in (a, b)} - {rep[i]}) and g[i].class_id == rep[i] for i in text)
+    group = {i: i for i in text}
+    for _ in range(6):
+        for a, b in sorted(want):
+            group[a] = group[b] = min(group[a], group[b])
+    assert {i: r.group_id for i, r in g.items()} == group
+
+
+def test_a_template_without_similar_members_makes_no_pairs(spark):
+    def work(n):
+        template = [f"t{j}" for j in range(50)]
+        df = spark.createDataFrame([(i, "q", " ".join(template + [f"o{i}x{j}" for j in range(28)])) for i in range(n)], "pair_id long, query string, passage string")
+        sets = N.sets_of(df, "pair_id", "query", "passage", 20)
+        frequent = spark.sparkContext.broadcast(N.frequent_runs(sets))
+        classes, of = N.heavy_classes(sets, frequent, 0.6)
+        near = N.near_duplicates(df)
+        assert near.links.count() == near.class_links.count() == 0
+        return N.tiles(N.postings_of(sets, frequent, 0.6), 0.6, 512).count(), classes.count(), of.count()
+
+    for n in (1000, 4000):
+        tiled, classes, of = work(n)
+        assert tiled <= n / 100 and classes <= n / 100 and of == n  # a few runs share a counter with the template's
+
+
 def test_hot_group_of_copies_and_of_one_template(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(i, "q", base) for i in range(300)] + [(1000 + i, f"q{i}", " ".join(f"u{i}x{j}" for j in range(40))) for i in range(50)]
     df = spark.createDataFrame(rows, "pair_id long, query string, passage string")
-    links, members = N.near_duplicates(df)
-    assert links.count() == 0 and members.count() == 300
-    g = {r.pair_id: r for r in N.groups(df, links, members).collect()}
+    near = N.near_duplicates(df)
+    assert near.links.count() == 0 and near.members.count() == 300
+    g = {r.pair_id: r for r in N.groups(df, near).collect()}
     assert all(g[i].class_id == 0 and g[i].group_id == 0 for i in range(300)) and g[1001].class_id == 1001 and len(g) == 350
 
 
@@ -89,8 +135,8 @@ def test_shared_text_that_is_partly_frequent(spark):
 
 def test_groups_count_links(spark):
     rows = corpus(120, 3)
-    got, df, links, members = found(spark, rows)
-    g = {r.pair_id: r for r in N.groups(df, links, members).collect()}
+    got, df, near = found(spark, rows)
+    g = {r.pair_id: r for r in N.groups(df, near).collect()}
     assert len(g) == 120
     for a, b in got:
         assert g[a].group_id == g[b].group_id
