@@ -47,6 +47,8 @@ SIMILARITY = 0.6
 SKETCH_BITS = 20
 #: Rows a tile holds; blocks of more rows are cut into tiles.
 TILE = 512
+#: Above this a number of runs is not told apart where tiles are cut (it is where pairs are compared).
+MOST_RUNS = (1 << 27) - 1
 #: A run is frequent if its counter is above USUAL + TIMES * the mean counter.
 USUAL, TIMES = 64, 4
 #: Id tables of up to this many rows (16 bytes each) are broadcast, larger ones are joined by shuffle.
@@ -182,22 +184,29 @@ def together(similarity: float, n: np.ndarray | int) -> np.ndarray:
     return np.ceil(similarity / (1 + similarity) * n - 1e-9)
 
 
-PRINTS = "id long, n int, f0 long, f1 long, f2 long, f3 long"
-
-
 def fingerprints(sets: DataFrame) -> DataFrame:
-    """``id, n, f0..f3`` of ``sets(id, n, runs)``."""
+    """``id, f0..f3`` of ``sets(id, runs)``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = prints(*flat_runs(batch, "runs"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array(np.ascontiguousarray(f[:, j]).view(np.int64)) for j in range(4))], names=["id", "n", "f0", "f1", "f2", "f3"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.ascontiguousarray(f[:, j]).view(np.int64)) for j in range(4))], names=["id", "f0", "f1", "f2", "f3"])
+
+    return sets.select("id", "runs").mapInArrow(run, "id long, f0 long, f1 long, f2 long, f3 long")
+
+
+def meta(count: np.ndarray, n: np.ndarray, largest: np.ndarray) -> np.ndarray:
+    return count | (np.minimum(n, MOST_RUNS) << 9) | (np.clip(largest, 0, MOST_RUNS) << 36)
+
 
-    return sets.select("id", "n", "runs").mapInArrow(run, PRINTS)
+def parts(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return m & 511, (m >> 9) & MOST_RUNS, m >> 36
 
 
 def postings_of(sets: DataFrame, frequent, similarity: float) -> DataFrame:
-    """``h, c, n, id``: the blocks of each record of ``sets(id, n, runs)``, with its bit count and its number of runs.
+    """``h, m, id``: the blocks of each record of ``sets(id, n, runs)``; ``m`` packs its bit count, its number of runs n
+    and the number of runs of the largest partner it can meet here: a pair counts in the block of the first run that it
+    shares, and what follows the run at place i must hold enough common runs, so n - i >= t (n + partner) / (1 + t).
 
     ``frequent`` is the broadcast sketch; frequent runs come last and make no blocks. Without it all runs are alike, and
     ``runs`` may be a part of the ``n`` runs of which at least ``similarity * n`` are shared.
@@ -218,13 +227,15 @@ def postings_of(sets: DataFrame, frequent, similarity: float) -> DataFrame:
                 order = np.lexsort((rank, doc))
                 place = np.arange(len(doc)) - np.repeat(ends[:-1], m)
                 prefix = np.repeat(m - least(similarity, n) + 1, m)
-                first = order[(place < prefix) & ~often_[order]]
+                taken = np.flatnonzero((place < prefix) & ~often_[order])
+                first = order[taken]
                 d = doc[first]
-                count = np.bitwise_count(prints(runs, ends)).sum(axis=1, dtype=np.int16)
-                cols = [runs[first].astype(np.int64), count[d], n[d].astype(np.int32), batch.column("id").to_numpy()[d]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h", "c", "n", "id"])
+                count = np.bitwise_count(prints(runs, ends)).sum(axis=1, dtype=np.int64)
+                largest = np.floor((m[d] - place[taken]) * (1 + similarity) / similarity + 1e-6).astype(np.int64) - n[d]
+                cols = [runs[first].astype(np.int64), meta(count[d], n[d], largest), batch.column("id").to_numpy()[d]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h", "m", "id"])
 
-    return sets.select("id", "n", "runs").mapInArrow(run, "h long, c short, n int, id long")
+    return sets.select("id", "n", "runs").mapInArrow(run, "h long, m long, id long")
 
 
 def whole_blocks(batches: Iterable[pa.RecordBatch], names: list[str], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -255,19 +266,42 @@ def starts_of(c: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1, [n]])
 
 
+def meeting(c: dict[str, np.ndarray], tile: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The rows that have a partner in their block, as far as the numbers of runs tell: each of the two is small enough
+    for the other. Blocks of more than ``tile`` rows stay whole."""
+    _, n, largest = parts(c["m"])
+    order = np.lexsort((n, c["h"]))
+    c, n, largest = {k: v[order] for k, v in c.items()}, n[order], largest[order]
+    starts = starts_of(c, ["h"])
+    size = np.diff(starts)
+    end = np.repeat(starts[1:], size)
+    keep = np.repeat(size > tile, size)
+    at = np.flatnonzero(~keep & (np.arange(len(n)) + 1 < end))
+    d = 1
+    while len(at):
+        at = at[n[at + d] <= largest[at]]  # sorted by n: those further on are too large as well
+        ok = n[at] <= largest[at + d]
+        keep[at[ok]] = keep[at[ok] + d] = True
+        d += 1
+        at = at[at + d < end[at]]
+    c = {k: v[keep] for k, v in c.items()}
+    return c, starts_of(c, ["h"])
+
+
 def tiles(postings: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """``h, t, side, id``: the tile pairs each posting takes part in. Blocks of one record are left out; a block of up to
+    """``h, t, side, m, id``: the tile pairs each posting takes part in. Postings without a partner are left out; a block of up to
     ``tile`` rows is one tile (t = 0, side = 3); of the tile pairs of a larger one, those beyond the radius are left out.
     ``side`` tells the two tiles of a pair apart (1 and 2; 3 for a tile with itself)."""
     reach = (1 - similarity) / (1 + similarity) + 1e-9
-    names = ["h", "c", "n", "id"]
+    names = ["h", "m", "id"]
 
-    def out(h: np.ndarray, t: np.ndarray, side: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(t), pa.array(side), pa.array(ids)], names=["h", "t", "side", "id"])
+    def out(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "t", "side", "m", "id"])
 
     def large(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((c["id"], c["c"]))
-        h, ids, count, n = c["h"][0], c["id"][order], c["c"][order].astype(np.int64), c["n"][order].astype(np.int64)
+        count, n, _ = parts(c["m"])
+        order = np.lexsort((c["id"], count))
+        h, ids, m, count, n = c["h"][0], c["id"][order], c["m"][order], count[order], n[order]
         at = np.arange(0, len(ids), tile)
         low, high, most = count[at], count[np.minimum(at + tile, len(ids)) - 1], np.maximum.reduceat(n, at)
         for i in range(len(at)):
@@ -280,27 +314,28 @@ def tiles(postings: DataFrame, similarity: float, tile: int) -> DataFrame:
                     other = np.arange(at[j], min(at[j] + tile, len(ids)))
                     side = np.repeat(np.array([1, 2], np.int8), [len(part), len(other)])
                     part = np.concatenate([part, other])
-                yield out(np.full(len(part), h), np.full(len(part), i * len(at) + j + 1), side, ids[part])
+                yield out(np.full(len(part), h), np.full(len(part), i * len(at) + j + 1), side, m[part], ids[part])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in whole_blocks(batches, names, ["h"]):
-            starts = starts_of(c, ["h"])
+            c, starts = meeting(c, tile)
             size = np.diff(starts)
             small = np.repeat((size > 1) & (size <= tile), size)
-            yield out(c["h"][small], np.zeros(small.sum(), np.int64), np.full(small.sum(), 3, np.int8), c["id"][small])
+            yield out(c["h"][small], np.zeros(small.sum(), np.int64), np.full(small.sum(), 3, np.int8), c["m"][small], c["id"][small])
             for k in np.flatnonzero(size > tile):
                 yield from large({x: v[starts[k] : starts[k + 1]] for x, v in c.items()})
 
-    return postings.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, t long, side byte, id long")
+    return postings.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, t long, side byte, m long, id long")
 
 
-def compare_tiles(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, count: np.ndarray, starts: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+def compare_tiles(ids: np.ndarray, m: np.ndarray, bits: np.ndarray, starts: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (positions) inside each run of rows ``starts[i]:starts[i+1]`` whose fingerprints lie within the radius.
 
     Rows of a block are sorted by bit count. The comparison goes along the diagonals of the blocks: step d compares each
     row with the one d places on, and a row leaves once that one's bit count is too far away or in another block.
     """
     left, right = [], []
+    count, n, largest = parts(m)
     end = np.repeat(starts[1:], np.diff(starts))
     at = np.flatnonzero(np.arange(len(n)) + 1 < end)
     d = 1
@@ -310,10 +345,11 @@ def compare_tiles(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, count: np.nd
         to = at + d
         near = (count[to] - count[at]) <= reach * (n[at] + most[at])
         at, to = at[near], to[near]
-        far = np.bitwise_count(bits[at] ^ bits[to]).sum(axis=1, dtype=np.int64)
-        ok = (far <= reach * (n[at] + n[to])) & (ids[at] != ids[to])
-        left.append(at[ok])
-        right.append(to[ok])
+        ok = (n[to] <= largest[at]) & (n[at] <= largest[to]) & (ids[at] != ids[to])
+        i, j = at[ok], to[ok]
+        ok = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= reach * (n[i] + n[j])
+        left.append(i[ok])
+        right.append(j[ok])
         d += 1
         at = at[at + d < end[at]]
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
@@ -322,14 +358,13 @@ def compare_tiles(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, count: np.nd
 def candidates(tiled: DataFrame, prints_: DataFrame, similarity: float) -> DataFrame:
     """``a, b`` (a < b): pairs of a block within the radius, each at least once."""
     reach = (1 - similarity) / (1 + similarity) + 1e-9
-    names = ["h", "t", "side", "id", "n", "f0", "f1", "f2", "f3"]
+    names = ["h", "t", "side", "m", "id", "f0", "f1", "f2", "f3"]
 
     def pairs(c: dict[str, np.ndarray]) -> pa.RecordBatch:
         bits = np.stack([c[f].view(np.uint64) for f in ("f0", "f1", "f2", "f3")], axis=1)
-        count = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        order = np.lexsort((count, c["t"], c["h"]))
+        order = np.lexsort((c["m"] & 511, c["t"], c["h"]))
         c = {k: v[order] for k, v in c.items()}
-        i, j = compare_tiles(c["id"], c["n"].astype(np.int64), bits[order], count[order], starts_of(c, ["h", "t"]), reach)
+        i, j = compare_tiles(c["id"], c["m"], bits[order], starts_of(c, ["h", "t"]), reach)
         # in a pair of two different tiles only rows of different tiles meet here; the others meet in their own tile
         side = c["side"]
         ok = (side[i] == 3) | (side[i] != side[j])
