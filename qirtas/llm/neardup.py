@@ -11,8 +11,9 @@ share at least o = t (|A| + |B|) / (1 + t) runs, and one of two things holds:
 
 * They share a run that is not frequent. In the order "frequent runs last, then by hash" each then has such a run among
   its first |A| - ceil(t |A|) + 1 runs. Records meet in the blocks of these runs. Blocks are counted exactly: those of
-  one record go, and one of more than a tile's rows is sorted by bit count and cut into tiles; tile pairs whose bit
-  counts lie further apart than the radius are skipped, the others are compared in different tasks.
+  one record go, as do rows without a partner of fitting size, and one of more than a tile's rows is sorted by number of
+  runs and cut into tiles; tile pairs further apart than the radius are skipped, the others are compared in different
+  tasks, where rows are sorted by bit count and those too far apart skipped again.
 * They share only frequent runs, o or more of them. Then each consists of frequent runs for the share t at least (what
   remains of a template), and all records with the same frequent runs and the same number of runs stand for each other:
   they form a class, and classes are compared in blocks of their frequent runs as records are. Two classes that share o
@@ -47,8 +48,6 @@ SIMILARITY = 0.6
 SKETCH_BITS = 20
 #: Rows a tile holds; blocks of more rows are cut into tiles.
 TILE = 512
-#: Above this a number of runs is not told apart where tiles are cut (it is where pairs are compared).
-MOST_RUNS = (1 << 27) - 1
 #: A run is frequent if its counter is above USUAL + TIMES * the mean counter.
 USUAL, TIMES = 64, 4
 #: Id tables of up to this many rows (16 bytes each) are broadcast, larger ones are joined by shuffle.
@@ -195,18 +194,18 @@ def fingerprints(sets: DataFrame) -> DataFrame:
     return sets.select("id", "runs").mapInArrow(run, "id long, f0 long, f1 long, f2 long, f3 long")
 
 
-def meta(count: np.ndarray, n: np.ndarray, largest: np.ndarray) -> np.ndarray:
-    return count | (np.minimum(n, MOST_RUNS) << 9) | (np.clip(largest, 0, MOST_RUNS) << 36)
+POSTING = ["h", "id", "n", "passed"]
 
 
-def parts(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return m & 511, (m >> 9) & MOST_RUNS, m >> 36
+def largest(n: np.ndarray, left: np.ndarray, similarity: float) -> np.ndarray:
+    """The number of runs of the largest partner a record of ``n`` runs can meet at a run after which, it included,
+    ``left`` runs follow: they must hold all common runs, so left >= t (n + partner) / (1 + t)."""
+    return np.floor(left * (1 + similarity) / similarity + 1e-6).astype(np.int64) - n
 
 
 def postings_of(sets: DataFrame, frequent, similarity: float) -> DataFrame:
-    """``h, m, id``: the blocks of each record of ``sets(id, n, runs)``; ``m`` packs its bit count, its number of runs n
-    and the number of runs of the largest partner it can meet here: a pair counts in the block of the first run that it
-    shares, and what follows the run at place i must hold enough common runs, so n - i >= t (n + partner) / (1 + t).
+    """``h, id, n, passed``: the blocks of each record of ``sets(id, n, runs)``, with its number of runs and how many of
+    them come before this one: a pair counts in the block of the first run that it shares.
 
     ``frequent`` is the broadcast sketch; frequent runs come last and make no blocks. Without it all runs are alike, and
     ``runs`` may be a part of the ``n`` runs of which at least ``similarity * n`` are shared.
@@ -230,12 +229,11 @@ def postings_of(sets: DataFrame, frequent, similarity: float) -> DataFrame:
                 taken = np.flatnonzero((place < prefix) & ~often_[order])
                 first = order[taken]
                 d = doc[first]
-                count = np.bitwise_count(prints(runs, ends)).sum(axis=1, dtype=np.int64)
-                largest = np.floor((m[d] - place[taken]) * (1 + similarity) / similarity + 1e-6).astype(np.int64) - n[d]
-                cols = [runs[first].astype(np.int64), meta(count[d], n[d], largest), batch.column("id").to_numpy()[d]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h", "m", "id"])
+                passed = n[d] - m[d] + place[taken]  # runs that are left out of a part cannot be shared either
+                cols = [runs[first].astype(np.int64), batch.column("id").to_numpy()[d], n[d].astype(np.int32), passed.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=POSTING)
 
-    return sets.select("id", "n", "runs").mapInArrow(run, "h long, m long, id long")
+    return sets.select("id", "n", "runs").mapInArrow(run, "h long, id long, n int, passed int")
 
 
 def whole_blocks(batches: Iterable[pa.RecordBatch], names: list[str], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -266,12 +264,13 @@ def starts_of(c: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1, [n]])
 
 
-def meeting(c: dict[str, np.ndarray], tile: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def meeting(c: dict[str, np.ndarray], tile: int, similarity: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The rows that have a partner in their block, as far as the numbers of runs tell: each of the two is small enough
-    for the other. Blocks of more than ``tile`` rows stay whole."""
-    _, n, largest = parts(c["m"])
-    order = np.lexsort((n, c["h"]))
-    c, n, largest = {k: v[order] for k, v in c.items()}, n[order], largest[order]
+    for the other. Blocks of more than ``tile`` rows stay whole. Rows come out by block and number of runs."""
+    order = np.lexsort((c["id"], c["n"], c["h"]))
+    c = {k: v[order] for k, v in c.items()}
+    n = c["n"].astype(np.int64)
+    most = largest(n, n - c["passed"], similarity)
     starts = starts_of(c, ["h"])
     size = np.diff(starts)
     end = np.repeat(starts[1:], size)
@@ -279,8 +278,8 @@ def meeting(c: dict[str, np.ndarray], tile: int) -> tuple[dict[str, np.ndarray],
     at = np.flatnonzero(~keep & (np.arange(len(n)) + 1 < end))
     d = 1
     while len(at):
-        at = at[n[at + d] <= largest[at]]  # sorted by n: those further on are too large as well
-        ok = n[at] <= largest[at + d]
+        at = at[n[at + d] <= most[at]]  # sorted by n: those further on are too large as well
+        ok = n[at] <= most[at + d]
         keep[at[ok]] = keep[at[ok] + d] = True
         d += 1
         at = at[at + d < end[at]]
@@ -288,54 +287,58 @@ def meeting(c: dict[str, np.ndarray], tile: int) -> tuple[dict[str, np.ndarray],
     return c, starts_of(c, ["h"])
 
 
+TILED = ["h", "t", "side", "id", "n", "passed"]
+
+
 def tiles(postings: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """``h, t, side, m, id``: the tile pairs each posting takes part in. Postings without a partner are left out; a block of up to
-    ``tile`` rows is one tile (t = 0, side = 3); of the tile pairs of a larger one, those beyond the radius are left out.
-    ``side`` tells the two tiles of a pair apart (1 and 2; 3 for a tile with itself)."""
+    """``h, t, side, id, n, passed``: the tile pairs each posting takes part in. Postings without a partner are left out;
+    a block of up to ``tile`` rows is one tile (t = 0, side = 3). A larger one is sorted by number of runs, which bounds
+    the bit count from above, and of its tile pairs those beyond the radius are left out. ``side`` tells the two tiles of
+    a pair apart (1 and 2; 3 for a tile with itself)."""
     reach = (1 - similarity) / (1 + similarity) + 1e-9
-    names = ["h", "m", "id"]
 
-    def out(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "t", "side", "m", "id"])
+    def out(h: np.ndarray, t: np.ndarray, side: np.ndarray, c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, t, side, c["id"], c["n"], c["passed"])], names=TILED)
 
     def large(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        count, n, _ = parts(c["m"])
-        order = np.lexsort((c["id"], count))
-        h, ids, m, count, n = c["h"][0], c["id"][order], c["m"][order], count[order], n[order]
-        at = np.arange(0, len(ids), tile)
-        low, high, most = count[at], count[np.minimum(at + tile, len(ids)) - 1], np.maximum.reduceat(n, at)
+        n = c["n"].astype(np.int64)
+        at = np.arange(0, len(n), tile)
+        low, high = n[at], n[np.minimum(at + tile, len(n)) - 1]
         for i in range(len(at)):
-            near = np.flatnonzero(low[i:] - high[i] <= reach * (most[i] + most[i:])) + i
-            for j in near.tolist():
-                part = np.arange(at[i], min(at[i] + tile, len(ids)))
-                if i == j:
-                    side = np.full(len(part), 3, np.int8)
-                else:
-                    other = np.arange(at[j], min(at[j] + tile, len(ids)))
+            for j in (np.flatnonzero(low[i:] - high[i] <= reach * (high[i] + high[i:])) + i).tolist():
+                part = np.arange(at[i], min(at[i] + tile, len(n)))
+                side = np.full(len(part), 3, np.int8)
+                if i < j:
+                    other = np.arange(at[j], min(at[j] + tile, len(n)))
                     side = np.repeat(np.array([1, 2], np.int8), [len(part), len(other)])
                     part = np.concatenate([part, other])
-                yield out(np.full(len(part), h), np.full(len(part), i * len(at) + j + 1), side, m[part], ids[part])
+                yield out(c["h"][part], np.full(len(part), i * len(at) + j + 1), side, {k: v[part] for k, v in c.items()})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in whole_blocks(batches, names, ["h"]):
-            c, starts = meeting(c, tile)
+        for c in whole_blocks(batches, POSTING, ["h"]):
+            c, starts = meeting(c, tile, similarity)
             size = np.diff(starts)
-            small = np.repeat((size > 1) & (size <= tile), size)
-            yield out(c["h"][small], np.zeros(small.sum(), np.int64), np.full(small.sum(), 3, np.int8), c["m"][small], c["id"][small])
+            small = np.repeat(size <= tile, size)
+            few = {k: v[small] for k, v in c.items()}
+            yield out(few["h"], np.zeros(len(few["h"]), np.int64), np.full(len(few["h"]), 3, np.int8), few)
             for k in np.flatnonzero(size > tile):
                 yield from large({x: v[starts[k] : starts[k + 1]] for x, v in c.items()})
 
-    return postings.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, t long, side byte, m long, id long")
+    return postings.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, t long, side byte, id long, n int, passed int")
 
 
-def compare_tiles(ids: np.ndarray, m: np.ndarray, bits: np.ndarray, starts: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+def compare_tiles(c: dict[str, np.ndarray], bits: np.ndarray, starts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (positions) inside each run of rows ``starts[i]:starts[i+1]`` whose fingerprints lie within the radius.
 
     Rows of a block are sorted by bit count. The comparison goes along the diagonals of the blocks: step d compares each
-    row with the one d places on, and a row leaves once that one's bit count is too far away or in another block.
+    row with the one d places on, and a row leaves once that one's bit count is too far away or in another block. In a
+    pair of two different tiles only rows of different tiles meet; the others meet in their own tile.
     """
+    reach = (1 - similarity) / (1 + similarity) + 1e-9
+    ids, side, n = c["id"], c["side"], c["n"].astype(np.int64)
+    small = largest(n, n - c["passed"], similarity)
+    count = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     left, right = [], []
-    count, n, largest = parts(m)
     end = np.repeat(starts[1:], np.diff(starts))
     at = np.flatnonzero(np.arange(len(n)) + 1 < end)
     d = 1
@@ -345,7 +348,7 @@ def compare_tiles(ids: np.ndarray, m: np.ndarray, bits: np.ndarray, starts: np.n
         to = at + d
         near = (count[to] - count[at]) <= reach * (n[at] + most[at])
         at, to = at[near], to[near]
-        ok = (n[to] <= largest[at]) & (n[at] <= largest[to]) & (ids[at] != ids[to])
+        ok = (n[to] <= small[at]) & (n[at] <= small[to]) & (ids[at] != ids[to]) & ((side[at] == 3) | (side[at] != side[to]))
         i, j = at[ok], to[ok]
         ok = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= reach * (n[i] + n[j])
         left.append(i[ok])
@@ -357,18 +360,14 @@ def compare_tiles(ids: np.ndarray, m: np.ndarray, bits: np.ndarray, starts: np.n
 
 def candidates(tiled: DataFrame, prints_: DataFrame, similarity: float) -> DataFrame:
     """``a, b`` (a < b): pairs of a block within the radius, each at least once."""
-    reach = (1 - similarity) / (1 + similarity) + 1e-9
-    names = ["h", "t", "side", "m", "id", "f0", "f1", "f2", "f3"]
+    names = [*TILED, "f0", "f1", "f2", "f3"]
 
     def pairs(c: dict[str, np.ndarray]) -> pa.RecordBatch:
         bits = np.stack([c[f].view(np.uint64) for f in ("f0", "f1", "f2", "f3")], axis=1)
-        order = np.lexsort((c["m"] & 511, c["t"], c["h"]))
+        order = np.lexsort((np.bitwise_count(bits).sum(axis=1, dtype=np.int64), c["t"], c["h"]))
         c = {k: v[order] for k, v in c.items()}
-        i, j = compare_tiles(c["id"], c["m"], bits[order], starts_of(c, ["h", "t"]), reach)
-        # in a pair of two different tiles only rows of different tiles meet here; the others meet in their own tile
-        side = c["side"]
-        ok = (side[i] == 3) | (side[i] != side[j])
-        a, b = c["id"][i[ok]], c["id"][j[ok]]
+        i, j = compare_tiles(c, bits[order], starts_of(c, ["h", "t"]), similarity)
+        a, b = c["id"][i], c["id"][j]
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
