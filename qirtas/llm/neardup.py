@@ -28,7 +28,7 @@ links; records whose key is null are left out; repeated rows of one key count on
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,15 +142,20 @@ def frequent_runs(sets: DataFrame) -> np.ndarray:
                 total += np.bincount((flat_runs(batch, "runs")[0] & np.uint64(size - 1)).astype(np.int64), minlength=size)
         parts = total.reshape(-1, chunk)
         used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].astype(np.uint32).tobytes() for i in used], pa.binary())], names=["c", "v"])
+        # most counters fit a byte; the others follow as (place, rest)
+        over = [np.flatnonzero(parts[i] > 255) for i in used]
+        rest = [np.stack([o, parts[i][o] - 255]).astype(np.int64).tobytes() for i, o in zip(used, over)]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([np.minimum(parts[i], 255).astype(np.uint8).tobytes() for i in used], pa.binary()), pa.array(rest, pa.binary())], names=["c", "v", "o"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(chunk, np.int64)
-        for v in t.column("v").to_pylist():
-            total += np.frombuffer(v, np.uint32)
+        for v, o in zip(t.column("v").to_pylist(), t.column("o").to_pylist()):
+            total += np.frombuffer(v, np.uint8)
+            at, rest = np.frombuffer(o, np.int64).reshape(2, -1)
+            total[at] += rest
         return pa.table({"c": t.column("c").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
 
-    rows = sets.select("runs").mapInArrow(count, "c int, v binary").groupBy("c").applyInArrow(add, "c int, v binary").collect()
+    rows = sets.select("runs").mapInArrow(count, "c int, v binary, o binary").groupBy("c").applyInArrow(add, "c int, v binary").collect()
     total = np.zeros((size // chunk, chunk), np.int64)
     for r in rows:
         total[r.c] = np.frombuffer(r.v, np.int64)
@@ -184,28 +189,44 @@ def together(similarity: float, n: np.ndarray | int) -> np.ndarray:
 
 
 def fingerprints(sets: DataFrame) -> DataFrame:
-    """``id, f0..f3`` of ``sets(id, runs)``."""
+    """``id, n, f0..f3`` of ``sets(id, n, runs)``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = prints(*flat_runs(batch, "runs"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.ascontiguousarray(f[:, j]).view(np.int64)) for j in range(4))], names=["id", "f0", "f1", "f2", "f3"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array(np.ascontiguousarray(f[:, j]).view(np.int64)) for j in range(4))], names=["id", "n", "f0", "f1", "f2", "f3"])
 
-    return sets.select("id", "runs").mapInArrow(run, "id long, f0 long, f1 long, f2 long, f3 long")
+    return sets.select("id", "n", "runs").mapInArrow(run, "id long, n int, f0 long, f1 long, f2 long, f3 long")
 
 
-POSTING = ["h", "id", "n", "passed"]
+POSTING = ["k", "id"]
+#: Numbers of runs are told apart in steps of 1/256 octave and up to 2^16, places in sixteenths of the prefix.
+OCTAVE, MOST_SIZE, PLACES = 256, (1 << 12) - 1, 16
 
 
-def largest(n: np.ndarray, left: np.ndarray, similarity: float) -> np.ndarray:
-    """The number of runs of the largest partner a record of ``n`` runs can meet at a run after which, it included,
-    ``left`` runs follow: they must hold all common runs, so left >= t (n + partner) / (1 + t)."""
-    return np.floor(left * (1 + similarity) / similarity + 1e-6).astype(np.int64) - n
+def posting(runs: np.ndarray, n: np.ndarray, passed: np.ndarray, similarity: float) -> np.ndarray:
+    """One number for a run (48 bits), a record's number of runs (12 bits, rounded) and how many runs come before this
+    one (4 bits, rounded down): rows of a run sorted by it are sorted by their number of runs."""
+    size = np.minimum(np.floor(OCTAVE * np.log2(np.maximum(n, 1)) + 1e-9), MOST_SIZE).astype(np.uint64)
+    place = np.clip(passed / np.maximum(n, 1) / (1 - similarity) * PLACES, 0, PLACES - 1).astype(np.uint64)
+    return ((runs << np.uint64(16)) | (size << np.uint64(4)) | place).view(np.int64)
+
+
+def bounds(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least and the largest number of runs that a posting stands for, and the least share passed."""
+    size = (k >> 4) & MOST_SIZE
+    return np.exp2(size / OCTAVE) - 1e-6, np.where(size < MOST_SIZE, np.exp2((size + 1) / OCTAVE) + 1e-6, np.inf), (k & 15) / PLACES
+
+
+def largest(n: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """The number of runs of the largest partner a record of ``n`` runs can meet at a run before which the share
+    ``place`` of its prefix lies: the rest holds all common runs, so n - passed >= t (n + partner) / (1 + t)."""
+    return n / similarity - place * (1 - similarity) * n * (1 + similarity) / similarity + 1e-6
 
 
 def postings_of(sets: DataFrame, frequent, similarity: float) -> DataFrame:
-    """``h, id, n, passed``: the blocks of each record of ``sets(id, n, runs)``, with its number of runs and how many of
-    them come before this one: a pair counts in the block of the first run that it shares.
+    """``k, id``: the blocks of each record of ``sets(id, n, runs)`` as ``posting`` numbers. A pair counts in the block of
+    the first run that it shares.
 
     ``frequent`` is the broadcast sketch; frequent runs come last and make no blocks. Without it all runs are alike, and
     ``runs`` may be a part of the ``n`` runs of which at least ``similarity * n`` are shared.
@@ -230,23 +251,27 @@ def postings_of(sets: DataFrame, frequent, similarity: float) -> DataFrame:
                 first = order[taken]
                 d = doc[first]
                 passed = n[d] - m[d] + place[taken]  # runs that are left out of a part cannot be shared either
-                cols = [runs[first].astype(np.int64), batch.column("id").to_numpy()[d], n[d].astype(np.int32), passed.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=POSTING)
+                yield pa.RecordBatch.from_arrays([pa.array(posting(runs[first], n[d], passed, similarity)), pa.array(batch.column("id").to_numpy()[d])], names=POSTING)
+
+    return sets.select("id", "n", "runs").mapInArrow(run, "k long, id long")
+
 
-    return sets.select("id", "n", "runs").mapInArrow(run, "h long, id long, n int, passed int")
+def block_of(c: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """What the rows of a block (and, where rows are tiled, of a tile pair) have in common."""
+    return [c["k"] >> 16, c["t"]] if "t" in c else [c["k"] >> 16]
 
 
-def whole_blocks(batches: Iterable[pa.RecordBatch], names: list[str], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Batches of a sorted stream as arrays that hold every block, the rows of equal ``keys``, in one piece."""
+def whole_blocks(batches: Iterable[pa.RecordBatch], names: list[str], of: Callable[[dict[str, np.ndarray]], list[np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
+    """Batches of a sorted stream as arrays that hold every block in one piece."""
     rest: dict[str, list[np.ndarray]] = {k: [] for k in names}
     for batch in batches:
         if not batch.num_rows:
             continue
         c = {k: batch.column(k).to_numpy() for k in names}
-        last = 0
+        last, keys = 0, of(c)
         for k in keys:
-            last += int(np.argmax(c[k][last:] == c[k][-1]))
-        if last or (rest[names[0]] and any(rest[k][0][0] != c[k][0] for k in keys)):
+            last += int(np.argmax(k[last:] == k[-1]))
+        if last or (rest[names[0]] and any(x[0] != y[0] for x, y in zip(of({k: v[0][:1] for k, v in rest.items()}), keys))):
             yield {k: np.concatenate([*rest[k], c[k][:last]]) for k in names}
             rest = {k: [] for k in names}
         for k in names:
@@ -267,64 +292,65 @@ def starts_of(c: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
 def meeting(c: dict[str, np.ndarray], tile: int, similarity: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The rows that have a partner in their block, as far as the numbers of runs tell: each of the two is small enough
     for the other. Blocks of more than ``tile`` rows stay whole. Rows come out by block and number of runs."""
-    order = np.lexsort((c["id"], c["n"], c["h"]))
+    order = np.lexsort((c["id"], c["k"]))
     c = {k: v[order] for k, v in c.items()}
-    n = c["n"].astype(np.int64)
-    most = largest(n, n - c["passed"], similarity)
-    starts = starts_of(c, ["h"])
+    low, high, place = bounds(c["k"])
+    most = np.where(np.isfinite(high), largest(high, place, similarity), np.inf)
+    h = c["k"] >> 16
+    starts = starts_of({"h": h}, ["h"])
     size = np.diff(starts)
     end = np.repeat(starts[1:], size)
     keep = np.repeat(size > tile, size)
-    at = np.flatnonzero(~keep & (np.arange(len(n)) + 1 < end))
+    at = np.flatnonzero(~keep & (np.arange(len(h)) + 1 < end))
     d = 1
     while len(at):
-        at = at[n[at + d] <= most[at]]  # sorted by n: those further on are too large as well
-        ok = n[at] <= most[at + d]
+        at = at[low[at + d] <= most[at]]  # sorted by size: those further on are too large as well
+        ok = low[at] <= most[at + d]
         keep[at[ok]] = keep[at[ok] + d] = True
         d += 1
         at = at[at + d < end[at]]
-    c = {k: v[keep] for k, v in c.items()}
-    return c, starts_of(c, ["h"])
+    return {k: v[keep] for k, v in c.items()}, starts_of({"h": h[keep]}, ["h"])
 
 
-TILED = ["h", "t", "side", "id", "n", "passed"]
+TILED = ["k", "t", "side", "id"]
 
 
 def tiles(postings: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """``h, t, side, id, n, passed``: the tile pairs each posting takes part in. Postings without a partner are left out;
-    a block of up to ``tile`` rows is one tile (t = 0, side = 3). A larger one is sorted by number of runs, which bounds
-    the bit count from above, and of its tile pairs those beyond the radius are left out. ``side`` tells the two tiles of
-    a pair apart (1 and 2; 3 for a tile with itself)."""
+    """``k, t, side, id``: the tile pairs each posting takes part in. Postings without a partner are left out; a block of
+    up to ``tile`` rows is one tile (t = 0, side = 3). A larger one is sorted by number of runs, which bounds the bit
+    count from above, and of its tile pairs those beyond the radius are left out. ``side`` tells the two tiles of a pair
+    apart (1 and 2; 3 for a tile with itself)."""
     reach = (1 - similarity) / (1 + similarity) + 1e-9
 
-    def out(h: np.ndarray, t: np.ndarray, side: np.ndarray, c: dict[str, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, t, side, c["id"], c["n"], c["passed"])], names=TILED)
+    def out(t: np.ndarray, side: np.ndarray, c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (c["k"], t, side, c["id"])], names=TILED)
 
     def large(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        n = c["n"].astype(np.int64)
-        at = np.arange(0, len(n), tile)
-        low, high = n[at], n[np.minimum(at + tile, len(n)) - 1]
+        n = len(c["k"])
+        at = np.arange(0, n, tile)
+        low, high, _ = bounds(c["k"])
+        low, high = low[at], high[np.minimum(at + tile, n) - 1]
         for i in range(len(at)):
-            for j in (np.flatnonzero(low[i:] - high[i] <= reach * (high[i] + high[i:])) + i).tolist():
-                part = np.arange(at[i], min(at[i] + tile, len(n)))
+            for j in (np.flatnonzero(low[i:] <= high[i] + reach * (high[i] + high[i:])) + i).tolist():
+                part = np.arange(at[i], min(at[i] + tile, n))
                 side = np.full(len(part), 3, np.int8)
                 if i < j:
-                    other = np.arange(at[j], min(at[j] + tile, len(n)))
+                    other = np.arange(at[j], min(at[j] + tile, n))
                     side = np.repeat(np.array([1, 2], np.int8), [len(part), len(other)])
                     part = np.concatenate([part, other])
-                yield out(c["h"][part], np.full(len(part), i * len(at) + j + 1), side, {k: v[part] for k, v in c.items()})
+                yield out(np.full(len(part), i * len(at) + j + 1), side, {k: v[part] for k, v in c.items()})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in whole_blocks(batches, POSTING, ["h"]):
+        for c in whole_blocks(batches, POSTING, block_of):
             c, starts = meeting(c, tile, similarity)
             size = np.diff(starts)
             small = np.repeat(size <= tile, size)
             few = {k: v[small] for k, v in c.items()}
-            yield out(few["h"], np.zeros(len(few["h"]), np.int64), np.full(len(few["h"]), 3, np.int8), few)
+            yield out(np.zeros(len(few["k"]), np.int64), np.full(len(few["k"]), 3, np.int8), few)
             for k in np.flatnonzero(size > tile):
                 yield from large({x: v[starts[k] : starts[k + 1]] for x, v in c.items()})
 
-    return postings.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, t long, side byte, id long, n int, passed int")
+    return postings.repartition(F.shiftright("k", 16)).sortWithinPartitions("k").mapInArrow(run, "k long, t long, side byte, id long")
 
 
 def compare_tiles(c: dict[str, np.ndarray], bits: np.ndarray, starts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -336,7 +362,7 @@ def compare_tiles(c: dict[str, np.ndarray], bits: np.ndarray, starts: np.ndarray
     """
     reach = (1 - similarity) / (1 + similarity) + 1e-9
     ids, side, n = c["id"], c["side"], c["n"].astype(np.int64)
-    small = largest(n, n - c["passed"], similarity)
+    small = largest(n, (c["k"] & 15) / PLACES, similarity)
     count = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     left, right = [], []
     end = np.repeat(starts[1:], np.diff(starts))
@@ -360,22 +386,22 @@ def compare_tiles(c: dict[str, np.ndarray], bits: np.ndarray, starts: np.ndarray
 
 def candidates(tiled: DataFrame, prints_: DataFrame, similarity: float) -> DataFrame:
     """``a, b`` (a < b): pairs of a block within the radius, each at least once."""
-    names = [*TILED, "f0", "f1", "f2", "f3"]
+    names = [*TILED, "n", "f0", "f1", "f2", "f3"]
 
     def pairs(c: dict[str, np.ndarray]) -> pa.RecordBatch:
         bits = np.stack([c[f].view(np.uint64) for f in ("f0", "f1", "f2", "f3")], axis=1)
-        order = np.lexsort((np.bitwise_count(bits).sum(axis=1, dtype=np.int64), c["t"], c["h"]))
+        order = np.lexsort((np.bitwise_count(bits).sum(axis=1, dtype=np.int64), c["t"], c["k"] >> 16))
         c = {k: v[order] for k, v in c.items()}
-        i, j = compare_tiles(c, bits[order], starts_of(c, ["h", "t"]), similarity)
+        i, j = compare_tiles(c, bits[order], starts_of({"h": c["k"] >> 16, "t": c["t"]}, ["h", "t"]), similarity)
         a, b = c["id"][i], c["id"][j]
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in whole_blocks(batches, names, ["h", "t"]):
+        for c in whole_blocks(batches, names, block_of):
             yield pairs(c)
 
-    p = tiled.join(prints_, "id").select(*names).repartition("h", "t").sortWithinPartitions("h", "t")
+    p = tiled.join(prints_, "id").select(*names).repartition(F.shiftright("k", 16), "t").sortWithinPartitions(F.shiftright("k", 16), "t")
     return p.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -449,9 +475,9 @@ class Near:
 
 def near_duplicates(pairs: DataFrame, key: str = "pair_id", query: str = "query", passage: str = "passage", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, tile: int = TILE) -> Near:
     sets = written(sets_of(pairs, key, query, passage, least_words), "runs")
-    seq = sets.select("id", "k1", "k2").distinct()
-    copies = seq.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(seq.join(copies, ["k1", "k2"]).select("id", "rep"), "members")
+    seq = sets.select("id", "k1", "k2")
+    copies = seq.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
+    members = written(seq.join(copies, ["k1", "k2"]).select("id", "rep").distinct(), "members")
     again = members.where("id <> rep").select("id")
     reps = sets.join(sized(again, members.count()), "id", "left_anti")
     frequent = pairs.sparkSession.sparkContext.broadcast(frequent_runs(sets))  # a fixed size: one byte for each counter
