@@ -49,7 +49,7 @@ SKETCH_BITS = 20
 #: Rows a tile holds; blocks of more rows are cut into tiles.
 TILE = 512
 #: A run is frequent if its counter is above USUAL + TIMES * the mean counter.
-USUAL, TIMES = 64, 4
+USUAL, TIMES = 24, 1.5
 #: Id tables of up to this many rows (16 bytes each) are broadcast, larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 SLICE = 2000
@@ -189,14 +189,14 @@ def together(similarity: float, n: np.ndarray | int) -> np.ndarray:
 
 
 def fingerprints(sets: DataFrame) -> DataFrame:
-    """``id, n, f0..f3`` of ``sets(id, n, runs)``."""
+    """``id, f0..f3`` of ``sets(id, runs)``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = prints(*flat_runs(batch, "runs"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array(np.ascontiguousarray(f[:, j]).view(np.int64)) for j in range(4))], names=["id", "n", "f0", "f1", "f2", "f3"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.ascontiguousarray(f[:, j]).view(np.int64)) for j in range(4))], names=["id", "f0", "f1", "f2", "f3"])
 
-    return sets.select("id", "n", "runs").mapInArrow(run, "id long, n int, f0 long, f1 long, f2 long, f3 long")
+    return sets.select("id", "runs").mapInArrow(run, "id long, f0 long, f1 long, f2 long, f3 long")
 
 
 POSTING = ["k", "id"]
@@ -361,8 +361,9 @@ def compare_tiles(c: dict[str, np.ndarray], bits: np.ndarray, starts: np.ndarray
     pair of two different tiles only rows of different tiles meet; the others meet in their own tile.
     """
     reach = (1 - similarity) / (1 + similarity) + 1e-9
-    ids, side, n = c["id"], c["side"], c["n"].astype(np.int64)
-    small = largest(n, (c["k"] & 15) / PLACES, similarity)
+    ids, side = c["id"], c["side"]
+    low, n, place = bounds(c["k"])  # the upper bound of the number of runs loses no pair
+    small = np.where(np.isfinite(n), largest(n, place, similarity), np.inf)
     count = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     left, right = [], []
     end = np.repeat(starts[1:], np.diff(starts))
@@ -374,7 +375,7 @@ def compare_tiles(c: dict[str, np.ndarray], bits: np.ndarray, starts: np.ndarray
         to = at + d
         near = (count[to] - count[at]) <= reach * (n[at] + most[at])
         at, to = at[near], to[near]
-        ok = (n[to] <= small[at]) & (n[at] <= small[to]) & (ids[at] != ids[to]) & ((side[at] == 3) | (side[at] != side[to]))
+        ok = (low[to] <= small[at]) & (low[at] <= small[to]) & (ids[at] != ids[to]) & ((side[at] == 3) | (side[at] != side[to]))
         i, j = at[ok], to[ok]
         ok = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= reach * (n[i] + n[j])
         left.append(i[ok])
@@ -386,7 +387,7 @@ def compare_tiles(c: dict[str, np.ndarray], bits: np.ndarray, starts: np.ndarray
 
 def candidates(tiled: DataFrame, prints_: DataFrame, similarity: float) -> DataFrame:
     """``a, b`` (a < b): pairs of a block within the radius, each at least once."""
-    names = [*TILED, "n", "f0", "f1", "f2", "f3"]
+    names = [*TILED, "f0", "f1", "f2", "f3"]
 
     def pairs(c: dict[str, np.ndarray]) -> pa.RecordBatch:
         bits = np.stack([c[f].view(np.uint64) for f in ("f0", "f1", "f2", "f3")], axis=1)
