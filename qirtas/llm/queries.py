@@ -65,10 +65,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_kept(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs without residue, by source."""
-    pairs = table(spark, d, "pairs")
-    kept = residue.without_residue(pairs, residue.find_residue(pairs))
-    return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("n_kept"))
+    """Pairs by kind: all, those with residue, those of which a field is excluded as residue covers much of it, and those
+    kept, which hold none."""
+    pairs = table(spark, d, "pairs", "pair_id", "kind", "query", "passage")
+    return residue.kept_report(pairs, residue.find_residue(pairs))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

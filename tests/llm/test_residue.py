@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qirtas.llm import residue as R
+from tests.llm import residue_phrases as P
 
 TEXT = "نشر الباحث تقريرا عن أثر الأمطار في المحاصيل الغربية وعرض فيه إنارة المصنع."
 BAD = [
@@ -51,5 +52,22 @@ def test_coverage_decides_exclusion(spark):
     assert R.find_residue(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("phrases", [P.FIRST, P.SECOND, P.THIRD, P.FOURTH])
+def test_phrases_of_seven_languages(finder, phrases):
+    found = [p for p in phrases if finder.residue(p)[0]]
+    assert len(found) >= 0.85 * len(phrases), sorted(set(phrases) - set(found))
+    assert all(finder.residue(f"{TEXT}\n{p}\n{TEXT}")[0] for p in found)
+
+
+@pytest.mark.parametrize("talk", P.TALK)
+def test_talk_in_seven_languages(finder, talk):
+    assert finder.residue(talk)[0] == 0
+
+
+def test_long_placeholders(finder):
+    for bad in ("{{ " + "x" * 300 + " }}", "[" + "اكتب " * 40 + "]", "<" + "اسم الكاتب " * 20 + ">", "${" + "a.b" * 200 + "}"):
+        assert finder.residue(f"{TEXT} {bad} {TEXT}")[0] > 0
+
+
 def test_very_long_text(finder):
     assert finder.residue("كلمة " * 200_000 + "{{ x }}")[0] == 1
