@@ -8,7 +8,8 @@ language, and a text uses the languages that hold a share of its words. An answe
 that its prompt uses and its own posterior is sure. Truncation comes from the likelihood of the end-of-text n-grams: the
 log ratio of their probabilities at the ends of artificially cut answers and of answers as they are, learned on a
 bounded sample (``SAMPLE`` answers by hash order) and refined once without the answers that the first round takes for
-cut. Refusals are recognised by phrases that cover most of an answer; a story that quotes one is none.
+cut. Refusals are recognised by the words they are made of, in seven languages: the speaker's inability and what was asked for
+near each other, and such words over most of the answer; a story that quotes one is none.
 
 Scale: answers and prompts are reduced to a few numbers each where they lie; only these, and a 64-bit hash of each folded
 word, are joined by passage id. A passage that answers a third of all prompts is one build row of that join.
@@ -26,7 +27,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -34,78 +34,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qirtas.llm import languages, samples, tails
+from qirtas.llm import languages, patterns, samples, tails
 from qirtas.llm.words import RAW_WORD, no_markup, same
 
 SAMPLE = 6000
-#: Share of an answer that refusal phrases cover.
-REFUSAL_COVERAGE = 0.6
+#: Share of an answer's content words that are words of refusals, and how far what was asked for may stand.
+REFUSAL_COVERAGE, REACH = 0.7, 7
 #: Share of a text's words that make a language one of its languages, the posterior that is sure, and the least words.
 LANGUAGE_SHARE, SURE, LEAST_WORDS = 0.25, 0.99, 4
 #: Log odds from which an answer counts as cut, and words below which it never does.
 CUT, CUT_WORDS = 0.0, 5
-#: Sentences that refuse (fixed values).
-REFUSALS = """
-لا أستطيع الإجابة عن هذا السؤال
-يتعذر علي إعطاء رأي في هذه المسألة
-يؤسفني أن أعتذر عن تقديم جواب هنا
-لن أتمكن من الرد على هذا الطلب
-لا يمكنني تقديم هذه المعلومات
-أفضل ألا أتحدث في هذا الموضوع
-ليس بوسعي مساعدتك في هذا الأمر
-لست مخولا بالحديث عن ذلك
-ما عندي إذن بأن أشرح هذا الموضوع
-لا أملك القدرة على تلبية طلبك
-هذا خارج نطاق ما أقدمه من خدمات
-لا أستطيع مساعدتك
-لا يمكنني مساعدتك
-لا يمكنني الإجابة
-لا أستطيع الرد
-لا أعرف الإجابة
-i cannot help
-i can't help
-i cannot answer
-i can't answer
-i am unable to
-i'm unable to
-i'm not able to
-cannot assist with
-can't assist with
-je ne peux pas répondre
-ich kann diese frage nicht beantworten
-no puedo responder
-نمی‌توانم پاسخ دهم
-میں اس سوال کا جواب نہیں دے سکتا
+# Each entry of a class is one or several words; * stands for any end of the last one; Arabic words stand without
+# article and joined particles. (fixed values)
+#: The speaker cannot, must not or will not.
+UNABLE = """
+cannot, can t, can not, could not, couldn t, unable, not able, won t, will not, not allowed, not permitted, not authorized, not comfortable, not in a position, must decline, have to decline, decline to, refuse to, prefer not, rather not, don t have, do not have, don t have access, do not have access, don t have the ability, beyond my, outside my, not possible for me, don t know, do not know, no information, not qualified, against my
+ne peux pas, ne pourrai pas, ne suis pas, n ai pas, ne veux pas, ne souhaite pas, refuse de, refuse, préfère ne pas, pas en mesure, impossible, ne sais pas, pas le droit
+kann ich, darf ich, darf dazu, dazu keine, kann nicht, kann ich nicht, kann diese, kann dir, kann ihnen, darf nicht, darf ich nicht, möchte nicht, werde nicht, lehne, ablehnen, weigere, nicht in der lage, nicht möglich, nicht beantworten, nicht helfen, weiß nicht, nicht berechtigt
+no estoy autorizad*, no puedo, no podré, no me es posible, no estoy, no tengo, no debo, no quiero, prefiero no, me niego, rechazo, imposible, no sé, incapaz
+لا استطيع, لا يمكنني, لا اقدر, لا اتمكن, لم اتمكن, لن اتمكن, لن استطيع, لست قادر*, لست موهل*, غير موهل*, اذن, اجيز لنفسي, غير قادر*, يتعذر علي, تعذر علي, ليس بوسعي, ليس في وسعي, ليس بامكاني, لا اود, لا ارغب, افضل الا, افضل عدم, ارفض, اعتذر عن, ان اعتذر, لست مخول*, لست مصرح*, غير مخول*, غير مصرح لي, لا يحق لي, لا يسمح لي, غير مسموح لي, ما عندي, ليس لدي, لا املك, لا اعرف, لا ادري, لا اعلم, خارج نطاق*, لا تشمل, لا تغطي, يخالف, مخالف, ممنوع علي, اتحفظ, امتنع
+اجازه ندارم, نمي توانم, نميتوانم, قادر نيستم, نمي خواهم, اجازه ندارم, مجاز نيستم, معذورم, نمي دانم, ندارم, خارج از, امكان پذير نيست, خودداري
+سكتا, سكتي, نهيں كر سكتا, نهيں كر سكتي, نهيں دے سكتا, نهيں دے سكتي, نهيں سكتا, قاصر, معذرت خواه, اجازت نهيں, معلوم نهيں, انكار, سے باهر
 """
-#: What stands around a refusal (fixed values).
+#: What was asked for.
+ASKED = """
+answer*, help*, assist*, respond*, reply, replying, provide*, discuss*, comment*, question*, request*, topic*, subject, information, advice, opinion, content, task, complete*, fulfil*, comply, engage*, explain*, talk*, do that, do this, with that, with this, this matter, that matter
+répond*, réponse*, aid*, assist*, fournir, discut*, comment*, question*, demande*, sujet*, information*, avis, conseil*, explique*, parler
+beantwort*, antwort*, helf*, hilfe, unterstütz*, auskunft, kommentier*, frage*, anfrage*, thema, information*, rat, meinung, erklär*, sprechen
+respond*, respuesta*, contest*, ayud*, asist*, proporcion*, coment*, pregunta*, solicitud*, petición, tema*, información, consejo*, opinión, explic*, hablar
+اجاب*, جواب*, اجيب, رد, ارد, مساعد*, اساعد*, رايي?, راي, معلوم*, سوال*, طلب*, موضوع*, مسال*, حديث, اتحدث, كلام, تعليق, تقديم, اقدم*, خدم*, شرح, اشرح, توضيح, مجال*, امر, ذلك, نصيح*, استشار*, تلبي*, تنفيذ
+پاسخ*, جواب*, كمك*, ياري, اطلاعات, پرسش*, سوال*, درخواست*, موضوع*, نظر, توضيح, صحبت, راهنمايي
+جواب*, مدد*, معلومات, سوال*, معامله, معاملے, بارے, درخواست*, موضوع*, راۓ, راي, وضاحت
+"""
+#: What stands around a refusal.
 AROUND = """
-هل من سؤال آخر
-بصفتي مساعدا آليا
-شكرا على سؤالك
-يرجى استشارة مختص
-آسف جدا
-مع احترامي لسؤالك
-كنموذج لغوي
-فمعلوماتي لا تشمل هذا المجال
-عذرا
-أعتذر
-للأسف
-لكن
-لأنه يخالف سياسة الاستخدام
-في الوقت الحالي
-اليوم
-i'm sorry
-i am sorry
-sorry
-as an ai language model
-as an ai
-but
-with that
-this question
-this request
-désolé
-es tut mir leid
-lo siento
+sorry, apologi*, unfortunately, regret*, thank*, however, but, as an ai, ai, language model, assistant, model, policy, policies, guidelines, consult*, professional, expert, specialist, anything else, something else, other, another, please, happy, today, moment, currently, due to, because, safety, i m, i am
+désolé*, regrett*, malheureusement, merci, cependant, mais, modèle, langage, assistant, politique, consult*, spécialiste, autre*, actuellement, tant que, en tant
+tut mir leid, leider, entschuldig*, bedaure*, danke, aber, sprachmodell, assistent, richtlinien, fachmann, experten, ander*, derzeit, moment, als ki
+lo siento, lament*, disculp*, gracias, pero, modelo, lenguaje, asistente, política*, consult*, especialista, otra, otro, actualmente, como
+عذرا, اسف, اسفه, للاسف, اسف جدا, اعتذر, يوسفني, معذره, شكرا, لكن, غير ان, الا ان, بصفتي, بصفه, كنموذج, نموذج*, لغوي*, ابداء, الي, اليا, مساعد*, ذكاء اصطناعي, سياس*, استخدام, يرجي, رجاء, استشار*, مختص*, متخصص*, خبير, اخر, احترام*, مع احترامي, احترامي, تقدير*, حالي, حاليا, وقت, يوم, لان*, بسبب, فمعلوماتي, جدا, هنا, هل من
+متاسفم, متاسفانه, ببخشيد, پوزش, ممنون, تشكر, اما, مدل زباني, دستيار, هوش مصنوعي, متخصص, ديگر*, فعلا, لطفا
+معذرت, افسوس, شكريه, ليكن, مگر, ماڈل, معاون, ماهر, براه كرم, اس وقت, كوئي اور
 """
 #: Labels before an answer (fixed values).
 LABELS = frozenset(same(w) for w in "الجواب جواب الإجابة السؤال سؤال س ج answer question q a antwort frage réponse question respuesta pregunta".split())
@@ -124,25 +93,33 @@ def folded(text: str) -> list[str]:
     return [f for w in RAW_WORD.findall(no_markup(text)) if (f := same(w))]
 
 
-def phrases() -> ahocorasick.Automaton:
-    auto = ahocorasick.Automaton()
-    for core, lines in ((False, AROUND), (True, REFUSALS)):
-        for line in lines.split("\n"):
-            words = folded(line)
-            if words:
-                auto.add_word(f" {' '.join(words)} ", (core, len(words)))
-    auto.make_automaton()
-    return auto
+class Refusals:
+    """The words that refusals are made of, in one automaton."""
+
+    def __init__(self) -> None:
+        self.auto = patterns.automaton({"unable": UNABLE, "asked": ASKED, "around": AROUND})
+        self.known: dict[str, str] = {}
 
+    def stems(self, words: list[str]) -> list[str]:
+        if len(self.known) > 400_000:
+            self.known.clear()
+        return [self.known[w] if w in self.known else self.known.setdefault(w, patterns.stem(w)) for w in words]
 
-def refuses(words: list[str], auto: ahocorasick.Automaton) -> bool:
-    joined = f" {' '.join(words)} "
-    core, covered, last, at = False, set(), 0, 0
-    for end, (is_core, n) in auto.iter(joined):
-        last, at = last + joined.count(" ", at, end), end
-        core |= is_core
-        covered.update(range(last - n, last))
-    return core and len(covered) >= REFUSAL_COVERAGE * len(words)
+    def __call__(self, words: list[str]) -> bool:
+        """Whether an answer says that it cannot be given and little else: the speaker's inability, then what was asked
+        for within ``REACH`` words, and the words of a refusal over most of the answer."""
+        stems = self.stems(words)
+        hits = list(self.auto.iter(f" {' '.join(stems)} "))
+        if not any("unable" in kinds for _, (kinds, _, _) in hits):
+            return False
+        of = patterns.classes(stems, hits)
+        unable = [k for k, c in enumerate(of) if "unable" in c]
+        if not any("asked" in of[j] for k in unable for j in range(max(0, k - 2), min(len(of), k + REACH))):
+            return False
+        content = [k for k in range(len(of)) if of[k] or stems[k] not in patterns.SMALL and len(stems[k]) > 2]
+        # what comes before the refusal is a story's, where it isn't courtesy
+        lead = [k for k in content if k < unable[0] - 1]
+        return sum(bool(of[k]) for k in content) >= REFUSAL_COVERAGE * len(content) and sum(bool(of[k]) for k in lead) >= 0.5 * len(lead)
 
 
 def copies(answer: list[int], prompt: list[int]) -> bool:
@@ -268,7 +245,7 @@ class Facts:
 
 class Judge:
     def __init__(self, posterior: Posterior, ends: np.ndarray) -> None:
-        self.posterior, self.ends, self.auto = posterior, ends, phrases()
+        self.posterior, self.ends, self.refuses = posterior, ends, Refusals()
 
     def answer(self, text: str | None) -> Facts:
         if not text or not regex.search(r"[\p{L}\p{N}]", text):
@@ -278,7 +255,7 @@ class Judge:
             return Facts(True, False, False, 0, 0, 0, None)
         used, sure, n = self.posterior.used(text)
         cut = n >= CUT_WORDS and not tails.finished(text) and float(self.ends[end_features(text)].sum()) > CUT
-        return Facts(False, refuses(words, self.auto), cut, used, sure, n, list(map(hashed, words)))
+        return Facts(False, self.refuses(words), cut, used, sure, n, list(map(hashed, words)))
 
     def prompt(self, text: str | None) -> tuple[int, list[int]]:
         return (self.posterior.used(text)[0], list(map(hashed, folded(text)))) if text else (0, [])

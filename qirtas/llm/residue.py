@@ -21,9 +21,7 @@ result; whole texts are searched.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -31,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qirtas.llm.patterns import SMALL, automaton, classes, last_words, stem
 from qirtas.llm.words import no_markup, same
 
 # Each entry of a class is one or several words; * stands for any end of the last one. Arabic words stand without
@@ -121,16 +120,6 @@ texto, contenido, párrafo, título, aquí, su, línea, palabra
 """
 #: Words that ask for a text to be put in (fixed values).
 INSERT = frozenset(same(w) for w in "insert put write enter einfügen eingeben insérer saisir insertar escriba ضع اكتب أدخل املأ".split())
-#: Small words, which are no content (fixed values); words of one or two letters are small too.
-SMALL = frozenset(same(w) for w in """
-the this that these those your you our for with and are was were has have had been will would can may any all its his her their from into not but who which what there here out off over than then also
-les des une est sont dans sur pour par avec que qui vous votre vos nos notre cette ces aux pas plus elle ils leur ont été être mais comme êtes es
-der die das den dem des ein eine einen einem einer und ist sind war nicht mit auf für von zum zur sie ihr ihre ihren wir uns diese dieser dieses wird werden wurde haben hat auch aber oder als wie bei nach
-los las una unos unas del por para con que esta este estos estas está están son fue ser sus nuestra nuestro usted pero como más sin sobre entre
-من في علي الي عن هذا هذه التي الذي ان انك انه انها قد كان كانت هو هي ما او ثم بعد قبل عند مع كل اي لك لكم اليكم حتي سوف كما بين ذلك تلك لست
-از در به با كه اين ان را براي تا است شما بود هاي خود ما
-كا كي كے كو ميں سے پر هے هيں اور اس يه آپ اپنے اپني كه نے تها گيا گئی گئے هوا هوئی رها رهی
-""".split())
 #: Words that ask (fixed values).
 ASKING = frozenset(same(w) for w in "ما ماذا كيف هل لماذا متي who what how why when where which comment pourquoi quand quel quelle wie warum wann wer was cómo qué por cuándo quién چرا چگونه چطور کیا کیسے کیوں چه".split())
 #: Words of the usual filler passage (fixed values).
@@ -163,8 +152,6 @@ _BRACKET = regex.compile(r"\[([^\[\]\n]*)\]|\{([^{}\n]*)\}|<([^<>\n]*)>")
 _ROUND = regex.compile(r"[(«](?:أدخل|ادخل|اكتب|ضع|املأ)\b[^()«»\n]+\bهنا\b[^()«»\n]*[)»]")
 #: Signs that open a placeholder.
 SIGNS = ("{", "<%", "${", "#{", "%{", "$(", "%(", "[", "@@", "__", "%s", "%d", "<", "(أدخل", "(ادخل", "(اكتب", "(ضع", "(املأ", "«أدخل", "«ادخل", "«اكتب", "«ضع", "«املأ", "undefined", "NULL", "null", "NaN", "None", "nil")
-_ARABIC_HEAD = regex.compile(r"^(?:[وف]?(?:[بك]?ال|لل)|[وف](?=\p{L}{4}))(?=\p{L}{3})")
-_ARABIC_JOINED = regex.compile(r"^(?:ب(?=\p{L}{4})|ل(?=\p{L}{3}))")
 #: A match makes these classes of words strong evidence; without one of them a text is not looked at closely.
 CLASSES = {"thing": THING, "web": WEB, "failure": FAILURE, "weak": WEAK_FAILURE, "request": REQUEST, "script": SCRIPT, "technical": TECHNICAL, "stand-in": STAND_IN, "text": TEXT}
 ANCHORS = frozenset(("failure", "script", "technical", "stand-in", "web"))
@@ -172,28 +159,10 @@ ANCHORS = frozenset(("failure", "script", "technical", "stand-in", "web"))
 TEXT_WORDS = 6
 
 
-def stem(word: str) -> str:
-    """A folded word; Arabic words without article and joined particles, numbers as 0 or, if they may be a status, 4xx."""
-    f = same(word)
-    if f.isdigit():
-        return "4xx" if len(f) == 3 and f[0] in "45" else "0"
-    return f if f.isascii() else _ARABIC_JOINED.sub("", _ARABIC_HEAD.sub("", f))
-
-
 class Finder:
     def __init__(self) -> None:
         self.known: dict[str, str] = {}
-        found: dict[str, tuple[set[str], int, bool]] = {}
-        for kind, lines in CLASSES.items():
-            for entry in lines.replace("\n", ",").split(","):
-                words = [stem(w) for w in entry.replace("*", "").split()]
-                if words:
-                    text = " " + " ".join(words) + ("" if entry.strip().endswith("*") else " ")
-                    found.setdefault(text, (set(), len(words), entry.strip().endswith("*")))[0].add(kind)
-        self.auto = ahocorasick.Automaton()
-        for text, (kinds, n, open_) in found.items():
-            self.auto.add_word(text, (frozenset(kinds), n, open_))
-        self.auto.make_automaton()
+        self.auto = automaton(CLASSES)
         self.signs = ahocorasick.Automaton()
         for s in SIGNS:
             self.signs.add_word(s, s)
@@ -237,18 +206,8 @@ class Finder:
         latin = latin_runs(raw)
         if not near and not latin:
             return set()
-        # where each word begins in the joined words
-        begin = list(accumulate((len(w) + 1 for w in words), initial=1))
-        of: list[set[str]] = [set() for _ in words]
-        at: set[int] = set(latin)
-        close = {id(h) for h in near}
-        for h in hits:
-            end, (kinds, size, open_) = h
-            last = bisect_right(begin, end if open_ else end - 1) - 1
-            for k in range(last - size + 1, last + 1):
-                of[k] |= kinds
-            if id(h) in close:
-                at.add(last)
+        of = classes(words, hits)
+        at = set(latin) | set(last_words(words, near))
         for k, w in enumerate(words):
             if w == "4xx":
                 of[k].add("status")
