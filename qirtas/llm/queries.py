@@ -46,14 +46,23 @@ def p2_labels(spark: SparkSession, d: str) -> DataFrame:
     return _labelled(spark, d)
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records that hold an evaluation item, whole or in part."""
+def _leaks(spark: SparkSession, d: str, max_edits: int) -> DataFrame:
     items = table(spark, d, "eval_items", "item_id", "text")
-    p = leaks.find_leaks(table(spark, d, "pairs", "pair_id", "query", "passage"), "pair_id", ["query", "passage"], items)
-    q = leaks.find_leaks(table(spark, d, "supervised_queries", "qid", "query"), "qid", ["query"], items)
+    p = leaks.find_leaks(table(spark, d, "pairs", "pair_id", "query", "passage"), "pair_id", ["query", "passage"], items, max_edits=max_edits)
+    q = leaks.find_leaks(table(spark, d, "supervised_queries", "qid", "query"), "qid", ["query"], items, max_edits=max_edits)
     return p.select(F.lit("pairs").alias("tbl"), "*").union(q.select(F.lit("supervised_queries"), "*"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records that hold an evaluation item, whole or in part: the matches that need no edit."""
+    return _leaks(spark, d, 1).where("edits = 0").drop("edits")
+
+
+def p4_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Records that hold an evaluation item, whole or in part, with up to two words replaced, inserted or left out."""
+    return _leaks(spark, d, 2)
+
+
 def p4_items(spark: SparkSession, d: str) -> DataFrame:
     """Which items leaked, and into how many records."""
     return leaks.leak_report(p4_found(spark, d), table(spark, d, "eval_items"))
@@ -161,6 +170,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_mix": p3_mix,
         "p3_shares": p3_shares,
         "p4_found": p4_found,
+        "p4_edits": p4_edits,
         "p4_items": p4_items,
         "p5_found": p5_found,
         "p5_kept": p5_kept,
