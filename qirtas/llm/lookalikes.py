@@ -3,15 +3,18 @@
 Characters that are drawn alike are mapped onto one (blanks, widths, Arabic presentation forms, Latin look-alikes of
 other scripts, and the Arabic letters that share a shape at their place in the word). The mapped words of all texts are
 grouped in SQL under the accent-sensitive Unicode collation, which takes canonically equal spellings (combining accents)
-together and passes over characters that are not drawn. Each class gets a canonical member, which is joined back: a
-text's common form is its words' canonical members with single blanks.
+together and passes over characters that are not drawn. Each class gets a canonical member, which is joined back in SQL:
+a text's common form is its words' canonical members with single blanks.
 
-The collation also passes over differences that a reader sees (such as the zero-width joiners of Persian spelling), so
-a class is divided by an exact form of its words before the canonical member is chosen.
+The collation also passes over characters that a reader does see: the joiners between the letters of Persian and other
+words, cantillation and enclosing marks and the like. Which ones is asked from the collation itself. In the key that is
+grouped these stand as characters of private use, which it tells apart; its classes need no further division then.
 
-Scale: the collation sees each distinct word once, not each text; a vocabulary grows far slower than its corpus. Of the
-vocabulary only the words that change are joined back, by broadcast up to ``BROADCAST_WORDS``, by shuffle beyond. Records
-are then compared by 128-bit hashes of their common forms, so no text is shuffled to find pairs.
+The canonical member is the plain word of a class (composed, nothing in it that is not drawn) if there is one. So only
+words that are not plain can change, and only these are joined with the classes, by record number and place; all other
+words stay where they lie, whatever the size of the vocabulary. The collation sees each distinct word once, not each
+text. Records are then compared by 128-bit hashes of their common forms, so no text is shuffled to find pairs, and
+classes of many records are paired in tiles.
 
 Defined results: null texts and texts without a visible character keep themselves and are never paired; a key that
 arrives again with the same text counts once; ties of the canonical member go to the word of the fewest bytes, then to
@@ -20,18 +23,17 @@ the least in binary order; whole texts are compared.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import regex
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from qirtas.lineage import written
 
@@ -43,8 +45,10 @@ HYPHENS = {"‐": "-", "‑": "-"}
 UNSEEN = "­͏؜᠎​‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 
 
-#: Changed words up to which they are sent to all workers (about 100 bytes each).
-BROADCAST_WORDS = 300_000
+#: Records of one class that are paired by one task with the others of the class.
+TILE = 4096
+#: Drawn characters that the collation passes over stand in the key as characters of private use from here on.
+PRIVATE = 0xF0000
 
 
 def one_to_one() -> dict[str, str]:
@@ -88,17 +92,41 @@ def mapped_words(text: str) -> list[str]:
     return words
 
 
-@F.pandas_udf(T.StringType())
-def exact_form(words: pd.Series) -> pd.Series:
-    """A mapped word in canonical composition, without what is not drawn. Only members of classes come here."""
-    return words.map(lambda w: unicodedata.normalize("NFC", _IDLE_JOINER.sub("", _UNSEEN.sub("", w))))
+def plain(word: str) -> str:
+    """The plain spelling of a mapped word: composed, without what is not drawn."""
+    return unicodedata.normalize("NFC", _IDLE_JOINER.sub("", _UNSEEN.sub("", word)))
 
 
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """``w``: the distinct mapped words of ``texts(text)``."""
+def passed_over(spark: SparkSession) -> str:
+    """The drawn characters that the collation passes over, asked from the collation itself: of all characters but
+    ideographs those without which a word stays the same to it. Their number is Unicode's, whatever the data."""
+    drawn = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs", "Cc", "Zs", "Zl", "Zp") and not "\uac00" <= chr(c) <= "\ud7a3" and not 0x3400 <= c < 0xA000 and c < 0xE1000]
+    drawn = [c for c in drawn if not _UNSEEN.match(c)]
+    d = spark.createDataFrame([("".join(drawn),)], "s string").select(F.explode(F.split("s", "")).alias("c")).where("c <> ''")
+    return "".join(sorted(r.c for r in d.where("concat('a', c, 'b') COLLATE UNICODE = 'ab' COLLATE UNICODE").collect()))
+
+
+def collation_key(word: str, seen: re.Pattern) -> str:
+    """What the collation groups: the word with the drawn characters that it passes over made visible to it. Joiners that
+    join nothing go, as they are not drawn."""
+    return seen.sub(lambda m: chr(PRIVATE + (ord(m.group()) & 0xFFFF)), _IDLE_JOINER.sub("", _UNSEEN.sub("", word)))
+
+
+def is_plain(word: str) -> bool:
+    return word.isascii() and word.isprintable() or plain(word) == word
+
+
+VOCABULARY = "w string, k string, odd boolean"
+
+
+def vocabulary(texts: DataFrame, passed: str) -> DataFrame:
+    """``w, k, odd``: the distinct mapped words of ``texts(text)``, what the collation groups, and whether they are not
+    plain. ``passed`` are the drawn characters that the collation passes over."""
+    pattern = "[" + re.escape(passed) + "]" if passed else "(?!)"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[str] = set()
+        seen = re.compile(pattern)
         for batch in batches:
             now: set[str] = set()
             for t in batch.column(0).to_pylist():
@@ -108,65 +136,85 @@ def vocabulary(texts: DataFrame) -> DataFrame:
             if len(sent) > 200_000:
                 sent.clear()
             sent |= now
-            yield pa.RecordBatch.from_arrays([pa.array(list(now), pa.string())], names=["w"])
+            words = list(now)
+            odd = [not is_plain(w) for w in words]
+            keys = [w if w.isascii() and not o else collation_key(w, seen) for w, o in zip(words, odd)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(keys, pa.string()), pa.array(odd, pa.bool_())], names=["w", "k", "odd"])
 
-    return texts.select("text").mapInArrow(run, "w string").distinct()
+    return texts.select("text").mapInArrow(run, VOCABULARY).distinct()
 
 
 def word_classes(texts: DataFrame) -> DataFrame:
     """``w, canonical``: the mapped words whose canonical member is another word."""
     spark = texts.sparkSession
     name = f"words_{uuid.uuid4().hex}"
-    written(vocabulary(texts), "words").createOrReplaceTempView(name)
-    grouped = spark.sql(f"""
-        WITH classes AS (SELECT min(w) AS member FROM {name} GROUP BY w COLLATE UNICODE HAVING count(*) > 1)
-        SELECT w, member FROM {name} JOIN classes ON w COLLATE UNICODE = member COLLATE UNICODE""")
+    written(vocabulary(texts, passed_over(spark)), "words").createOrReplaceTempView(name)
+    out = spark.sql(f"""
+        WITH classes AS (
+            SELECT min(k) AS member, min_by(w, struct(odd, octet_length(w), w)) AS canonical
+            FROM {name} GROUP BY k COLLATE UNICODE HAVING count(*) > 1)
+        SELECT w, canonical FROM {name} JOIN classes ON k COLLATE UNICODE = member COLLATE UNICODE
+        WHERE odd AND w <> canonical""")
+    out = written(out, "classes")
     spark.catalog.dropTempView(name)
-    split = grouped.select("w", exact_form(F.col("w")).alias("form"))
-    best = split.groupBy("form").agg(F.min_by("w", F.struct(F.octet_length("w"), F.col("w"))).alias("canonical"))
-    return split.join(best, "form").where("w <> canonical").select("w", "canonical")
-
-
-def unify(records: DataFrame, classes: DataFrame) -> DataFrame:
-    """``tbl, key, stored binary, shown binary, canonical``: every record's common form, with 128-bit hashes of the
-    stored text and of the common form (null where nothing is drawn)."""
-    classes = written(classes, "classes")
-    if classes.count() <= BROADCAST_WORDS:
-        sent = records.sparkSession.sparkContext.broadcast({r.w: r.canonical for r in classes.collect()})
-        d = records.select("tbl", "key", "text")
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            get = sent.value.get
-            for batch in batches:
-                stored, shown, canonical = [], [], []
-                for t in batch.column(2).to_pylist():
-                    words = [get(w, w) for w in mapped_words(t)] if t else []
-                    c = " ".join(words)
-                    stored.append(None if t is None else xxhash.xxh128_digest(t.encode("utf-8", "surrogatepass")))
-                    shown.append(xxhash.xxh128_digest(c.encode("utf-8", "surrogatepass")) if words else None)
-                    canonical.append(c if words else t)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stored, pa.binary()), pa.array(shown, pa.binary()), pa.array(canonical, pa.string())], names=["tbl", "key", "stored", "shown", "canonical"])
-
-        return d.mapInArrow(run, "tbl string, key string, stored binary, shown binary, canonical string")
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def words_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: mapped_words(t) if t else [])
-
-    # rows that arrive again go through once and are counted, as their words would fall into one group
-    d = records.groupBy("tbl", "key", "text").agg(F.count(F.lit(1)).alias("n"))
-    d = d.select("tbl", "key", "text", "n", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "w")).join(classes, "w", "left")
-    d = d.groupBy("tbl", "key", "text", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canonical", "w").alias("w")))), lambda x: x["w"]), " ").alias("c"))
-    d = d.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-    seen = F.col("c") != ""
-    return d.select("tbl", "key", F.unhex(F.md5("text")).alias("stored"), F.when(seen, F.unhex(F.md5("c"))).alias("shown"), F.when(seen, F.col("c")).otherwise(F.col("text")).alias("canonical"))
-
-
-def look_alike_pairs(unified: DataFrame) -> DataFrame:
-    """``tbl, key_a, key_b``: records of one table that only the common form makes equal, key_a < key_b."""
+    return out
+
+
+def unify(records: DataFrame, classes: DataFrame, texts: bool = True) -> DataFrame:
+    """``tbl, key, stored binary, shown binary`` and, with ``texts``, ``canonical``: every record's common form, with
+    128-bit hashes of the stored text and of the common form (null where nothing is drawn)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        known: dict[str, bool] = {}
+        digest = lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()
+        for batch in batches:
+            stored, shown, canonical, words, odd = [], [], [], [], []
+            for t in batch.column(2).to_pylist():
+                own = mapped_words(t) if t else []
+                places = []
+                for i, w in enumerate(own):
+                    if w not in known:
+                        if len(known) > 400_000:
+                            known.clear()
+                        known[w] = is_plain(w)
+                    if not known[w]:
+                        places.append(i)
+                form = " ".join(own)
+                stored.append(None if t is None else digest(t))
+                shown.append(digest(form) if own else None)
+                canonical.append((form if own else t) if texts else None)
+                words.append(own if places else None)
+                odd.append(places if places else None)
+            rid = pa.array(range(at, at + batch.num_rows), pa.int64())
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rid, batch.column(0), batch.column(1), pa.array(stored, pa.binary()), pa.array(shown, pa.binary()), pa.array(canonical, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(odd, pa.list_(pa.int32()))], names=["rid", "tbl", "key", "stored", "shown", "canonical", "words", "odd"])
+
+    d = records.select("tbl", "key", "text").mapInArrow(run, "rid long, tbl string, key string, stored binary, shown binary, canonical string, words array<string>, odd array<int>")
+    d = written(d, "mapped")  # the record numbers hold from here on
+    places = d.where("odd is not null").select("rid", "words", F.explode("odd").alias("pos")).select("rid", "pos", F.col("words")[F.col("pos")].alias("w"))
+    changes = places.join(classes.withColumnRenamed("canonical", "to"), "w").groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "to"))).alias("to"))
+    form = F.array_join(F.transform("words", lambda w, i: F.coalesce(F.element_at("to", i), w)), " ")
+    changed = d.where("odd is not null").select("rid", "words").join(changes, "rid").select("rid", form.alias("form"))
+    d = d.drop("words", "odd").join(changed, "rid", "left")
+    out = d.select("tbl", "key", "stored", F.coalesce(F.unhex(F.md5("form")), "shown").alias("shown"), F.coalesce("form", "canonical").alias("canonical"))
+    return out if texts else out.drop("canonical")
+
+
+def mixed_classes(unified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct ``tbl, key, stored, shown``, and the classes of records of one table that only the common form makes
+    equal: ``tbl, shown, n_keys, n_forms, least_key``, ``n_keys`` counting a key with each of its texts."""
     d = written(unified.where("shown is not null and key is not null").select("tbl", "key", "stored", "shown").distinct(), "shown")
-    mixed = d.groupBy("tbl", "shown").agg((F.min("stored") != F.max("stored")).alias("mixed")).where("mixed").select("tbl", "shown")
-    d = d.join(mixed, ["tbl", "shown"])
-    x, y = d.alias("x"), d.alias("y")
-    on = (F.col("x.tbl") == F.col("y.tbl")) & (F.col("x.shown") == F.col("y.shown")) & (F.col("x.stored") != F.col("y.stored")) & (F.col("x.key") < F.col("y.key"))
-    return x.join(y, on).select("x.tbl", F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b")).distinct()
+    forms = d.groupBy("tbl", "shown", "stored").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
+    classes = forms.groupBy("tbl", "shown").agg(F.sum("n").alias("n_keys"), F.count(F.lit(1)).alias("n_forms"), F.min("least").alias("least_key"))
+    return d, classes.where("n_forms > 1")
+
+
+def look_alike_pairs(unified: DataFrame, tile: int = TILE) -> DataFrame:
+    """``tbl, key_a, key_b``: records of one table that only the common form makes equal, key_a < key_b. A class of many
+    records is dealt to tiles, so that one task pairs at most about ``tile`` of them with the others."""
+    d, classes = mixed_classes(unified)
+    d = d.join(classes.select("tbl", "shown", F.ceil(F.col("n_keys") / tile).alias("tiles")), ["tbl", "shown"])
+    x = d.withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles"))).select("tbl", "shown", "tile", F.col("key").alias("key_a"), F.col("stored").alias("a"))
+    y = d.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("tbl", "shown", "tile", F.col("key").alias("key_b"), F.col("stored").alias("b"))
+    return y.join(x, ["tbl", "shown", "tile"]).where("a <> b and key_a < key_b").select("tbl", "key_a", "key_b").distinct()

@@ -20,7 +20,13 @@ def _shown(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that look equal and are stored differently."""
     t = _shown(spark, d)
-    return lookalikes.look_alike_pairs(lookalikes.unify(t, lookalikes.word_classes(t)))
+    return lookalikes.look_alike_pairs(lookalikes.unify(t, lookalikes.word_classes(t), texts=False))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of those records: how many keys and stored forms each has, and its least key."""
+    t = _shown(spark, d)
+    return lookalikes.mixed_classes(lookalikes.unify(t, lookalikes.word_classes(t), texts=False))[1].select("tbl", "least_key", "n_keys", "n_forms")
 
 
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -164,6 +170,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p1_classes": p1_classes,
         "p1_canonical": p1_canonical,
         "p2_found": p2_found,
         "p2_labels": p2_labels,
