@@ -3,7 +3,12 @@
 Sainte-Laguë apportionment: a mixture is cut into equal blocks of records, and each block goes to the source with the
 highest quotient weight / (2 * blocks so far + 1), as long as that source has blocks left (its records times the
 repeats that are allowed). A source's records are then apportioned to its shards by largest remainders, by what they
-hold, and each shard takes its integer quota of records in a seeded order. Only counts per target and shard reach the driver.
+hold, which gives each shard an integer quota. A shard cuts its records, in an order of their own, into blocks of the
+same size and takes blocks in a seeded order until its quota is met, the last one in part.
+
+Scale: the source table is read once, for keys and targets only, which are written to the shared folder. The driver gets
+one count for each target; the shards' quotas are worked out by a window over their counts, and the number of shards
+grows with the records, so that a task orders about ``SHARD_ROWS`` keys at any size.
 
 Defined results: the total is the largest at which no source needs more than its repeats, so that all shares can be met;
 a target without records, or of weight 0, gets none and the others share the total; a key that arrives again is one record
@@ -20,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from qirtas.lineage import written
+
 #: A mixture is cut into at most so many blocks, so a share is met within about 1 / MOST_BLOCKS at any size.
 MOST_BLOCKS = 20_000
-#: Records of a shard, for the seeded order inside it; and the most shards, which bounds what the driver gets.
-SHARD_ROWS, MOST_SHARDS = 250_000, 4096
+#: Records of a shard, which one task orders.
+SHARD_ROWS = 250_000
 #: Mixture targets are configuration; a longer table is refused.
 MOST_TARGETS = 512
 
@@ -42,48 +49,49 @@ def sainte_lague(weights: list[float], caps: list[int], seats: int) -> list[int]
     return got
 
 
-def quotas(counts: dict[tuple[int, int], int], shares: list[float], repeats: list[int]) -> tuple[int, dict[tuple[int, int], int]]:
-    """The block size of one mixture, and the records each (target, shard) has to give (repeats counted)."""
-    have = [0] * len(shares)
-    for (t, _), n in counts.items():
-        have[t] += n
+def quotas(have: list[int], shares: list[float], repeats: list[int]) -> tuple[int, list[int]]:
+    """The block size of one mixture, and the records each target has to give (repeats counted)."""
     live = [t for t in range(len(shares)) if have[t] and shares[t] > 0 and repeats[t] > 0]
     if not live:
-        return 1, {}
+        return 1, [0] * len(shares)
     weight = sum(shares[t] for t in live)
     total = math.floor(min(have[t] * repeats[t] * weight / shares[t] for t in live) + 1e-9)
     block = max(1, total // MOST_BLOCKS)
     caps = [n * r // block for n, r in zip(have, repeats)]
     got = sainte_lague([shares[t] if t in live else 0 for t in range(len(shares))], caps, total // block)
-    out: dict[tuple[int, int], int] = {}
-    for t in live:
-        keys, seats = sorted(k for k in counts if k[0] == t), got[t] * block
-        for k in keys:
-            out[k] = seats * counts[k] // have[t]
-        for k in sorted(keys, key=lambda k: -(seats * counts[k] % have[t]))[: seats - sum(out[k] for k in keys)]:
-            out[k] += 1
-    return block, out
+    return block, [n * block for n in got]
 
 
-def mix(records: DataFrame, key: Column, conditions: list[Column], shares: list[float], repeats: list[int], seed: int = 1234) -> DataFrame:
+def mix(records: DataFrame, key: Column, conditions: list[Column], shares: list[float], repeats: list[int], seed: int = 1234, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``target int, rec_id string, copies int``: the records of one mixture, each with how often it is used.
 
     ``conditions[i]`` says which records target ``i`` may draw; targets of one mixture exclude each other.
     """
+    spark = records.sparkSession
     target = F.coalesce(*(F.when(c, F.lit(i)) for i, c in enumerate(conditions)))
     d = records.select(key.cast("string").alias("rec_id"), target.alias("target")).where("target is not null and rec_id is not null")
-    d = d.groupBy("rec_id").agg(F.min("target").alias("target"))
-    n_shards = min(MOST_SHARDS, max(1, math.ceil(records.count() / SHARD_ROWS)))
-    d = d.withColumn("shard", F.pmod(F.xxhash64("rec_id", F.lit(f"{seed}|shard")), F.lit(n_shards)).cast("int"))
-    counts = {(r.target, r.shard): r.n for r in d.groupBy("target", "shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    block, quota = quotas(counts, shares, repeats)
-    spark = records.sparkSession
-    # quota = base * n + rest: every record base times, the first rest records of the seeded order once more
-    q = spark.createDataFrame([(t, s, n // counts[t, s], n % counts[t, s]) for (t, s), n in quota.items()], "target int, shard int, base int, rest long")
-    order = W.partitionBy("target", "shard").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "rec_id")), "rec_id")
-    d = d.join(F.broadcast(q), ["target", "shard"])  # at most MOST_TARGETS * MOST_SHARDS short rows
-    d = d.withColumn("rank", F.row_number().over(order))
-    return d.select("target", "rec_id", (F.col("base") + (F.col("rank") <= F.col("rest")).cast("int")).alias("copies")).where("copies > 0")
+    d = written(d.groupBy("rec_id").agg(F.min("target").alias("target")), "mix")
+    counts = {r.target: r.n for r in d.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a target
+    have = [counts.get(t, 0) for t in range(len(shares))]
+    block, seats = quotas(have, shares, repeats)
+    n_shards = max(1, math.ceil(sum(have) / shard_rows))
+    d = d.withColumn("shard", F.pmod(F.xxhash64("rec_id", F.lit(f"{seed}|shard")), F.lit(n_shards)))
+    # largest remainders: what a shard holds of its target's records it gives of its seats
+    of = spark.createDataFrame([(t, n, h) for t, (n, h) in enumerate(zip(seats, have)) if n], "target int, seats long, have long")
+    q = d.groupBy("target", "shard").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(of), "target")  # at most MOST_TARGETS rows
+    exact = F.col("seats").cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")
+    q = q.withColumn("low", F.floor(exact / F.col("have")).cast("long")).withColumn("rest", (exact - F.col("low").cast("decimal(20,0)") * F.col("have").cast("decimal(18,0)")).cast("long"))
+    by = W.partitionBy("target")
+    q = q.withColumn("more", F.col("seats") - F.sum("low").over(by)).withColumn("i", F.row_number().over(by.orderBy(F.desc("rest"), "shard")))
+    q = q.withColumn("quota", F.col("low") + (F.col("i") <= F.col("more")).cast("long"))
+    # quota = base * n + rest: every record base times, and blocks of records in seeded order once more up to the rest
+    q = q.select("target", "shard", F.floor(F.col("quota") / F.col("n")).alias("base"), (F.col("quota") % F.col("n")).alias("rest"))
+    of_shard = W.partitionBy("target", "shard")
+    own = F.xxhash64("rec_id", F.lit(f"{seed}|order"))
+    d = d.join(q, ["target", "shard"]).withColumn("block", F.floor((F.row_number().over(of_shard.orderBy(own, "rec_id")) - 1) / block))
+    drawn = F.md5(F.concat_ws("|", F.lit(seed), "target", "shard", "block"))
+    d = d.withColumn("rank", F.row_number().over(of_shard.orderBy(drawn, "block", own, "rec_id")))
+    return d.select("target", "rec_id", (F.col("base") + (F.col("rank") <= F.col("rest")).cast("int")).cast("int").alias("copies")).where("copies > 0")
 
 
 def clean_source(c: Column) -> Column:

@@ -32,23 +32,33 @@ def test_shares_and_repeats(spark, n):
     assert sorted(map(tuple, m.select("mix_name", "rec_id", "copies").collect())) == sorted(map(tuple, again.select("mix_name", "rec_id", "copies").collect()))
 
 
-def test_many_shards_give_the_same_totals(spark, monkeypatch):
-    monkeypatch.setattr(M, "SHARD_ROWS", 300)
+@pytest.mark.parametrize("shard_rows", [300, 7])
+def test_many_shards_give_the_same_totals(spark, shard_rows):
     r = records(spark, 4000)
-    m = M.mix(r, F.col("qid"), [F.col("source") == "a", M.clean_source(F.col("source")) == "b"], [0.5, 0.5], [1, 2])
-    got = {x.target: x.n for x in m.groupBy("target").agg(F.sum("copies").alias("n")).collect()}
-    assert got == {0: 2000, 1: 2000}
-
-
-def test_many_shards_lose_no_part_of_a_scarce_source():
-    counts = {(t, s): n + s % 7 for s in range(4096) for t, n in ((0, 20_000), (1, 5_000))}
-    shares, repeats = [0.92, 0.08], [1, 1]
-    have = [sum(n for (t, _), n in counts.items() if t == i) for i in (0, 1)]
-    block, quota = M.quotas(counts, shares, repeats)
-    drawn = [sum(q for (t, _), q in quota.items() if t == i) for i in (0, 1)]
-    assert all(0 <= q <= counts[k] for k, q in quota.items())
-    assert abs(drawn[1] / sum(drawn) - 0.08) < 2 / M.MOST_BLOCKS
-    assert sum(drawn) > min(h / s for h, s in zip(have, shares)) - 2 * block
+    m = M.mix(r, F.col("qid"), [F.col("source") == "a", M.clean_source(F.col("source")) == "b"], [0.5, 0.5], [1, 2], shard_rows=shard_rows)
+    got = {x.target: (x.n, x.most) for x in m.groupBy("target").agg(F.sum("copies").alias("n"), F.max("copies").alias("most")).collect()}
+    assert got == {0: (2000, 1), 1: (2000, 2)}
+
+
+def test_blocks_are_drawn_whole(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST_BLOCKS", 20)
+    block, seats = M.quotas([1000, 250], [0.5, 0.5], [1, 1])
+    assert block == 25 and seats == [250, 250]
+    df = spark.range(1250).select(F.concat(F.lit("k"), "id").alias("qid"), (F.col("id") < 1000).alias("first"))
+    m = M.mix(df, F.col("qid"), [F.col("first"), ~F.col("first")], [0.5, 0.5], [1, 1])
+    order = df.where("first").orderBy(F.xxhash64("qid", F.lit("1234|order")), "qid").collect()
+    drawn = {r.rec_id for r in m.where("target = 0").collect()}
+    blocks = [[r.qid in drawn for r in order[k : k + 25]] for k in range(0, 1000, 25)]
+    assert sum(all(x) for x in blocks) == 10 and sum(any(x) for x in blocks) == 10
+    other = M.mix(df, F.col("qid"), [F.col("first"), ~F.col("first")], [0.5, 0.5], [1, 1], seed=5)
+    assert {r.rec_id for r in other.where("target = 0").collect()} != drawn
+
+
+def test_a_scarce_source_is_used_up():
+    have, shares = [80_000_000, 20_000_000], [0.92, 0.08]
+    block, seats = M.quotas(have, shares, [1, 1])
+    assert abs(seats[1] / sum(seats) - 0.08) < 2 / M.MOST_BLOCKS and all(n <= h for n, h in zip(seats, have))
+    assert sum(seats) > min(h / s for h, s in zip(have, shares)) - 2 * block
 
 
 def test_empty_and_missing_sources(spark):
