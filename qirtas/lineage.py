@@ -11,22 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``. Where the setting is absent, a temporary folder in local mode (tests); on
+    a cluster that is an error, as executors share no machine's own folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="qirtas-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="qirtas-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """A reliable checkpoint: survives the loss of any executor."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 _tables: list[tuple[SparkSession, str]] = []
 
 

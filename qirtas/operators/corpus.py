@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,6 +67,15 @@ END_HEADINGS = (
 )
 
 
+def plain_form(line: str) -> str:
+    """A heading without vowel marks and stretching, with one alef and single blanks."""
+    bare = "".join(c for c in line if c != "ـ" and unicodedata.category(c) not in ("Mn", "Cf"))
+    return " ".join(bare.translate(str.maketrans(*X.ALEFS)).split())
+
+
+_ENDS = frozenset(map(plain_form, END_HEADINGS))
+
+
 def sections(text: str) -> list[tuple[str | None, list[str]]]:
     """Lead (heading None) and sections of an article; a heading counts once something stands before it, or where it is
     marked with equals signs."""
@@ -80,7 +90,7 @@ def sections(text: str) -> list[tuple[str | None, list[str]]]:
         plain = len(line.split()) <= 10 and len(line) <= 80 and line[-1] not in ".!?؟،,;؛:" and (raw.endswith(" ") or alone)
         if (out[0][1] or len(out) > 1) and (marked or plain):
             name = line.strip("= ").strip()
-            if name in END_HEADINGS:
+            if plain_form(name) in _ENDS:
                 break
             out.append((name, []))
         else:
@@ -97,7 +107,7 @@ def wiki_pairs(docs: DataFrame, key: str, title: str, text: str, least_words: in
             rows = []
             for k, name, body in zip(pdf[key], pdf["_title"], pdf["_text"]):
                 name = (name or "").strip()
-                if not name or not body or "توضيح" in name:
+                if not name or not body or "(توضيح)" in name:
                     continue
                 for heading, lines in sections(body):
                     prose = [x for x in lines if len(x.split()) >= 12 or x[-1] in '.!?؟:؛…»")']

@@ -127,7 +127,7 @@ def script_shares(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "word_categories",
     rf"""WITH w AS (SELECT source, regexp_replace(unnest(regexp_extract_all(text, '[^{B}]+')), '^[\p{{P}}\p{{S}}]+|[\p{{P}}\p{{S}}]+$', '', 'g') AS w FROM documents)
-    SELECT source, CASE WHEN regexp_matches(w, '^{X.ARABIC_LETTER}+$') THEN 'arabic' WHEN regexp_matches(w, '^{X.LATIN_LETTER}+$') THEN 'latin' WHEN regexp_matches(w, '^\p{{Nd}}+$') THEN 'number' ELSE 'other' END AS category, count(*) AS n FROM w GROUP BY ALL""",
+    SELECT source, CASE WHEN regexp_matches(w, '^{X.ARABIC_LETTER}+$') THEN 'arabic' WHEN regexp_matches(w, '^{X.LATIN_LETTER}+$') THEN 'latin' WHEN regexp_matches(w, '^\p{{Nd}}+([.,]\p{{Nd}}+)*$') THEN 'number' ELSE 'other' END AS category, count(*) AS n FROM w GROUP BY ALL""",
 )
 def word_categories(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "documents", "source", "text").select("source", F.explode(X.words(F.col("text"))).alias("w"))

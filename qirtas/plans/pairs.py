@@ -247,7 +247,7 @@ def final_pair_mix(spark: SparkSession, d: str) -> DataFrame:
 def share_cap_counts(spark: SparkSession, d: str) -> DataFrame:
     """What each source has and what a cap of a fifth leaves of it: a loop over one tiny aggregate on the driver."""
     n = {r.source: r.n for r in table(spark, d, "pairs", "kind").groupBy(_source().alias("source")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    capped = quotas.share_capped(n, 0.2)
+    capped = quotas.capped(n, 0.2)
     return spark.createDataFrame([(s, n[s], capped[s]) for s in sorted(n)], "source string, available long, capped long")
 
 

@@ -49,14 +49,17 @@ def keyed_json_lines(spark: SparkSession, path: str, schema: str, key: str, keep
 
 
 def qrels(spark: SparkSession, path: str) -> DataFrame:
-    """``qid, q0, docid, rel`` separated by blanks, without a header; other lines are dropped."""
+    """``qid, q0, docid, rel`` separated by blanks, without a header: the first four fields of a line; lines of
+    fewer fields or without a number in the fourth are dropped."""
     p = F.split(F.trim("value"), BLANKS)
-    return lines(spark, path).where(F.size(p) == 4).select(p[0].alias("qid"), p[1].alias("q0"), p[2].alias("docid"), p[3].try_cast("int").alias("rel")).where("rel is not null")
+    return lines(spark, path).where(F.size(p) >= 4).select(p[0].alias("qid"), p[1].alias("q0"), p[2].alias("docid"), p[3].try_cast("int").alias("rel")).where("rel is not null")
 
 
 def topics(spark: SparkSession, path: str) -> DataFrame:
-    """``qid, query``: split at the first tab; lines without a tab are dropped, of one key the last line holds."""
-    d = lines(spark, path).withColumn("at", F.monotonically_increasing_id()).where(F.col("value").contains("\t"))
+    """``qid, query``: split at the first tab; lines without a tab are dropped, of one key the last line holds: the one
+    that begins furthest on in the last file by name, however the files are split."""
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    d = lines(spark, path).select("value", at.alias("at")).where(F.col("value").contains("\t"))
     d = d.select(F.substring_index("value", "\t", 1).alias("qid"), F.regexp_extract("value", r"(?s)^[^\t]*\t(.*)$", 1).alias("query"), "at")
     return d.groupBy("qid").agg(F.max_by("query", "at").alias("query"))
 

@@ -115,11 +115,13 @@ def test_decontamination_and_canaries(spark):
 
 
 def test_share_caps():
-    assert quotas.share_capped({"big": 1000, "a": 300, "b": 300, "c": 300})["big"] == 600
+    assert quotas.capped({"big": 1000, "a": 300, "b": 300, "c": 300}, 0.4)["big"] == 600
+    assert quotas.capped({"a": 70, "b": 50}, 1.0, target=60) == {"a": 60, "b": 50}
     with pytest.warns(UserWarning):
-        assert quotas.share_capped({"x": 9000, "y": 1000}) == {"x": 0, "y": 0}
-    n = quotas.capped_by_source({"m": 900, "s": 2000, "h": 500}, {"m": 0.4, "s": 0.65, "h": 1.0})
+        assert quotas.capped({"x": 9000, "y": 1000}, 0.4) == {"x": 0, "y": 0}
+    n = quotas.capped({"m": 900, "s": 2000, "h": 500}, {"m": 0.4, "s": 0.65, "h": 1.0}, slack=1e-9, passes=100)
     assert n["m"] <= 0.4 * sum(n.values()) + 1 and n["s"] <= 0.65 * sum(n.values()) + 1
+    assert quotas.capped({}, 0.4) == {} and quotas.capped({"a": 0}, 0.4) == {"a": 0}
 
 
 def test_group_holdout_never_splits_a_group(spark):
@@ -204,6 +206,13 @@ def test_answer_window():
     w = makers.answer_window(c, s, s + 4, 300)
     assert "1969" in w and len(w) <= 300
     assert makers.answer_window(c, 0, 400, 300) is None
+    # paragraphs grow to the right only, until they hold a third of the width
+    assert makers.answer_window("أول\nثان\nثالث طويل جدا", 4, 7, 30) == "ثان\nثالث طويل جدا"
+    # too long: from a word on, or from the end of a near sentence, which may leave no room for the answer
+    long_ = "س" * 100 + ". " + "ب " * 10 + "جواب " + "ت " * 90
+    assert makers.answer_window(long_, 122, 126, 120).startswith("ب ")
+    long_ = "س" * 50 + ". " + "ب " * 60 + "جواب " + "ت " * 90
+    assert makers.answer_window(long_, 172, 176, 120) is None and makers.answer_window(long_, 172, 176, 200).startswith("ب ")
     assert makers.answer_window("قصير", 0, 4, 300) == "قصير"
     assert makers.locate_answer("x abc abc", "abc", 30) == 2
 
