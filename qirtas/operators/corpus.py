@@ -12,16 +12,33 @@ from pyspark.sql import functions as F
 
 from qirtas.functions import ordering as O
 from qirtas.functions import text as X
+from qirtas.lineage import written
 
 
-def corpus_cascade(docs: DataFrame, key: str = "doc_id", least_chars: int = 100, least_tokens: int = 32, least_share: float = 0.5) -> DataFrame:
-    """``docs`` with ``reason``: duplicate (not the first copy by key), short, few tokens, not Arabic, or null if kept."""
-    d = docs.withColumn("_k", X.md5_hex(F.coalesce("text", F.lit(""))))
-    first = d.groupBy("_k").agg(F.min(key).alias("_first"))
-    d = d.join(first, "_k")
+def corpus_facts(docs: DataFrame, key: str = "doc_id", least_chars: int = 100, least_tokens: int = 32, least_share: float = 0.5) -> DataFrame:
+    """``key, source, hash, reason``: what one document tells by itself, without its text: a hash, and short, few tokens,
+    not Arabic or null."""
     t = F.coalesce("text", F.lit(""))
-    reason = F.when(F.col(key) != F.col("_first"), "duplicate").when(F.length(X.strip(t)) < least_chars, "short").when(X.token_count(t) < least_tokens, "few tokens").when(X.arabic_share(t) < least_share, "not Arabic")
-    return d.withColumn("reason", reason).drop("_k", "_first")
+    reason = F.when(F.length(X.strip(t)) < least_chars, "short").when(X.token_count(t) < least_tokens, "few tokens").when(X.arabic_share(t) < least_share, "not Arabic")
+    return docs.select(key, "source", X.md5_hex(t).alias("hash"), reason.alias("reason"))
+
+
+def corpus_cascade(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, source, reason`` of every document: duplicate (not the first copy by key), or ``corpus_facts``' reason."""
+    d = written(corpus_facts(docs, key), "facts")
+    first = d.groupBy("hash").agg(F.min(key).alias("_first"))
+    return d.join(first, "hash").select(key, "source", F.when(F.col(key) != F.col("_first"), "duplicate").otherwise(F.col("reason")).alias("reason"))
+
+
+def corpus_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``source, n_in, n_duplicate, n_short, n_few_tokens, n_not_arabic, n_kept`` with a total row. Each hash keeps the
+    source and reason of its first copy, combined before the shuffle; what is in and no first copy is a duplicate."""
+    least = F.min(F.struct(key, "source", "reason")).alias("f")
+    first = corpus_facts(docs, key).groupBy("hash", F.col("source").alias("of")).agg(least, F.count(F.lit(1)).alias("n"))
+    first = first.withColumn("is_first", F.col("f") == F.min("f").over(W.partitionBy("hash")))  # at most one row per hash and source
+    own = lambda r: F.count_if(F.col("is_first") & (F.col("f.reason").isNull() if r is None else F.col("f.reason") == r))
+    g = first.rollup("of").agg(F.sum("n").alias("n_in"), (F.sum("n") - F.count_if("is_first")).alias("n_duplicate"), own("short").alias("n_short"), own("few tokens").alias("n_few_tokens"), own("not Arabic").alias("n_not_arabic"), own(None).alias("n_kept"))
+    return g.withColumn("source", F.coalesce("of", F.lit("(all)"))).drop("of")
 
 
 def pre_tokens(c: Column) -> Column:
@@ -124,13 +141,15 @@ def pack(rows: DataFrame, unit: str, order: str, ids: str, length: int, cls: int
     """``unit, seq, ids``: each unit's token lists in order, every list closed by ``sep``, cut into bodies of
     ``length - 2`` between ``cls`` and ``end``; a unit's last incomplete body is dropped.
 
-    Only the lists' lengths are ordered by the window; a list then is cut where its tokens lie, and the pieces of a
-    sequence meet in one group of at most ``length`` tokens."""
+    Only units, orders and lengths are ordered, over ranges and not by one task a unit; a list's offset then is joined
+    to it, it is cut where it lies, and the pieces of a sequence meet in one group of at most ``length`` tokens."""
     body = length - 2
     d = rows.select(unit, order, F.array_append(ids, sep).alias("ids"))
     n = F.size("ids")
-    w = W.partitionBy(unit).orderBy(order)
-    d = d.withColumn("at", F.coalesce(F.sum(n.cast("long")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    sums = written(O.global_sum(d.select(unit, order, n.cast("long").alias("n")), [unit, order], F.col("n"), "before"), "offsets")
+    start = sums.groupBy(unit).agg(F.min("before").alias("start"))
+    at = sums.join(start, unit).select(F.col(unit).alias("_u"), F.col(order).alias("_o"), (F.col("before") - F.col("start")).alias("at"))
+    d = d.join(at, (F.col(unit).eqNullSafe(F.col("_u"))) & (F.col(order) == F.col("_o"))).drop("_u", "_o")
     first, last = F.floor(F.col("at") / body), F.floor((F.col("at") + n - 1) / body)
     d = d.select(unit, "at", "ids", F.explode(F.sequence(first, last)).alias("seq"))
     lo = F.greatest(F.col("seq") * body - F.col("at"), F.lit(0))

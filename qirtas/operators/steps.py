@@ -1,11 +1,10 @@
-"""Row-filter steps: a reason for every removal, the first reason wins, later steps see only what is alive."""
+"""Row filters: a step and a reason for every removal, the first reason wins, later steps see only what is alive."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,45 +12,7 @@ from pyspark.sql import functions as F
 
 from qirtas.functions import ordering as O
 from qirtas.functions import text as X
-from qirtas.lineage import checkpoint_root
-
-#: A step looks at the rows that are alive and returns the column with their reason (null: keep).
-Decide = Callable[[DataFrame], tuple[DataFrame, Column]]
-
-
-@dataclass
-class Step:
-    """Kept rows, and the removal log ``key, step, reason`` of all steps so far."""
-
-    kept: DataFrame
-    log: DataFrame | None
-
-
-def apply_step(state: Step, key: str, name: str, decide: Decide) -> Step:
-    df, reason = decide(state.kept)
-    d = df.withColumn("_reason", reason)
-    gone = d.where(F.col("_reason").isNotNull()).select(key, *([c] if (c := "source") in d.columns else []), F.lit(name).alias("step"), F.col("_reason").alias("reason"))
-    return Step(d.where(F.col("_reason").isNull()).select(*state.kept.columns), gone if state.log is None else state.log.unionByName(gone))
-
-
-def run_steps(df: DataFrame, key: str, steps: list[tuple[str, Decide]]) -> Step:
-    state = Step(df, None)
-    for name, decide in steps:
-        state = apply_step(state, key, name, decide)
-    return state
-
-
-def empty_after_cleanup(df: DataFrame) -> tuple[DataFrame, Column]:
-    return df, F.when((F.col("q_tokens") <= 0) | (F.col("p_tokens") <= 0), F.lit("empty after cleanup"))
-
-
-def too_short(df: DataFrame, query: int = 3, passage: int = 20) -> tuple[DataFrame, Column]:
-    return df, F.when(F.col("q_tokens") < query, F.lit(f"query < {query} tokens")).when(F.col("p_tokens") < passage, F.lit(f"passage < {passage} tokens"))
-
-
-def not_arabic(df: DataFrame, share: float = 0.70) -> tuple[DataFrame, Column]:
-    return df, F.when(X.arabic_share(F.col("q_norm")) < share, F.lit("query not Arabic")).when(X.arabic_share(F.col("p_norm")) < share, F.lit("passage not Arabic"))
-
+from qirtas.lineage import checkpoint_root, written
 
 #: Titles that say nothing of their text (fixed values).
 BOILERPLATE = (
@@ -66,30 +27,6 @@ BOILERPLATE = (
 )
 
 
-def junk(df: DataFrame, repeats: int = 5) -> tuple[DataFrame, Column]:
-    """Boilerplate titles, and query texts that a source repeats more often than ``repeats``. The counts combine before
-    the shuffle; only the repeated keys are joined back."""
-    d = df.withColumn("_key", X.query_key(F.col("q_norm")))
-    many = d.groupBy("source", "_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > repeats)
-    d = d.join(many, ["source", "_key"], "left")
-    return d, F.when(F.col("_key").isin(*BOILERPLATE), F.lit("boilerplate title")).when(F.col("_n").isNotNull(), F.lit(f"query text > {repeats} times in the source"))
-
-
-def near_identical(df: DataFrame, limit: float = 0.8) -> tuple[DataFrame, Column]:
-    return df, F.when(X.word_jaccard(F.col("q_norm"), F.col("p_norm")) > limit, F.lit(f"query and passage alike (word Jaccard > {limit})"))
-
-
-def exact_duplicates(order: str) -> Decide:
-    """Keep the first of rows with equal normalized query and passage; ``order`` ranks them."""
-
-    def decide(df: DataFrame) -> tuple[DataFrame, Column]:
-        d = df.withColumn("_k", F.md5(F.concat(F.col("q_norm"), F.lit("\x1f"), F.col("p_norm"))))
-        first = d.groupBy("_k").agg(F.min(order).alias("_first"))
-        return d.join(first, "_k"), F.when(F.col(order) != F.col("_first"), F.lit("duplicate pair"))
-
-    return decide
-
-
 def clean_pairs(pairs: DataFrame) -> DataFrame:
     """``pair_id, source, kind, query, passage`` cleaned, with token counts and normalized texts."""
     d = pairs.select("pair_id", "source", "kind", X.clean(F.col("query")).alias("query"), X.clean(F.col("passage")).alias("passage"))
@@ -97,6 +34,51 @@ def clean_pairs(pairs: DataFrame) -> DataFrame:
     return d.withColumns({"q_norm": X.normalize(F.col("query")), "p_norm": X.normalize(F.col("passage"))})
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once however often it is used later (a plain projection is merged into
+    the ones above it and computed for every use)."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
+def first_reason(step: str, *reasons: tuple[Column, str]) -> Column:
+    out = F.lit(None).cast("struct<step:string,reason:string>")
+    for condition, reason in reversed(reasons):
+        out = F.when(condition, F.struct(F.lit(step).alias("step"), F.lit(reason).alias("reason"))).otherwise(out)
+    return out
+
+
+def decided_pairs(pairs: DataFrame, query: int = 3, passage: int = 20, share: float = 0.7, repeats: int = 5, alike: float = 0.8) -> DataFrame:
+    """``pair_id, source, kind, step, reason``: the filter chain (cleanup, length, language, junk, near_identical, dedupe)
+    over ``pairs(pair_id, source, kind, query, passage)``; step and reason are null for rows that are kept.
+
+    The steps that look at one row only are decided where it lies. What then is written and joined are ids, reasons and
+    128-bit hashes, never texts; repeated queries are counted, and first copies found, by hash with sums that combine
+    before the shuffle."""
+    d = pairs.select("pair_id", "source", "kind", "query", "passage")
+    d = once(d, q=X.clean(F.col("query")), p=X.clean(F.col("passage"))).drop("query", "passage")
+    d = once(d, qn=X.normalize(F.col("q")), pn=X.normalize(F.col("p")), qt=X.token_count(F.col("q")), pt=X.token_count(F.col("p"))).drop("q", "p")
+    early = F.coalesce(
+        first_reason("cleanup", ((F.col("qt") <= 0) | (F.col("pt") <= 0), "empty after cleanup")),
+        first_reason("length", (F.col("qt") < query, f"query < {query} tokens"), (F.col("pt") < passage, f"passage < {passage} tokens")),
+        first_reason("language", (X.arabic_share(F.col("qn")) < share, "query not Arabic"), (X.arabic_share(F.col("pn")) < share, "passage not Arabic")),
+    )
+    d = once(d, early=early, key=X.query_key(F.col("qn")))
+    alive = F.col("early").isNull()
+    late = F.when(alive, first_reason("near_identical", (X.word_jaccard(F.col("qn"), F.col("pn")) > alike, f"query and passage alike (word Jaccard > {alike})")))
+    d = d.select(
+        "pair_id", "source", "kind", F.coalesce("early", F.when(F.col("key").isin(*BOILERPLATE), F.struct(F.lit("junk").alias("step"), F.lit("boilerplate title").alias("reason")))).alias("early"), late.alias("late"),
+        F.when(alive, F.unhex(F.md5("key"))).alias("key"), F.when(alive, F.unhex(F.md5(F.concat(F.col("qn"), F.lit("\x1f"), F.col("pn"))))).alias("pair"),
+    )
+    d = written(d, "decided")
+    many = d.where("key is not null and source is not null").groupBy("source", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > repeats).select("source", "key", F.lit(True).alias("many"))
+    d = d.join(many, ["source", "key"], "left")
+    d = d.withColumn("early", F.coalesce("early", first_reason("junk", (F.col("many"), f"query text > {repeats} times in the source")), "late"))
+    first = d.where("early is null").groupBy("pair").agg(F.min("pair_id").alias("first"))
+    d = d.join(first, "pair", "left")
+    why = F.coalesce("early", first_reason("dedupe", (F.col("pair_id") != F.col("first"), "duplicate pair")))
+    return d.select("pair_id", "source", "kind", why.alias("why")).select("pair_id", "source", "kind", "why.step", "why.reason")
+
+
 def step_stats(df: DataFrame, log: DataFrame, steps: list[str]) -> DataFrame:
     """``step, n_in, n_out, n_removed`` in step order; ``n_in = n_out + n_removed`` by construction."""
     n = log.groupBy("step").agg(F.count(F.lit(1)).alias("n_removed"))

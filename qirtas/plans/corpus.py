@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from qirtas.functions import ordering as O
 from qirtas.functions import text as X
 from qirtas.operators import corpus as C
+from qirtas.operators.steps import once
 from qirtas.registry import query
 from qirtas.tables import table, wide_table
 
@@ -62,10 +63,7 @@ SQL_CLEANED = "SELECT *, {3} AS w FROM (SELECT *, {2} AS e FROM (SELECT *, {1} A
 def corpus_funnel(spark: SparkSession, d: str) -> DataFrame:
     """Slice zero: clean, drop exact copies (first kept), filter, count by source with a total row."""
     t = wide_table(spark, d, "documents", "doc_id", "source", "text")
-    f = C.corpus_cascade(t.withColumn("text", X.clean(F.col("text"))))
-    n = lambda r: F.count_if(F.col("reason") == r)
-    g = f.rollup("source").agg(F.count(F.lit(1)).alias("n_in"), n("duplicate").alias("n_duplicate"), n("short").alias("n_short"), n("few tokens").alias("n_few_tokens"), n("not Arabic").alias("n_not_arabic"), F.count_if(F.col("reason").isNull()).alias("n_kept"))
-    return g.withColumn("source", F.coalesce("source", F.lit("(all)")))
+    return C.corpus_counts(once(t.withColumnRenamed("text", "raw"), text=X.clean(F.col("raw"))))
 
 
 @query(

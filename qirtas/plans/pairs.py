@@ -45,8 +45,7 @@ SQL_STEPS = f"""{SQL_CP},
     LOG AS (SELECT pair_id, source, 'cleanup' AS step, r AS reason FROM E1 WHERE r IS NOT NULL UNION ALL SELECT pair_id, source, 'length', r FROM E2 WHERE r IS NOT NULL
             UNION ALL SELECT pair_id, source, 'language', r FROM E3 WHERE r IS NOT NULL UNION ALL SELECT pair_id, source, 'junk', r FROM E4 WHERE r IS NOT NULL
             UNION ALL SELECT pair_id, source, 'near_identical', r FROM E5 WHERE r IS NOT NULL UNION ALL SELECT pair_id, source, 'dedupe', r FROM E6 WHERE r IS NOT NULL)"""
-STEPS = [("cleanup", steps.empty_after_cleanup), ("length", steps.too_short), ("language", steps.not_arabic), ("junk", steps.junk), ("near_identical", steps.near_identical), ("dedupe", steps.exact_duplicates("pair_id"))]
-NAMES = [n for n, _ in STEPS]
+NAMES = ["cleanup", "length", "language", "junk", "near_identical", "dedupe"]
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
@@ -54,8 +53,12 @@ def _clean(spark: SparkSession, d: str) -> DataFrame:
     return written(steps.clean_pairs(wide_table(spark, d, "pairs", "pair_id", "source", "kind", "query", "passage")), "clean")
 
 
-def _chain(spark: SparkSession, d: str) -> steps.Step:
-    return steps.run_steps(_clean(spark, d), "pair_id", STEPS)
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    return steps.decided_pairs(wide_table(spark, d, "pairs", "pair_id", "source", "kind", "query", "passage"))
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return _decided(spark, d).where("step is not null")
 
 
 @query("pair_cleanup", f"WITH {SQL_CP} SELECT pair_id, md5(query) AS query, md5(passage) AS passage, CAST(q_tokens AS BIGINT) AS q_tokens, CAST(p_tokens AS BIGINT) AS p_tokens, md5(q_norm) AS q_norm, md5(p_norm) AS p_norm FROM CP")
@@ -67,17 +70,17 @@ def pair_cleanup(spark: SparkSession, d: str) -> DataFrame:
 @query("pair_removal_log", f"WITH {SQL_STEPS} SELECT pair_id, step, reason FROM LOG")
 def pair_removal_log(spark: SparkSession, d: str) -> DataFrame:
     """The whole filter chain: why each removed pair went."""
-    return _chain(spark, d).log.select("pair_id", "step", "reason")
+    return _log(spark, d).select("pair_id", "step", "reason")
 
 
 @query("pair_kept", f"WITH {SQL_STEPS} SELECT pair_id, source, kind FROM K6")
 def pair_kept(spark: SparkSession, d: str) -> DataFrame:
-    return _chain(spark, d).kept.select("pair_id", "source", "kind")
+    return _decided(spark, d).where("step is null").select("pair_id", "source", "kind")
 
 
 @query("removed_by_reason", f"WITH {SQL_STEPS} SELECT step, reason, count(*) AS n FROM LOG GROUP BY ALL")
 def removed_by_reason(spark: SparkSession, d: str) -> DataFrame:
-    return _chain(spark, d).log.groupBy("step", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return _log(spark, d).groupBy("step", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SQL_IN = "(SELECT count(*) FROM pairs)"
@@ -92,7 +95,7 @@ _SQL_IN = "(SELECT count(*) FROM pairs)"
 )
 def step_stats(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "pairs", "pair_id")
-    return steps.step_stats(pairs, _chain(spark, d).log, NAMES)
+    return steps.step_stats(pairs, _log(spark, d), NAMES)
 
 
 @query(
@@ -105,7 +108,7 @@ def pair_funnel(spark: SparkSession, d: str) -> DataFrame:
     """Source by step, with a total row."""
     named = F.coalesce("source", F.lit("(null)"))
     pairs = table(spark, d, "pairs", "pair_id", "source").withColumn("source", named)
-    return steps.funnel(pairs, _chain(spark, d).log.withColumn("source", named), NAMES)
+    return steps.funnel(pairs, _log(spark, d).withColumn("source", named), NAMES)
 
 
 @query(
@@ -115,7 +118,7 @@ def pair_funnel(spark: SparkSession, d: str) -> DataFrame:
 )
 def removal_sample(spark: SparkSession, d: str) -> DataFrame:
     """At most thirty removals of each reason, with their texts joined late."""
-    s = steps.removal_sample(_chain(spark, d).log, "pair_id").select("pair_id", "step", "reason")
+    s = steps.removal_sample(_log(spark, d), "pair_id").select("pair_id", "step", "reason")
     return s.join(table(spark, d, "pairs", "pair_id", "query"), "pair_id", "left").select("pair_id", "step", "reason", F.md5(F.coalesce("query", F.lit(""))).alias("query"))
 
 

@@ -13,24 +13,31 @@ from qirtas.operators import vectors as V
 from qirtas.operators.components import connected_components
 
 
-def test_length_filter_first_reason_wins(spark):
-    df = spark.createDataFrame([(1, 2, 30), (2, 5, 10), (3, 5, 30)], "pair_id int, q_tokens int, p_tokens int")
-    d, reason = steps.too_short(df)
-    assert [r.r for r in d.select("pair_id", reason.alias("r")).orderBy("pair_id").collect()] == ["query < 3 tokens", "passage < 20 tokens", None]
+def test_the_first_reason_wins(spark):
+    long_ = "كلمة عن المدينة القديمة وسوقها الكبير قرب النهر " * 4
+    rows = [
+        (1, "s", "k", None, long_), (2, "s", "k", "سؤال قصير", "قصير"), (3, "s", "k", "سؤال عن المدينة القديمة", "قصير جدا"), (4, "s", "k", "english words in a question", long_),
+        (5, "s", "k", "سؤال عن المدينة القديمة", long_), (6, "s", "k", "سُؤال عن المدينة القديمة؟", long_), (7, None, "k", "سؤال عن المدينة القديمة", long_), (8, "s", "k", long_, long_), (9, "s", "k", "سؤال عن المدينة القديمة", None),
+    ]
+    d = steps.decided_pairs(spark.createDataFrame(rows, "pair_id long, source string, kind string, query string, passage string"))
+    got = {r.pair_id: (r.step, r.reason) for r in d.collect()}
+    assert got[1] == got[9] == ("cleanup", "empty after cleanup")
+    assert got[2] == ("length", "query < 3 tokens") and got[3] == ("length", "passage < 20 tokens") and got[4] == ("language", "query not Arabic")
+    assert got[8][0] == "near_identical" and got[5] == (None, None) and got[7] == ("dedupe", "duplicate pair")
+    assert len(got) == 9
 
 
 def test_steps_keep_in_equals_out_plus_removed(spark):
-    rows = [(i, "s", "k", f"سؤال رقم {i % 4} عن المدينة", "كلمة " * (5 + i)) for i in range(40)]
-    pairs = steps.clean_pairs(spark.createDataFrame(rows, "pair_id long, source string, kind string, query string, passage string"))
-    names = [("length", steps.too_short), ("junk", steps.junk), ("dedupe", steps.exact_duplicates("pair_id"))]
-    state = steps.run_steps(pairs, "pair_id", names)
-    assert state.kept.count() + state.log.count() == 40
-    assert state.log.select("pair_id").distinct().count() == state.log.count()
-    stats = {r.step: r for r in steps.step_stats(pairs, state.log, [n for n, _ in names]).collect()}
-    assert stats["length"].n_in == 40 and stats["junk"].n_in == stats["length"].n_out
-    f = {r.source: r for r in steps.funnel(pairs, state.log, [n for n, _ in names]).collect()}
-    assert f["(all)"].n_left == state.kept.count()
-    assert steps.removal_sample(state.log, "pair_id", 2).groupBy("step", "reason").count().agg(F.max("count")).first()[0] <= 2
+    rows = [(i, "s" if i % 3 else None, "k", f"سؤال رقم {i % 4} عن المدينة", "كلمة " * (5 + i)) for i in range(60)]
+    pairs = spark.createDataFrame(rows, "pair_id long, source string, kind string, query string, passage string")
+    d = steps.decided_pairs(pairs, repeats=5)
+    log, kept, names = d.where("step is not null"), d.where("step is null"), ["cleanup", "length", "language", "junk", "near_identical", "dedupe"]
+    assert kept.count() + log.count() == 60
+    stats = {r.step: r for r in steps.step_stats(pairs, log, names).collect()}
+    assert stats["cleanup"].n_in == 60 and all(stats[b].n_in == stats[a].n_out for a, b in zip(names, names[1:])) and stats["junk"].n_removed > 0
+    f = {r.source: r for r in steps.funnel(pairs, log, names).collect()}
+    assert f["(all)"].n_left == kept.count()
+    assert steps.removal_sample(log, "pair_id", 2).groupBy("step", "reason").count().agg(F.max("count")).first()[0] <= 2
 
 
 def test_cached_steps(spark, tmp_path):
