@@ -41,6 +41,15 @@ def corpus_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return g.withColumn("source", F.coalesce("of", F.lit("(all)"))).drop("of")
 
 
+def word_starts(docs: DataFrame, key: str, text: Column, ratio: float) -> DataFrame:
+    """``key, arabic, latin, kept``: how many words begin with a letter of either script (signs before it aside)."""
+    start = rf"(^|[{X.BLANK}])[^\p{{L}}\p{{N}}{X.BLANK}]*"
+    n = lambda letter: F.regexp_count(text, F.lit(start + letter)).cast("long")
+    d = docs.select(key, n(X.ARABIC_LETTER).alias("arabic"), n(X.LATIN_LETTER).alias("latin"))
+    both = F.col("arabic") + F.col("latin")
+    return d.withColumn("kept", ~((both > 0) & (F.col("arabic") < ratio * both)))
+
+
 def pre_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(rf"\n|\p{{Nd}}|[\p{{P}}\p{{S}}]+|[^\p{{Nd}}\p{{P}}\p{{S}}{X.BLANK}]+"), 0)
 

@@ -201,3 +201,14 @@ def ranking_metrics(ranks: DataFrame, rank: str = "rank") -> list[Column]:
 
 def rank_bucket(r: Column) -> Column:
     return F.when(r <= 3, r.cast("string")).when(r <= 10, F.lit("4-10")).otherwise(F.lit("11-100"))
+
+
+def invariant(queries: DataFrame, passages: DataFrame) -> DataFrame:
+    """``n_queries, n_negatives, n_violations`` of ``queries(qid, pos_pids, neg_pids)``: a negative with the text of one
+    of its query's positives is a violation. Only ids and hashes of ``passages(pid, text)`` are joined."""
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    k = passages.select("pid", F.md5(words).alias("k"))
+    side = lambda c: queries.select("qid", F.explode(c).alias("pid")).join(k, "pid").select("qid", "k")
+    pos = side("pos_pids").distinct().withColumn("same", F.lit(1))
+    n = side("neg_pids").join(pos, ["qid", "k"], "left").agg(F.count(F.lit(1)).alias("n_negatives"), F.count("same").alias("n_violations"))
+    return queries.agg(F.count(F.lit(1)).alias("n_queries")).join(n)

@@ -132,6 +132,17 @@ def word_categories(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("source", F.coalesce(X.word_category(F.col("w")), F.lit("other")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_WORD_START = f"SELECT doc_id, len(regexp_extract_all(text, '(^|[{B}])[^\\p{{L}}\\p{{N}}{B}]*{X.ARABIC_LETTER}')) AS arabic, len(regexp_extract_all(text, '(^|[{B}])[^\\p{{L}}\\p{{N}}{B}]*{X.LATIN_LETTER}')) AS latin FROM documents WHERE text IS NOT NULL"
+
+
+@query("word_start_filter", f"WITH S AS ({_WORD_START}) SELECT doc_id, arabic, latin, NOT (arabic + latin > 0 AND arabic < 0.8 * (arabic + latin)) AS kept FROM S")
+def word_start_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by the script in which their words begin: kept if four fifths of them are Arabic, or none begins with a
+    letter of either script."""
+    t = table(spark, d, "documents", "doc_id", "text").where("text is not null")
+    return C.word_starts(t, "doc_id", F.col("text"), 0.8)
+
+
 @query(
     "token_scripts",
     rf"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_TOK}')) AS tok FROM documents)

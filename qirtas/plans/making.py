@@ -30,10 +30,17 @@ def prompt_pairs_by_language(spark: SparkSession, d: str) -> DataFrame:
     return makers.prompt_pairs(p, "lang", "query", "passage", "ar").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("headline_pairs", f"SELECT pair_id, md5({sql_strip('query')}) AS head FROM pairs WHERE kind = 'news' AND {sql_strip('query')} <> '' AND {sql_strip('passage')} <> ''")
+@query(
+    "headline_pairs",
+    f"""WITH D AS (SELECT doc_id, {sql_strip("coalesce(title, '')")} AS head, list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS p FROM documents WHERE source = 'news' AND text IS NOT NULL),
+    C AS (SELECT *, list_transform(range(1, len(p) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: len(regexp_extract_all(x, '[^{B}]+'))))) AS cum FROM D WHERE head <> '' AND len(p) > 0)
+    SELECT doc_id, md5(head) AS query, md5(substr(array_to_string(p[1:len(list_filter(cum, lambda x: x < 80)) + 1], chr(10)), 1, 3000)) AS passage FROM C""",
+)
 def headline_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pairs", "pair_id", "kind", "query", "passage").where("kind = 'news'")
-    return p.where((X.strip(F.col("query")) != "") & (X.strip(F.col("passage")) != "")).select("pair_id", F.md5(X.strip(F.col("query"))).alias("head"))
+    """A news article's headline with its first paragraphs, up to eighty words."""
+    t = table(spark, d, "documents", "doc_id", "source", "title", "text").where("source = 'news' and text is not null")
+    p = makers.headline_pairs(t, "doc_id", F.col("title"), F.col("text"), 80)
+    return p.select("doc_id", F.md5("query").alias("query"), F.md5("passage").alias("passage"))
 
 
 @query("span_pairs")
@@ -112,6 +119,20 @@ def validation_corpus(spark: SparkSession, d: str) -> DataFrame:
     return O.global_rank(a, ["tier", "pid"], "cid", 16)
 
 
+@query(
+    "batch_schedule",
+    """WITH R AS (SELECT pair_id, kind, row_number() OVER (PARTITION BY kind ORDER BY md5('1234|batch 0|' || pair_id), pair_id) - 1 AS r, count(*) OVER (PARTITION BY kind) AS n FROM pairs),
+    B AS (SELECT DISTINCT kind, CAST(r // 32 AS BIGINT) AS batch FROM R WHERE r // 32 < n // 32)
+    SELECT kind, batch, row_number() OVER (ORDER BY md5('1234|schedule 0|' || kind || '|' || batch), kind, batch) - 1 AS step FROM B""",
+)
+def batch_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """The order in which an epoch's full batches of one kind follow each other: drawn over all kinds."""
+    n = table(spark, d, "pairs", "kind").groupBy("kind").agg(F.floor(F.count(F.lit(1)) / 32).alias("n")).where("n > 0")
+    b = n.select("kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("batch"))
+    b = b.withColumn("at", O.draw("schedule 0", "kind", F.col("batch").cast("string")))
+    return O.global_rank(b, ["at", "kind", "batch"], "step", 16).select("kind", "batch", "step")
+
+
 @query("generated_queries")
 def generated_queries(spark: SparkSession, d: str) -> DataFrame:
     """Model outputs (here made of pairs) parsed, unpivoted and filtered by the first reason that holds."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from qirtas.functions import ordering as O
 from qirtas.functions import text as X
-from qirtas.operators import dedupe, quotas
+from qirtas.operators import dedupe, quotas, vectors
 from qirtas.operators.vectors import training_rows as rows_for_training
 from qirtas.plans.corpus import sql_arabic_share, sql_key
 from qirtas.plans.pairs import sql_normalize
@@ -231,3 +231,31 @@ def positives_per_source(spark: SparkSession, d: str) -> DataFrame:
     """Sums of array lengths and an exact median."""
     g = _sq(spark, d).groupBy("domain", "qtype")
     return g.agg(F.sum(F.size("pos_pids")).alias("n_pos"), F.sum(F.size("neg_pids")).alias("n_neg"), F.median(F.size("pos_pids")).alias("median_pos"))
+
+
+_SQL_TEXT_KEY = "md5(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')))"
+
+
+@query(
+    "positives_among_negatives",
+    f"""WITH {SQL_SQ}, {SQL_PS}, K AS (SELECT pid, {_SQL_TEXT_KEY} AS k FROM PS), P AS (SELECT DISTINCT qid, k FROM (SELECT qid, unnest(pos_pids) AS pid FROM SQ) JOIN K USING (pid)),
+    N AS (SELECT qid, pid, k FROM (SELECT qid, unnest(neg_pids) AS pid FROM SQ) JOIN K USING (pid))
+    SELECT (SELECT count(*) FROM SQ) AS n_queries, (SELECT count(*) FROM N) AS n_negatives, (SELECT count(*) FROM N JOIN P USING (qid, k)) AS n_violations""",
+)
+def positives_among_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """The invariant of training rows: how many negatives have the text of one of their query's positives."""
+    return vectors.invariant(_sq(spark, d), _ps(spark, d))
+
+
+_SQL_BROKEN = f"WITH {SQL_SQ}, {SQL_PS}, W AS (SELECT pid, regexp_extract_all(text, '[^{B}]+') AS w FROM PS), BAD AS (SELECT pid FROM W WHERE w IS NULL OR len(w) < 20 OR (len(w) >= 10 AND len(list_distinct(w)) / len(w) < 0.3)), E AS (SELECT qid, unnest(pos_pids) AS pid, generate_subscripts(pos_pids, 1) AS i FROM SQ WHERE domain = 'mmarco')"
+
+
+@query("translations_checked", f"{_SQL_BROKEN} SELECT qid, count(*) AS n_pos, md5(string_agg(pid, ',' ORDER BY i)) AS pos FROM E WHERE pid NOT IN (SELECT pid FROM BAD) GROUP BY qid")
+def translations_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Translated queries after their broken positives (too short, or few distinct words) are gone; a query without a
+    positive goes too. Runs of Latin or repeated words are ``broken_translations``' own."""
+    p = _ps(spark, d)
+    w = X.words(F.col("text"))
+    bad = p.where(F.col("text").isNull() | (F.size(w) < 20) | ((F.size(w) >= 10) & (F.size(F.array_distinct(w)) / F.size(w) < 0.3))).select("pid")
+    kept, _ = dedupe.drop_passages(_sq(spark, d).where("domain = 'mmarco'"), bad)
+    return kept.select("qid", F.size("pos_pids").cast("long").alias("n_pos"), F.md5(F.array_join("pos_pids", ",")).alias("pos"))
