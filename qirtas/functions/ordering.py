@@ -5,6 +5,8 @@ A seeded draw is an order by ``md5(seed | purpose | key)``, ties by key, so a re
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,3 +64,24 @@ def global_sum(df: DataFrame, order: list, value: Column, name: str, buckets: in
 def global_rank(df: DataFrame, order: list, name: str, buckets: int = 256) -> DataFrame:
     """Dense row numbers (from 0) in a total order."""
     return global_sum(df, order, F.lit(1).cast("long"), name, buckets)
+
+
+def group_sum(df: DataFrame, by: list[str], order: list, value: Column, name: str, buckets: int = 256) -> DataFrame:
+    """The sum of ``value`` over the rows before each one of its group, and ``{name}_all``, the sum of the whole group,
+    without a task that sorts a group: one running sum over all groups, less what it was where the group began. Meant
+    for few columns; rows of null groups are a group."""
+    d = written_sum(df, [*by, *order], value, "_run", buckets)
+    g = d.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.min("_run").alias("_start"), F.sum("_value").alias(f"{name}_all"))
+    on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    return d.join(g, on).withColumn(name, F.col("_run") - F.col("_start")).drop("_run", "_start", "_value", *(f"_{c}" for c in by))
+
+
+def written_sum(df: DataFrame, order: list, value: Column, name: str, buckets: int) -> DataFrame:
+    from qirtas.lineage import written
+
+    return written(global_sum(df.withColumn("_value", value), order, F.col("_value"), name, buckets), "group-sum")
+
+
+def group_rank(df: DataFrame, by: list[str], order: list, name: str, buckets: int = 256) -> DataFrame:
+    """Row numbers (from 0) inside each group, and ``{name}_all``, the group's size, as ``group_sum`` finds them."""
+    return group_sum(df, by, order, F.lit(1).cast("long"), name, buckets)

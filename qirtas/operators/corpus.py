@@ -55,10 +55,12 @@ def pre_tokens(c: Column) -> Column:
 
 
 def quota_scan(docs: DataFrame, shard: str, order: str, quota: int) -> DataFrame:
-    """Rows of each shard up to and including its ``quota``-th training row; ``heldout`` rows don't count."""
-    own = F.when(F.col("heldout"), 0).otherwise(1)
-    seen = F.sum(own).over(W.partitionBy(shard).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return docs.withColumn("_seen", seen - own).where(F.col("_seen") < quota).drop("_seen")
+    """Rows of each shard up to and including its ``quota``-th training row; ``heldout`` rows don't count. Only shards,
+    orders and flags are summed; what is taken is joined back."""
+    own = F.when(F.col("heldout"), 0).otherwise(1).cast("long")
+    seen = O.group_sum(docs.select(shard, order, "heldout"), [shard], [order], own, "_seen", 32).where(F.col("_seen") < quota)
+    taken = seen.select(F.col(shard).alias("_s"), F.col(order).alias("_o"))
+    return docs.join(taken, F.col(shard).eqNullSafe(F.col("_s")) & (F.col(order) == F.col("_o"))).drop("_s", "_o")
 
 
 def vocabulary_fingerprint(vocabulary: DataFrame, c: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qirtas.functions import ordering as O
+from qirtas.lineage import written
 
 
 class Scorer(Protocol):
@@ -141,10 +142,10 @@ def consistency_ranks(cands: DataFrame) -> DataFrame:
 def random_negatives(items: DataFrame, key: str, group: str, k: int, purpose: str = "negatives") -> DataFrame:
     """``key, other``: for each row ``k`` drawn others of its group (fewer in small groups).
 
-    A group is put on a drawn ring, and a row's others are the ones after it, so that no pairs of a group are formed:
-    the ring is a window, and each row takes part in ``k`` links."""
-    w = W.partitionBy(group).orderBy(O.draw(purpose, F.col(key).cast("string")), key)
-    ring = items.select(key, group).withColumn("at", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(group)))
+    A group is put on a drawn ring, and a row's others are the ones after it, so that no pairs of a group are formed and
+    each row takes part in ``k`` links. Places on the ring come from one running number over all groups."""
+    d = items.select(key, group).withColumn("_h", O.draw(purpose, F.col(key).cast("string")))
+    ring = written(O.group_rank(d, [group], ["_h", key], "at", 32).withColumnRenamed("at_all", "n"), "ring")
     step = ring.select(key, group, "n", "at", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step")).where(F.col("step") < F.col("n"))
     want = step.select(key, group, ((F.col("at") + F.col("step")) % F.col("n")).alias("at"))
     return want.join(ring.select(group, "at", F.col(key).alias("other")), [group, "at"]).select(key, "other")

@@ -71,10 +71,9 @@ def answer_windows(spark: SparkSession, d: str) -> DataFrame:
 )
 def source_batches(spark: SparkSession, d: str) -> DataFrame:
     """Full batches of 32 rows of one kind; what is left over in an epoch drops."""
-    w = W.partitionBy("kind")
-    r = F.row_number().over(w.orderBy(O.draw("batch 0", F.col("pair_id").cast("string")), "pair_id")) - 1
-    p = table(spark, d, "pairs", "pair_id", "kind").withColumns({"batch": F.floor(r / 32), "n": F.count(F.lit(1)).over(w)})
-    return p.where(F.col("batch") < F.floor(F.col("n") / 32)).select("kind", "batch", "pair_id")
+    p = table(spark, d, "pairs", "pair_id", "kind").withColumn("h", O.draw("batch 0", F.col("pair_id").cast("string")))
+    p = O.group_rank(p, ["kind"], ["h", "pair_id"], "r", 32).withColumn("batch", F.floor(F.col("r") / 32))
+    return p.where(F.col("batch") < F.floor(F.col("r_all") / 32)).select("kind", "batch", "pair_id")
 
 
 @query(
