@@ -478,7 +478,8 @@ def near_duplicates(pairs: DataFrame, key: str = "pair_id", query: str = "query"
     sets = written(sets_of(pairs, key, query, passage, least_words), "runs")
     seq = sets.select("id", "k1", "k2")
     copies = seq.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
-    members = written(seq.join(copies, ["k1", "k2"]).select("id", "rep").distinct(), "members")
+    copies = written(copies.select("k1", "k2", "rep"), "copies")
+    members = written(seq.join(sized(copies, copies.count()), ["k1", "k2"]).select("id", "rep").distinct(), "members")
     again = members.where("id <> rep").select("id")
     reps = sets.join(sized(again, members.count()), "id", "left_anti")
     frequent = pairs.sparkSession.sparkContext.broadcast(frequent_runs(sets))  # a fixed size: one byte for each counter
