@@ -190,7 +190,7 @@ def row_ranges(counts: DataFrame, name: str, n: str, size: int) -> DataFrame:
 
 def epoch_windows(rows: DataFrame, key: str, shard: str, epoch: int, per_window: int) -> DataFrame:
     """``win, key, pos``: the resumable order of an epoch; resuming is a filter on (win, pos)."""
-    s = rows.select(shard).distinct()
-    k = s.withColumn("win", F.floor((F.row_number().over(W.orderBy(O.draw(f"epoch {epoch}", F.col(shard).cast("string")), shard)) - 1) / per_window))
+    s = rows.select(shard).distinct().withColumn("_h", O.draw(f"epoch {epoch}", F.col(shard).cast("string")))
+    k = O.global_rank(s, ["_h", shard], "_r", 16).select(shard, F.floor(F.col("_r") / per_window).alias("win"))
     pos = F.row_number().over(W.partitionBy("win").orderBy(O.draw(f"rows {epoch}", F.col(key).cast("string")), key)) - 1
     return rows.join(k, shard).select("win", key, pos.cast("long").alias("pos"))

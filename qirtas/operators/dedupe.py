@@ -141,12 +141,26 @@ def keepers(docs: DataFrame, links: DataFrame, key: str) -> DataFrame:
 
 def merge_queries(queries: DataFrame, order: list[str]) -> DataFrame:
     """Duplicate queries merged into the first copy in ``order``: positives in order of appearance, negatives without
-    positives, and how many copies went in. ``queries`` has ``key`` beside the usual columns."""
-    s = F.struct(*order, "qid", "pos_pids", "neg_pids")
-    g = queries.groupBy("key").agg(F.array_sort(F.collect_list(s)).alias("c"), F.count(F.lit(1)).alias("n_copies"))
-    pos = F.array_distinct(F.flatten(F.transform("c", lambda x: F.coalesce(x["pos_pids"], F.array().cast("array<string>")))))
-    neg = F.array_distinct(F.flatten(F.transform("c", lambda x: F.coalesce(x["neg_pids"], F.array().cast("array<string>")))))
-    return g.select(F.col("c")[0]["qid"].alias("qid"), "n_copies", pos.alias("pos_pids"), F.array_except(neg, pos).alias("neg_pids"))
+    positives, and how many copies went in. ``queries`` has ``key`` beside the usual columns. A key's copies are never
+    collected: each passage keeps its first appearance, combined before the shuffle, so a hot key costs its passages."""
+    by = [*order, "qid"]
+    first = queries.groupBy("key").agg(F.min(F.struct(*by)).alias("f"), F.count(F.lit(1)).alias("n_copies"))
+
+    def side(c: str) -> DataFrame:
+        e = queries.select("key", *by, F.posexplode(c).alias("i", "pid"))
+        e = e.groupBy("key", "pid").agg(F.min(F.struct(*by, "i")).alias("at"))
+        return e.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "pid"))), lambda x: x["pid"]).alias(c))
+
+    none = F.array().cast("array<string>")
+    d = first.join(side("pos_pids"), "key", "left").join(side("neg_pids"), "key", "left")
+    d = d.select(F.col("f.qid").alias("qid"), "n_copies", F.coalesce("pos_pids", none).alias("pos_pids"), F.coalesce("neg_pids", none).alias("neg_pids"))
+    return d.withColumn("neg_pids", F.array_except("neg_pids", "pos_pids"))
+
+
+def groups_of(keepers_: DataFrame, key: str) -> DataFrame:
+    """``n_groups, n_members, n_removed, largest`` of ``keepers``' result: groups of two documents or more."""
+    n = keepers_.groupBy("keeper").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return n.agg(F.count(F.lit(1)).alias("n_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_members"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_removed"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
 
 
 def drop_passages(queries: DataFrame, bad: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -184,18 +184,36 @@ def lsh_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.estimated(dedupe.candidate_pairs(s, "doc_id"), s, "doc_id", 0.0).select("a", "b", F.round("est", 6).alias("est"))
 
 
-@query(
-    "near_dup_keepers",
-    f"""WITH RECURSIVE {_SQL_GRAMS}, {_SQL_BANDS}, E AS (SELECT a, b FROM LINK WHERE est >= 0.8 UNION SELECT b, a FROM LINK WHERE est >= 0.8),
-    R(x, y) AS (SELECT a, a FROM E UNION SELECT R.x, E.b FROM R JOIN E ON E.a = R.y), K AS (SELECT x, min(y) AS keeper FROM R GROUP BY x)
-    SELECT doc_id, coalesce(keeper, doc_id) AS keeper FROM SIG LEFT JOIN K ON x = doc_id""",
-)
+_SQL_KEEPERS = f"""WITH RECURSIVE {_SQL_GRAMS}, {_SQL_BANDS}, E AS (SELECT a, b FROM LINK WHERE est >= 0.8 UNION SELECT b, a FROM LINK WHERE est >= 0.8),
+    R(x, y) AS (SELECT a, a FROM E UNION SELECT R.x, E.b FROM R JOIN E ON E.a = R.y), K AS (SELECT x, min(y) AS keeper FROM R GROUP BY x),
+    KEPT AS (SELECT doc_id, coalesce(keeper, doc_id) AS keeper FROM SIG LEFT JOIN K ON x = doc_id)"""
+
+
+@query("near_dup_keepers", f"{_SQL_KEEPERS} SELECT * FROM KEPT")
 def near_dup_keepers(spark: SparkSession, d: str) -> DataFrame:
     """Keepers by the linear rule; ``near_dup_keepers_all`` is whole."""
     s = written(_sigs(spark, d), "signatures")
     return dedupe.keepers(s, dedupe.estimated(dedupe.candidate_pairs(s, "doc_id"), s, "doc_id"), "doc_id")
 
 
+@query("near_dup_groups", f"{_SQL_KEEPERS}, N AS (SELECT keeper, count(*) AS n FROM KEPT GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS n_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_members, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_removed, coalesce(max(n), 0) AS largest FROM N")
+def near_dup_groups(spark: SparkSession, d: str) -> DataFrame:
+    """How many groups of near duplicates there are, their members, and what goes."""
+    return dedupe.groups_of(near_dup_keepers(spark, d), "doc_id")
+
+
+@query(
+    "keeper_estimates",
+    f"{_SQL_KEEPERS} SELECT k.doc_id, k.keeper, round(len(list_filter(range(1, 65), lambda i: x.sig[i] = y.sig[i])) / 64, 6) AS est FROM KEPT k JOIN SIG x ON x.doc_id = k.doc_id JOIN SIG y ON y.doc_id = k.keeper WHERE k.doc_id <> k.keeper",
+)
+def keeper_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """How alike each document that goes is to the one that stays, by their signatures."""
+    s = written(_sigs(spark, d), "signatures")
+    k = dedupe.keepers(s, dedupe.estimated(dedupe.candidate_pairs(s, "doc_id"), s, "doc_id"), "doc_id").where("doc_id <> keeper")
+    e = dedupe.estimated(k.select(F.col("keeper").alias("a"), F.col("doc_id").alias("b")), s, "doc_id", 0.0)
+    return e.select(F.col("b").alias("doc_id"), F.col("a").alias("keeper"), F.round("est", 6).alias("est"))
+
+
 @query("lsh_all_links")
 def lsh_all_links(spark: SparkSession, d: str) -> DataFrame:
     """All documents whose signatures agree at 0.8 or more; those of equal signature by their least document."""

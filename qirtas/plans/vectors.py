@@ -245,7 +245,7 @@ def position_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Positions (here event ids) to (window, row): an interval join on cumulative sizes, turned into an equi join by
     cutting both sides into cells of 1024 positions."""
     s = table(spark, d, "lineitem", "l_suppkey").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    c = s.withColumn("lo", F.coalesce(F.sum("n").over(W.orderBy("l_suppkey").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    c = O.global_sum(s, ["l_suppkey"], F.col("n"), "lo", 16)
     p = table(spark, d, "events", "event_id").withColumnRenamed("event_id", "pos")
     cell = lambda x: F.floor(x / 1024)
     c = c.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("lo") + F.col("n") - 1))))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from qirtas.functions import ordering as O
+
 BLANKS = r"(?U)\s+"
 
 
@@ -92,5 +93,5 @@ def article_of(docs: DataFrame, docid: str = "docid") -> DataFrame:
 
 def files_for(files: DataFrame, n: int, seed: int = 1234) -> DataFrame:
     """Files in drawn order until they hold at least ``n`` rows."""
-    before = F.coalesce(F.sum("rows").over(W.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "path")), "path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("before", before).where(F.col("before") < n).drop("before")
+    d = files.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "path")))
+    return O.global_sum(d, ["_h", "path"], F.col("rows").cast("long"), "before", 16).where(F.col("before") < n).drop("before", "_h")
