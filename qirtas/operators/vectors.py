@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -32,24 +33,29 @@ def dot(a: Column, b: Column) -> Column:
 QUERY_BLOCK = 4096
 
 
-def top_k(queries: DataFrame, pool: DataFrame, k: int, query_id: str = "vec_id", pool_id: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
-    """``qid, pid, score, rank``: the ``k`` nearest pool rows of each query by dot product, ties by pool id.
+#: Blocks whose partial lists are merged and written together, so that the plan stays small however many blocks there are.
+MERGED_BLOCKS = 16
+
+
+def top_k(queries: DataFrame, pool: DataFrame, k: int, query_id: str = "vec_id", pool_id: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK, same: str | None = None, other: str | None = None) -> DataFrame:
+    """``qid, pid, score, rank``: the ``k`` nearest pool rows of each query by dot product, ties by pool id. With ``same``
+    only pool rows with the query's value in that column count (its domain), with ``other`` only those with another one
+    (what is a positive). Null values in either are equal to no value.
 
     The queries are a stated set that is searched in blocks: a block's matrix is broadcast (``block`` vectors at most),
     every task multiplies it with its part of the pool and keeps the best ``k`` per query, and only these partial lists
     are shuffled and merged. A pool row is read once for each block and never shuffled."""
     spark = queries.sparkSession
     kind_q, kind_p = queries.schema[query_id].dataType.simpleString(), pool.schema[pool_id].dataType.simpleString()
-    out = None
-    rows: list = []
-    parts: list[DataFrame] = []
+    tests = [c for c in (same, other) if c is not None]
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "pid"))
 
     def search(rows: list) -> DataFrame:
         ids = np.array([r[0] for r in rows])
-        sent = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64)))
+        sent = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64), [np.array([r[2 + i] for r in rows], object) for i in range(len(tests))]))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
+            ids, q, own = sent.value
             best_s, best_p = np.full((len(ids), 0), 0.0), None
             for batch in batches:
                 if not batch.num_rows:
@@ -57,6 +63,10 @@ def top_k(queries: DataFrame, pool: DataFrame, k: int, query_id: str = "vec_id",
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 p = np.asarray(batch.column(0).to_pylist())
                 s = q @ flat.reshape(batch.num_rows, -1).T
+                for i, c in enumerate(tests):
+                    theirs = np.array(batch.column(2 + i).to_pylist(), object)
+                    equal = (own[i][:, None] == theirs[None]) & (theirs != None)[None]  # noqa: E711
+                    s = np.where(equal == (c == same), s, -np.inf)
                 best_s = np.concatenate([best_s, s], axis=1)
                 best_p = np.tile(p, (len(ids), 1)) if best_p is None else np.concatenate([best_p, np.tile(p, (len(ids), 1))], axis=1)
                 if best_s.shape[1] > k:
@@ -64,23 +74,32 @@ def top_k(queries: DataFrame, pool: DataFrame, k: int, query_id: str = "vec_id",
                     best_s, best_p = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_p, order, 1)
             if best_p is not None:
                 n = best_s.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_p.reshape(-1)), pa.array(best_s.reshape(-1))], names=["qid", "pid", "score"])
+                out = pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_p.reshape(-1)), pa.array(best_s.reshape(-1))], names=["qid", "pid", "score"])
+                yield out.filter(pa.array(np.isfinite(best_s.reshape(-1))))
 
-        return pool.select(pool_id, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"qid {kind_q}, pid {kind_p}, score double")
+        return pool.select(pool_id, vector, *tests).where(F.col(vector).isNotNull()).mapInArrow(run, f"qid {kind_q}, pid {kind_p}, score double")
 
-    for r in queries.select(query_id, vector).where(F.col(vector).isNotNull()).toLocalIterator():
+    def merged(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionAll, parts).withColumn("rank", rank).where(F.col("rank") <= k)
+
+    rows: list = []
+    parts: list[DataFrame] = []
+    done: list[DataFrame] = []
+    for r in queries.select(query_id, vector, *tests).where(F.col(vector).isNotNull()).toLocalIterator():
         rows.append(r)
         if len(rows) == block:
             parts.append(search(rows))
             rows = []
+        if len(parts) == MERGED_BLOCKS:
+            done.append(written(merged(parts), "nearest"))
+            parts = []
     if rows:
         parts.append(search(rows))
-    for p in parts:
-        out = p if out is None else out.unionAll(p)
-    if out is None:
-        out = spark.createDataFrame([], f"qid {kind_q}, pid {kind_p}, score double")
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "pid"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    if parts:
+        done.append(merged(parts))
+    if not done:
+        return spark.createDataFrame([], f"qid {kind_q}, pid {kind_p}, score double, rank int")
+    return reduce(DataFrame.unionAll, done)
 
 
 def count_above(queries: DataFrame, pool: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:

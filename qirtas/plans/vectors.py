@@ -34,6 +34,19 @@ def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     return _top(spark, d).where("rank <= 10").select("qid", "pid", "rank", F.round("score", 4).alias("score"))
 
 
+@query(
+    "mined_in_domain",
+    """WITH E AS (SELECT vec_id, label, label % 3 AS domain, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL), S AS (SELECT q.vec_id AS qid, p.vec_id AS pid, list_inner_product(q.v, p.v) AS score FROM E q JOIN E p ON q.domain = p.domain AND q.label <> p.label WHERE q.vec_id % 100 = 0)
+    SELECT qid, pid, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, pid) AS rank FROM S) WHERE rank <= 20""",
+)
+def mined_in_domain(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty nearest that are no positives (another label), in the query's own domain (here classes of labels)."""
+    e = table(spark, d, "embeddings", "vec_id", "embedding", "label").where("label is not null").withColumn("domain", F.col("label") % 3)
+    t = V.top_k(e.where("vec_id % 100 = 0"), e, 21, same="domain", other="label")
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "pid"))
+    return t.withColumn("rank", rank).where("rank <= 20").select("qid", "pid", F.round("score", 4).alias("score"))
+
+
 @query("recall_of_positives", f"WITH {SQL_TOP}, N AS (SELECT qid, count(*) AS n FROM SIM WHERE ql = pl GROUP BY 1) SELECT round(CAST(sum(h) AS DOUBLE) / greatest(sum(n), 1), 6) AS recall50 FROM (SELECT qid, count(*) FILTER (ql = pl) AS h FROM TOP GROUP BY 1) JOIN N USING (qid)")
 def recall_of_positives(spark: SparkSession, d: str) -> DataFrame:
     """How many vectors of the query's label the fifty nearest hold."""

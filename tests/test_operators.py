@@ -254,3 +254,23 @@ def test_epoch_windows_cover_every_row_once(spark):
     one, two = (C.epoch_windows(df, "id", "shard", e, 2).orderBy("win", "pos").collect() for e in (1, 2))
     assert sorted(r.id for r in one) == list(range(28)) and [r.id for r in one] != [r.id for r in two]
     assert one == C.epoch_windows(df.repartition(7), "id", "shard", 1, 2).orderBy("win", "pos").collect()
+
+
+def test_search_in_blocks_inside_domains(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(V, "MERGED_BLOCKS", 2)
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 3 if i % 11 else None, i % 5) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, domain int, label int").repartition(5)
+    got = {}
+    for r in V.top_k(df.where("vec_id < 40"), df, 6, block=7, same="domain", other="label").collect():
+        got.setdefault(r.qid, {})[r.rank] = r.pid
+    vec = {r.vec_id: r for r in df.collect()}
+    for q in range(40):
+        a = vec[q]
+        fit = [b for b in vec.values() if a.domain is not None and b.domain == a.domain and b.label != a.label]
+        want = sorted(fit, key=lambda b: (-sum(x * y for x, y in zip(a.embedding, b.embedding)), b.vec_id))[:6]
+        assert [got.get(q, {}).get(i + 1) for i in range(len(want))] == [b.vec_id for b in want] and len(got.get(q, {})) == len(want)
+    plain = V.top_k(df.where("vec_id < 40"), df, 3, block=9).groupBy("qid").count().collect()
+    assert len(plain) == 40 and all(r["count"] == 3 for r in plain)
