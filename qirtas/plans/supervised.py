@@ -10,7 +10,7 @@ from qirtas.functions import ordering as O
 from qirtas.functions import text as X
 from qirtas.operators import dedupe, quotas, vectors
 from qirtas.operators.vectors import training_rows as rows_for_training
-from qirtas.plans.corpus import sql_arabic_share, sql_key
+from qirtas.plans.corpus import _TOK, sql_arabic_share, sql_key
 from qirtas.plans.pairs import sql_normalize
 from qirtas.registry import query
 from qirtas.tables import table
@@ -259,3 +259,35 @@ def translations_checked(spark: SparkSession, d: str) -> DataFrame:
     bad = p.where(F.col("text").isNull() | (F.size(w) < 20) | ((F.size(w) >= 10) & (F.size(F.array_distinct(w)) / F.size(w) < 0.3))).select("pid")
     kept, _ = dedupe.drop_passages(_sq(spark, d).where("domain = 'mmarco'"), bad)
     return kept.select("qid", F.size("pos_pids").cast("long").alias("n_pos"), F.md5(F.array_join("pos_pids", ",")).alias("pos"))
+
+
+_SQL_LONG = f"""WITH {SQL_SQ}, {SQL_PS}, H AS (SELECT DISTINCT unnest(pos_pids) AS pid FROM SQ WHERE is_human), TK AS (SELECT pid, len(regexp_extract_all(coalesce(text, ''), '{_TOK}')) AS n FROM PS),
+    SHORT AS (SELECT pid FROM TK WHERE n < CASE WHEN pid IN (SELECT pid FROM H) THEN 20 ELSE 60 END),
+    Q AS (SELECT * FROM SQ WHERE len(regexp_extract_all(coalesce(query, ''), '{_TOK}')) <= 64 AND len(regexp_extract_all(coalesce(query, ''), '[^{B}]+')) >= 3),
+    E AS (SELECT qid, unnest(pos_pids) AS pid FROM Q)"""
+
+
+@query("length_checked", f"{_SQL_LONG} SELECT qid, count(*) AS n_pos FROM E WHERE pid NOT IN (SELECT pid FROM SHORT) GROUP BY qid")
+def length_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of fitting length that keep a positive of enough tokens: twenty where a human query judged it, else sixty."""
+    q = _sq(spark, d)
+    human = q.where("is_human").select(F.explode("pos_pids").alias("pid")).distinct().withColumn("human", F.lit(True))
+    tokens = _ps(spark, d).select("pid", X.token_count(F.coalesce("text", F.lit(""))).alias("n")).join(human, "pid", "left")
+    short = tokens.where(F.col("n") < F.when(F.col("human"), 20).otherwise(60)).select("pid")
+    text = F.coalesce("query", F.lit(""))
+    kept, _ = dedupe.drop_passages(q.where((X.token_count(text) <= 64) & (X.word_count(text) >= 3)), short)
+    return kept.select("qid", F.size("pos_pids").cast("long").alias("n_pos"))
+
+
+@query(
+    "validation_distractors",
+    f"""WITH {SQL_SQ}, {SQL_PS}, S AS (SELECT domain, count(*) / sum(count(*)) OVER () AS share FROM SQ WHERE is_human GROUP BY domain),
+    R AS (SELECT pid, domain, row_number() OVER (PARTITION BY domain ORDER BY md5('1234|validation corpus|' || domain || '|' || pid), pid) AS r FROM PS)
+    SELECT domain, pid FROM R JOIN S USING (domain) WHERE r <= CAST(round(400 * share) AS INTEGER)""",
+)
+def validation_distractors(spark: SparkSession, d: str) -> DataFrame:
+    """Four hundred drawn passages for a validation corpus, dealt to the domains as the human queries are."""
+    n = _sq(spark, d).where("is_human").groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a domain
+    total = sum(r.n for r in n)
+    counts = {r.domain: int(400 * r.n / total + 0.5) for r in n if r.domain is not None}
+    return quotas.sample_counts(_ps(spark, d).select("domain", "pid"), "domain", "pid", counts, "validation corpus").select("domain", "pid")
