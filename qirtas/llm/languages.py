@@ -49,7 +49,7 @@ ROWS, HASHES = 1 << 20, 3
 #: Copies of the whole word among a word's n-grams.
 WHOLE = 3
 #: A text is in a language if its words have this evidence on average, or some and lead the second language by a share.
-LEAST_EVIDENCE, SOME_EVIDENCE, LEAST_LEAD = 0.45, 0.2, 0.15
+LEAST_EVIDENCE, SOME_EVIDENCE, LEAST_LEAD = 0.6, 0.2, 0.33
 #: What a switch of language costs, in words of evidence, at the end of a sentence and inside.
 SWITCH_END, SWITCH_INSIDE = 0.6, 2.0
 
