@@ -262,7 +262,7 @@ def notice(part: list[int], words: list[str], of: list[set[str]]) -> bool:
     stand_in = [k for k in content if "stand-in" in of[k]]
     own = {words[k] for k in content if "text" in of[k] and "stand-in" not in of[k]}
     both = n("stand-in", "text")
-    if both >= STRETCH_COVERAGE * len(content) and own and len({words[k] for k in stand_in}) >= (1 if len(content) < 4 or both == len(content) > 4 else 2):
+    if both >= STRETCH_COVERAGE * len(content) and own and len({words[k] for k in stand_in}) >= (1 if len(content) < 4 or len(content) > 4 and both >= 0.85 * len(content) else 2):
         return True
     asks = any(words[k] in INSERT for k in part)
     return both == len(content) and (len(content) > 5 and len(own) > 3 or asks and len(own) > 1 and len(content) < 5)
